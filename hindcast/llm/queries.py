@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.llm import bpe, lines
+from hindcast.llm import bpe, lines, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,13 +20,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_line_dedup": op4_line_dedup, "op10_bpe": op10_bpe}
+    return {"op1_quality": op1_quality, "op4_line_dedup": op4_line_dedup, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": lines.SQL}
+    return {"op1_quality": op1_quality, "op4_line_dedup": lines.SQL}

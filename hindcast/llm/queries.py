@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.llm import bpe, language, lines, quality
+from hindcast.llm import bpe, jaccard, language, lines, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,13 +28,26 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op4_line_dedup": op4_line_dedup, "op6_language": op6_language, "op10_bpe": op10_bpe}
+    return {
+        "op1_quality": op1_quality,
+        "op2_jaccard": op2_jaccard,
+        "op4_line_dedup": op4_line_dedup,
+        "op6_language": op6_language,
+        "op10_bpe": op10_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": op1_quality, "op4_line_dedup": lines.SQL}
+    return {
+        "op2_jaccard": jaccard.SQL,
+        "op4_line_dedup": lines.SQL,
+    }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.llm import bpe, jaccard, language, lines, quality
+from hindcast.llm import bpe, jaccard, language, lines, quality, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(table(spark, sf_dir, "documents"))
 
 
+def op8_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Query]:
         "op2_jaccard": op2_jaccard,
         "op4_line_dedup": op4_line_dedup,
         "op6_language": op6_language,
+        "op8_winnow": op8_winnow,
         "op10_bpe": op10_bpe,
     }
 

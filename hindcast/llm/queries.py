@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.llm import bpe, jaccard, language, lines, quality, winnow
+from hindcast.llm import bpe, jaccard, language, lines, quality, urls, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(table(spark, sf_dir, "pages"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def queries() -> dict[str, Query]:
         "op1_quality": op1_quality,
         "op2_jaccard": op2_jaccard,
         "op4_line_dedup": op4_line_dedup,
+        "op5_urls": op5_urls,
         "op6_language": op6_language,
         "op8_winnow": op8_winnow,
         "op10_bpe": op10_bpe,
@@ -55,4 +60,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_jaccard": jaccard.SQL,
         "op4_line_dedup": lines.SQL,
+        "op5_urls": urls.SQL,
     }

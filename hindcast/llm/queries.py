@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.llm import bpe, jaccard, language, lines, quality, urls, winnow
+from hindcast.llm import audio, bpe, jaccard, language, lines, mixing, quality, urls, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,10 +24,18 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(table(spark, sf_dir, "documents"))
 
 
+def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.recordings(table(spark, sf_dir, "documents"))
+
+
 def op8_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scheduled(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -51,7 +59,9 @@ def queries() -> dict[str, Query]:
         "op4_line_dedup": op4_line_dedup,
         "op5_urls": op5_urls,
         "op6_language": op6_language,
+        "op7_audio": op7_audio,
         "op8_winnow": op8_winnow,
+        "op9_mixing": op9_mixing,
         "op10_bpe": op10_bpe,
     }
 

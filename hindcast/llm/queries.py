@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.llm import audio, bpe, jaccard, language, lines, mixing, quality, urls, winnow
+from hindcast.llm import audio, bpe, jaccard, language, lines, mixing, mixlm, quality, urls, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,10 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op3_mixlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixlm.documents_scored(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
         "op2_jaccard": op2_jaccard,
+        "op3_mixlm": op3_mixlm,
         "op4_line_dedup": op4_line_dedup,
         "op5_urls": op5_urls,
         "op6_language": op6_language,

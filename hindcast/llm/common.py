@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,16 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def longs(column: pa.Array) -> list[np.ndarray]:
+    """The 64-bit integers in each value of a binary column, as views of the batch's memory. Nulls aren't looked for."""
+    if isinstance(column, pa.LargeBinaryArray):
+        at = np.frombuffer(column.buffers()[1], np.int64)[column.offset :][: len(column) + 1]
+    else:
+        at = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1]
+    data = column.buffers()[2]
+    return [np.frombuffer(data, np.int64, (b - a) // 8, a) if b > a else np.zeros(0, np.int64) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def crc_fold(column: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

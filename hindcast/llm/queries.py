@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,6 +69,7 @@ def queries() -> dict[str, Query]:
         "op8_winnow": op8_winnow,
         "op9_mixing": op9_mixing,
         "op10_bpe": op10_bpe,
+        "pipeline": corpus_pipeline.run,
     }
 
 

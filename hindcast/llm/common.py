@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 WORD_BREAKS = " \t\n\x0b\x0c\r"
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ROWS rows where the session has Spark's default of 10000, as a row may hold a very long text."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,6 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where that setting is missing (tests on one machine) a local folder is made and set.
     """
+    small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -40,6 +47,7 @@ def with_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], list], fields: list
 
     Input columns of the same names are replaced, all others pass through.
     """
+    small_batches(df.sparkSession)
     made = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in made]
     names = [f.name for f in kept] + [f.name for f in fields]

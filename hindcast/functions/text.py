@@ -62,8 +62,9 @@ def first_rule(c: Column, rules: list[tuple[str, list[str]]], default: str) -> C
     return F.lit(default) if out is None else out.otherwise(default)
 
 
-def hits(c: Column, pattern: str) -> Column:
-    return F.regexp_count(F.lower(F.coalesce(c, F.lit(""))), F.lit(pattern))
+def hits(c: Column, keywords: list[str]) -> Column:
+    """How many words of a text are among the keywords, whatever their case."""
+    return F.size(F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\d]+"), F.lit(0)), lambda x: x.isin(keywords)))
 
 
 def words(c: Column) -> Column:
@@ -89,4 +90,4 @@ def iso_week(d: Column) -> Column:
 def parsed_json(c: Column, schema: str) -> Column:
     """A struct from JSON as a model may wrap it: plain, in fences, or the outermost braces of a text; else null."""
     inner = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
-    return F.coalesce(F.from_json(c, schema), F.from_json(F.when(inner != "", inner), schema))
+    return F.from_json(F.when(F.try_parse_json(c).isNotNull(), c).when(inner != "", inner), schema)

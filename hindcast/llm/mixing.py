@@ -95,19 +95,20 @@ def scheduled(df: DataFrame, weights: dict | None = None, source_col: str = "sou
     schedule = spark.createDataFrame([(None if s is None else str(s), p) for s, p in rows.items()], shape)
 
     buckets = max(1, sum(sizes.values()) // BUCKET_ROWS)
-    df = df.withColumn("__hash", F.xxhash64(id_col)).withColumn("__bucket", F.pmod("__hash", F.lit(buckets)))
-    own = Window.partitionBy(source_col, "__bucket")
-    counts = df.groupBy(source_col, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(source_col).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(F.col(source_col).alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(before, F.lit(0)).alias("__before"))
-    numbered = df.withColumn("__row", F.row_number().over(own.orderBy("__hash", id_col)))
-    numbered = numbered.join(counts, F.col(source_col).eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-    numbered = numbered.withColumn("block", F.floor((F.col("__before") + F.col("__row") - 1) / block_rows)).drop("__s", "__b", "__before", "__row", "__hash", "__bucket")
-    known = numbered.join(F.broadcast(schedule.withColumnRenamed("source", "__source")), F.col(source_col).cast("string").eqNullSafe(F.col("__source")), "left")
+    # a key that is never null, so that the numbering and its join need the rows dealt out only once
+    key = lambda c: F.coalesce(F.concat(F.lit("s"), c.cast("string")), F.lit("n"))
+    df = df.withColumns({"__hash": F.xxhash64(id_col), "__source": key(F.col(source_col))}).withColumn("__bucket", F.pmod("__hash", F.lit(buckets)))
+    counts = df.groupBy("__source", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("__source", "__bucket", F.coalesce(before, F.lit(0)).alias("__before"))
+    numbered = df.withColumn("__row", F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__hash", id_col))).join(counts, ["__source", "__bucket"])
+    numbered = numbered.withColumn("block", F.floor((F.col("__before") + F.col("__row") - 1) / block_rows)).drop("__before", "__row", "__hash", "__bucket")
+    known = numbered.join(F.broadcast(schedule.withColumn("source", key(F.col("source"))).withColumnRenamed("source", "__source")), "__source", "left")
     known = known.withColumn("__phase", F.filter("phases", lambda p: (p["first"] <= F.col("block")) & (F.col("block") < p["end"]))[0])
     step = F.col("block") - F.col("__phase.first")
     slot = F.col("__phase.start") + F.floor(step / F.col("__phase.share")) * F.col("__phase.period") + F.get("__phase.slots", (step % F.col("__phase.share")).cast("int"))
-    return known.withColumn("slot", slot.cast("long")).drop("__source", "phases", "__phase")
+    names = [*df.columns[: df.columns.index("__hash")], "block", "slot"]
+    return known.withColumn("slot", slot.cast("long")).select(*names)
 
 
 def mixed(df: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:

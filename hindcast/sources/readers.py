@@ -34,12 +34,14 @@ def read_events(spark: SparkSession, path: str, schema: str | None = None) -> tu
     """(records, bad lines) of a file or folder of JSON, one array or one record a line; the form is seen from the start."""
     head = spark.read.text(path).where("trim(value) <> ''").select(F.ltrim("value").alias("v")).limit(1).collect()
     whole = bool(head) and head[0]["v"].startswith("[")
-    reader = spark.read.option("multiLine", whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
-    if schema is not None:
-        reader = reader.schema(schema + ", _bad string")
-    df = reader.json(path)
-    bad = spark.read.option("wholetext", whole).text(path).where((F.trim("value") != "") & F.try_parse_json("value").isNull())
-    return (df.where(F.col("_bad").isNull()).drop("_bad") if "_bad" in df.columns else df), bad
+    raw = spark.read.option("wholetext", whole).text(path).where(F.trim("value") != "")
+    bad = raw.where(F.try_parse_json("value").isNull())
+    if whole:
+        reader = spark.read.option("multiLine", True)
+        return (reader.schema(schema) if schema else reader).json(path), bad
+    kind = schema or spark.read.option("mode", "DROPMALFORMED").json(path).schema
+    good = raw.where(F.try_parse_json("value").isNotNull()).select(F.from_json("value", kind).alias("x")).select("x.*")
+    return good, bad
 
 
 def normalised(df: DataFrame, width: int = 768) -> DataFrame:

@@ -23,7 +23,7 @@ from hindcast.llm.common import texts, with_arrow
 POSITION_BITS = 40
 NONE = 1 << 100
 #: Pieces longer than this are encoded anew each time; a worker keeps at most so many others.
-KEPT_PIECE, KEPT_PIECES = 64, 400_000
+KEPT_PIECE, KEPT_PIECES = 64, 600_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -95,7 +95,7 @@ class Codec:
         kept, ranks = self.kept, self.ranks
         for piece in self.find(text):
             if (ids := kept.get(piece)) is None:
-                ids = merge_piece(piece.encode("utf-8", "replace"), ranks)
+                ids = tuple(merge_piece(piece.encode("utf-8", "replace"), ranks))
                 if len(piece) <= KEPT_PIECE:
                     if len(kept) >= KEPT_PIECES:
                         kept.clear()

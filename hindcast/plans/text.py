@@ -30,6 +30,9 @@ def query(sql: str = "", *names: str):
     return add
 
 
+PLAIN = r"regexp_replace(regexp_replace(text, '\x1b\[[0-9;]*[A-Za-z]', ' ', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g')"
+
+
 def squash_sql(c: str) -> str:
     return rf"trim(regexp_replace({c}, '[ \t\n\x0b\f\r]+', ' ', 'g'))"
 
@@ -48,7 +51,7 @@ def clean_html(spark, sf):
 
 @query(
     rf"""select doc_id, md5({squash_sql("regexp_replace(text, '(?i)" + "|".join(BOILERPLATE) + "', ' ', 'g')")}) as cleaned_md5,
-    case when length(t) > 100 then substr(t, 1, 100) || '...' else t end as short from (select *, {squash_sql("regexp_replace(regexp_replace(text, '\x1b\[[0-9;]*[A-Za-z]', ' ', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g')")} as t from documents)"""
+    case when length(t) > 100 then substr(t, 1, 100) || '...' else t end as short from (select *, {squash_sql(PLAIN)} as t from documents)"""
 )
 def light_clean(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.light_clean(F.col("text"), BOILERPLATE)).alias("cleaned_md5"), T.clean_text(F.col("text"), 100).alias("short"))

@@ -81,6 +81,11 @@ def crc_fold(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def in_fold(column: str, n: int, k: int):
+    """Whether crc32 of the id modulo n is k; a null id is in no fold."""
+    return F.coalesce(crc_fold(column, n) == k, F.lit(False))
+
+
 def components(edges: DataFrame, root: str, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b), both long: rows (id, component), component the smallest id reachable.
 

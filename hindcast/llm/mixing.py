@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS, PERIOD, EXPONENT = 16, 1000, 0.5
 #: Rows in a numbering bucket of a source; so many rows of a source meet in one task, however large the source is.
-BUCKET_ROWS = 5000
+BUCKET_ROWS = 1000
 MOST_SOURCES, MOST_PERIOD = 500, 10_000
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField
 
-from hindcast.llm.common import crc_fold, texts, with_arrow
+from hindcast.llm.common import in_fold, texts, with_arrow
 
 MOST_LABELLED, PAIRS, THRESHOLD = 20_000, 100_000, 0.3
 NAMES = ("log_bytes", "log_words", "word_bytes", "upper", "lower", "digits", "marks", "bars", "exclaims", "stops", "commas", "other", "newlines", "distinct", "top_word", "repeats", "shouted", "marked_words", "bare_words", "digit_words", "line_words", "same_lines", "empty")
@@ -133,7 +133,7 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, s
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Ranking:
     """The model of the labelled rows outside the held-out fold; at most `most` rows, their number bounds what the driver gets."""
-    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold("doc_id", 5) != 0))
+    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold("doc_id", 5, 0))
     chosen = usable.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__label")).orderBy(F.xxhash64("__id"), "__id", "__label").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "__label")
     found = measured(rows).select("measures", "__label").collect()
@@ -155,4 +155,4 @@ def score(docs: DataFrame, model: Ranking, text_col: str = "text") -> DataFrame:
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    return score(docs.select("doc_id", "text"), train(docs, labels)).select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return score(docs.select("doc_id", "text"), train(docs, labels)).select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "score", "predicted")

@@ -42,6 +42,13 @@ def written(df: DataFrame, root: str, name: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, root: str, *names: str) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], list], fields: list[StructField]) -> DataFrame:
     """df with the columns that fn returns for each Arrow batch; fields name and type them.
 

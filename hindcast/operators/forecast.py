@@ -58,5 +58,9 @@ def red_flag_score(severity: Column, sim10: Column, p_up: Column, p10: Column, t
     return base + (20 * capped((sim10 - 0.75) / 0.2)).cast("int") + (25 * F.abs(2 * p_up - 1)).cast("int") + (15 * capped(p10 / 0.3)).cast("int") + (10 * capped(tail / 0.5)).cast("int")
 
 
-def warning_tier(std: Column, high: float = 12.221, watch: float = 8.435) -> Column:
+#: The tiers' thresholds on the spread of a 15-day density, in percent.
+HIGH, WATCH = 12.221, 8.435
+
+
+def warning_tier(std: Column, high: float = HIGH, watch: float = WATCH) -> Column:
     return F.when(std >= high, "HIGH").when(std >= watch, "WATCH").otherwise("NORMAL")

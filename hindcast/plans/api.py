@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hindcast.functions import text as T
 from hindcast.operators import forecast, retrieval
 
+#: The rungs of the adaptive threshold.
 LADDER = (0.90, 0.87, 0.85, 0.82, 0.80, 0.77, 0.75, 0.70, 0.65, 0.0)
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.plans import analogues, market, text
+from hindcast.plans import analogues, market, measures, text
 
-MODULES = (market, text, analogues)
+MODULES = (market, text, analogues, measures)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

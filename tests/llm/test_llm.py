@@ -6,6 +6,7 @@ import itertools
 import math
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -290,6 +291,60 @@ def test_mixing(spark, odd, empty):
     assert sorted(taken) == list(range(38))
 
 
+def slots_by_brute_force(blocks, weights):
+    """The source of each slot: earliest deadline first over the released blocks, in exact fractions."""
+    done, out = dict.fromkeys(blocks, 0), []
+    while left := [s for s in blocks if done[s] < blocks[s]]:
+        total, took = sum(Fraction(weights[x]) for x in left), dict.fromkeys(left, 0)
+        share = {s: Fraction(weights[s]) / total for s in left}
+        for slot in itertools.count():
+            free = [s for s in left if math.floor(took[s] / share[s]) <= slot]
+            s = min(free, key=lambda s: (math.ceil((took[s] + 1) / share[s]), -share[s], str(s)))
+            out.append(s)
+            took[s] += 1
+            done[s] += 1
+            if done[s] == blocks[s]:
+                break
+    return out
+
+
+def test_mixing_holds_exact_weights():
+    for blocks, weights in (({"a": 40, "b": 9, "c": 9, None: 1}, {"a": 2.5, "b": 0.3, "c": 1 / 3, None: 0.001}), ({"a": 3}, {"a": 0.1}), ({}, {})):
+        want = slots_by_brute_force(blocks, weights)
+        got = [x for sources, _, _ in mixing.simulated(blocks, weights, piece=7) for x in sources]
+        assert got == want[: len(got)] and len(set(want[len(got) :])) <= 1
+    # twenty sources, one with a third of over 100,000 rows, one with a share below a thousandth
+    sizes = {"large": 600_000, "tiny": 1, **{f"s{k}": 60_000 + 1000 * k for k in range(18)}}
+    weights = {s: float(n) ** mixing.EXPONENT for s, n in sizes.items()}
+    total, took, slot = sum(weights.values()), dict.fromkeys(sizes, 0), 0
+    for sources, ks, first in mixing.simulated({s: -(-n // 16) if s != "tiny" else 90 for s, n in sizes.items()}, weights, piece=5000):
+        assert first == slot
+        for s, k in zip(sources, ks, strict=True):
+            assert k == took[s]
+            took[s] += 1
+            slot += 1
+            assert abs(took[s] - slot * weights[s] / total) < 1
+            if slot % 500 == 0:
+                assert all(abs(took[x] - slot * weights[x] / total) < 1 for x in took)
+        if slot >= 60_000:  # no source has run out yet
+            break
+
+
+def test_mixing_of_any_number_of_sources(spark):
+    table = spark.range(3000).selectExpr("id as doc_id", "case when id < 1500 then 'big' else concat('s', id % 700) end as source")
+    got = mixing.positioned(table, block_rows=2).collect()
+    sizes = {}
+    for r in got:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + 1
+    blocks = {s: -(-n // 2) for s, n in sizes.items()}
+    slots = {r["slot"]: r["source"] for r in got}
+    assert len(got) == len({r["position"] for r in got}) == 3000 and len(blocks) == 701 and sorted(slots) == list(range(sum(blocks.values())))
+    want = slots_by_brute_force(blocks, {s: float(n) ** 0.5 for s, n in sizes.items()})
+    assert [slots[k] for k in range(len(want))] == want
+    few = mixing.scheduled(table.where("doc_id < 1900"), {"big": 1.5, "s100": 2000.25}, block_rows=2).collect()
+    assert sorted({r["slot"] for r in few}) == list(range(len({(r["source"], r["block"]) for r in few})))
+
+
 def test_audio(spark, odd, empty):
     t = np.arange(12000) / audio.RATE
     tune = sum(np.sin(2 * np.pi * f * t) * (np.sin(2 * np.pi * t * (1 + k)) > 0) for k, f in enumerate((220, 277, 330, 440, 554)))

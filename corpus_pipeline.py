@@ -37,9 +37,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and the token ids, in the order of the documents."""
-    coded = bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, source, n_tokens, the token ids and position, in the order of position.
+
+    Files of a table are not read in their order, so the place in the mixing schedule is found again from the documents,
+    and position carries it in the rows.
+    """
+    ordered = mixing.positioned(docs.select("doc_id", "source", "text")).drop("block", "slot").orderBy("position")
+    coded = bpe.encode(ordered, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "position")
 
 
 STAGES = [
@@ -57,4 +62,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, root = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_dir(spark)
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), root, name)
-    return docs
+    return docs.orderBy("position")

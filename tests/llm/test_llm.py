@@ -385,3 +385,27 @@ def test_pipeline(spark, odd, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, SF)
     assert none.count() == 0
+
+
+def test_pipeline_keeps_the_order_of_mixing(spark):
+    import corpus_pipeline
+
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")  # so that each stage writes several files
+    try:
+        out = corpus_pipeline.run(spark, SF)
+        rows = out.collect()
+    finally:
+        spark.conf.unset(setting)
+    sizes = {}
+    for r in rows:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + 1
+    blocks, block = {s: -(-n // mixing.BLOCK_ROWS) for s, n in sizes.items()}, mixing.BLOCK_ROWS
+    want, taken = [], dict.fromkeys(sizes, 0)
+    for s in slots_by_brute_force(blocks, {s: float(n) ** 0.5 for s, n in sizes.items()}):
+        n = min(block, sizes[s] - taken[s])
+        want += [s] * n
+        taken[s] += n
+    assert [r["source"] for r in rows] == want
+    files = [[r["position"] for r in spark.read.parquet(f).collect()] for f in sorted(out.inputFiles())]
+    assert len(files) > 1 and [p for f in files for p in f] == [r["position"] for r in rows]

@@ -3,10 +3,14 @@
 A document's merit is a linear score of measures of its whole text. For a pair of a good and a poor document the
 probability that the good one is preferred is the logistic function of the difference of their merits; the weights
 minimise the logistic loss over pairs, on differences of the measures. Documents are then accepted if their merit is
-at or above a quantile of the merits of the labelled documents: the quantile is the one that parts the labels best.
+above a quantile of the merits of the labelled documents: the quantile is the one that parts the labels best.
 
 The weights are fitted on at most MOST_LABELLED labelled rows (those of the least hash of their id) and PAIRS pairs;
 scores cover all documents.
+
+A null or blank text has no measure but that it is empty, and is scored. Several labels of a document are as many rows of
+training, as are rows of one doc_id; labels other than 0 and 1 and null ids or labels are not used. Equal texts have equal
+scores, whatever their ids and batches. Extra columns pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -86,13 +90,18 @@ class Ranking:
     scale: float
 
     def merit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.spread, -8, 8) @ self.weights
+        """Added up measure by measure, so that a text's merit is the same to the last bit in any batch."""
+        z, out = np.clip((x - self.mean) / self.spread, -8, 8), np.zeros(len(x))
+        for k, w in enumerate(self.weights):
+            out += z[:, k] * w
+        return out
 
     def score(self, x: np.ndarray, at: float = THRESHOLD) -> np.ndarray:
         """0 to 1, and at least `at` exactly where the merit is at or above the threshold."""
+        over = self.merit(x) - self.threshold
         with np.errstate(over="ignore"):
-            s = 1 / (1 + np.exp(-((self.merit(x) - self.threshold) * self.scale + np.log(at / (1 - at)))))
-        return np.where(self.merit(x) >= self.threshold, np.maximum(s, at), np.minimum(s, np.nextafter(at, 0)))
+            s = 1 / (1 + np.exp(-(over * self.scale + np.log(at / (1 - at)))))
+        return np.where(over >= 0, np.maximum(s, at), np.minimum(s, np.nextafter(at, 0)))
 
 
 def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, seed: int = 7) -> Ranking:
@@ -115,16 +124,19 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, s
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    merit = z @ w
+    merit = Ranking(mean, spread, w, 0.0, 1.0).merit(x)
     levels = np.unique(np.concatenate([np.linspace(0, 1, 401), [(y == 0).mean()]]))
     cuts = np.quantile(merit, levels)
     order = np.argsort(merit)
-    below = np.searchsorted(merit[order], cuts)
+    ranked = merit[order]
+    below = np.searchsorted(ranked, cuts)
     poor, good = np.concatenate([[0], np.cumsum(1 - y[order])]), np.concatenate([[0], np.cumsum(y[order])])
     # balanced errors: poor rows accepted and good rows rejected
     errors = (poor[-1] - poor[below]) / poor[-1] + good[below] / good[-1]
     best = np.flatnonzero(errors <= errors.min() + 1e-12)
-    threshold = float(np.median(cuts[best]))
+    # midway between the neighbours of the middle one of the best quantiles, so that no training row lies on the threshold
+    at = below[best[len(best) // 2]]
+    threshold = float(ranked[0] - 1 if at == 0 else (ranked[at - 1] + ranked[at]) / 2)
     scales = np.geomspace(0.1, 10, 41)
     s = 1 / (1 + np.exp(-np.clip(np.outer(scales, merit - threshold) + np.log(THRESHOLD / (1 - THRESHOLD)), -500, 500)))
     loss = -(np.log(np.clip(np.where(y == 1, s, 1 - s), 1e-12, 1))).mean(1)

@@ -162,6 +162,43 @@ def test_quality(spark, odd, empty):
     assert {r["predicted"] for r in quality.judged(table, labels.where("1 = 0")).collect()} == {1}
 
 
+def test_quality_is_a_bradley_terry_fit():
+    """Against gradient descent on the same loss over the same pairs; a text's score is the same in any batch and order."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice(["the", "cat", "sat!", "BUY", "x1", "#$"], int(rng.integers(3, 40)), p=p)) for p in ([0.4, 0.3, 0.1, 0.1, 0.05, 0.05], [0.2, 0.2, 0.2, 0.2, 0.1, 0.1]) for _ in range(60)]
+    x, y = np.array([quality.measures(t) for t in texts]), np.repeat([1, 0], 60)
+    model = quality.fit(x, y, pairs=500, ridge=0.05, seed=3)
+    z = np.clip((x - model.mean) / model.spread, -8, 8)
+    draw = np.random.default_rng(3)
+    d = z[draw.choice(np.flatnonzero(y == 1), 500)] - z[draw.choice(np.flatnonzero(y == 0), 500)]
+    w = np.zeros(x.shape[1])
+    for _ in range(60_000):
+        w += 0.05 * ((d * (1 / (1 + np.exp(d @ w)))[:, None]).mean(0) - 0.05 * w)
+    assert np.abs(w - model.weights).max() < 1e-6
+    merit = model.merit(x)
+    assert np.abs(merit - model.threshold).min() > 0
+    # the share below the threshold parts the labels best among all cuts at the 401 quantiles
+    balanced = lambda t: ((merit >= t) & (y == 0)).sum() / 60 + ((merit < t) & (y == 1)).sum() / 60
+    assert balanced(model.threshold) <= min(balanced(t) for t in np.quantile(merit, np.linspace(0, 1, 401))) + 1e-12
+    whole = model.score(x)
+    for size in (1, 3, 30):
+        assert (np.concatenate([model.score(x[k : k + size]) for k in range(0, len(x), size)]) == whole).all()
+    assert (model.score(x[::-1])[::-1] == whole).all()
+
+
+def test_quality_of_odd_rows(spark):
+    """Several labels and rows of one doc_id, null ids and labels, labels of unknown kinds."""
+    table = docs(spark, ["a good text. of words", "BAD!!! ###"] * 10).unionByName(docs(spark, ["a good text. of words", None])).unionByName(docs(spark, ["null id", None]).withColumn("doc_id", F.lit(None).cast("long")))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 21)] + [(1, 0), (1, 1), (2, 5), (None, 1), (3, None)], "doc_id long, quality int")
+    rows = quality.judged(table, labels).collect()
+    assert len(rows) == 24 and all(0 <= r["score"] <= 1 for r in rows)
+    assert {r["held_out"] for r in rows if r["doc_id"] is None} == {False}
+    by_text = {}
+    for r in quality.score(table, quality.train(table, labels)).collect():
+        by_text.setdefault(r["text"] or "", set()).add(r["score"])
+    assert all(len(s) == 1 for s in by_text.values())
+
+
 def test_quality_on_held_out(spark):
     rows = quality.judged(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.85

@@ -143,6 +143,34 @@ def test_jaccard_join(spark, odd, empty):
     assert one == {k for k, (_, c) in components_by_brute_force(texts, 5, 80).items() if c == k}
 
 
+def test_jaccard_join_of_large_groups_of_near_copies(spark):
+    """Copies about as far from each other as the threshold, with and without their common original, cut ones and spliced ones."""
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(400)]
+    texts = []
+    for size, share in ((80, 6), (60, 3), (120, 9)):
+        base = list(rng.choice(words, size))
+        for n in range(50):
+            copy = list(base)
+            for at in rng.integers(0, len(copy), int(rng.integers(1, share))):
+                copy[at] = f"new{rng.integers(1 << 30)}" if rng.random() < 0.7 else str(rng.choice(words))
+            texts.append(" ".join(copy[: len(copy) - int(rng.integers(0, 6))] if n % 3 == 0 else copy))
+        texts += [" ".join(base[k : k + size // 2] + list(rng.choice(words, size // 9))) for k in range(12)]
+    want = components_by_brute_force(texts, 4, 85)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs(spark, texts), 4, 85).collect()}
+    assert got == want and 20 < len({c for _, c in want.values()}) < len(texts)
+
+
+def test_jaccard_join_of_rows_with_one_id(spark):
+    t, u = " ".join(f"t{k}" for k in range(60)), " ".join(f"u{k}" for k in range(60))
+    rows = [(5, t), (5, u), (7, t + " more"), (9, u + " more"), (None, t), (8, None), (8, t)]
+    for order in (rows, rows[::-1]):
+        table = spark.createDataFrame(order, "doc_id long, text string")
+        got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard.join(table, 4, 85).collect())
+        assert got == [(0, 57, None), (5, 57, 5), (5, 57, 5), (7, 58, 5), (8, 0, 8), (8, 57, 5), (9, 58, 5)]
+        assert sorted(r["doc_id"] or 0 for r in jaccard.one_of_each(table).collect()) == [0, 5, 5, 8, 8]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (7, 7), (3, 5), (None, 1), (20, 3), *((k, k + 1) for k in range(100, 130))], "a long, b long")
     got = {r["id"]: r["component"] for r in common.components(edges, common.shared_dir(spark)).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 WORD_BREAKS = " \t\n\x0b\x0c\r"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
@@ -25,21 +27,31 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder inside spark.checkpoint.dir, which all machines see.
 
-    Only where that setting is missing (tests on one machine) a local folder is made and set.
+    Only where that setting is missing and the master is local (one machine, as in tests) a local folder is made and set.
     """
     small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines see")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/hindcast-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, root: str, name: str, *by: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage is cut and lost executors cost nothing."""
-    path = f"{root}/{name}"
-    (df.write.partitionBy(*by) if by else df.write).mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, root: str, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: lineage is cut and lost executors cost nothing.
+
+    What the writing shuffled is deleted when the table is there, not only when the driver collects garbage.
+    """
+    path, spark = f"{root}/{name}", df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(spark: SparkSession, root: str, *names: str) -> None:

@@ -1,10 +1,15 @@
 """URL filters with redirect equivalence, in DataFrame functions only.
 
 Rules block or allow a host, all its subdomains and, with a path, what starts with it; the longest fitting rule decides.
-Other pages follow the pages that they are equivalent to: edges are a page's canonical link and redirects found in its
-HTML (link rel=canonical, meta refresh, meta og:url), and the canonical form of its own url (no scheme, no www. or m.,
-no query or fragment, no trailing slash or .html). In the connected components of these edges, a page without a rule is
-blocked if a page of its component is blocked by a rule and none is explicitly allowed; an explicit allow always stays.
+Other pages follow the pages that they are equivalent to: edges are a page's canonical links and redirects found in its
+HTML (every link rel=canonical, meta refresh, meta og:url) and its own url. In the connected components of these edges, a
+page without a rule is blocked if a page of its component is blocked by a rule and none is explicitly allowed; an explicit
+allow always stays.
+
+Urls are one node if they differ only in scheme, in A-Z of the host, in a leading www. or m., in a trailing slash or .html
+of the path, in dot segments or in the fragment; the query counts. References are resolved as RFC 3986 does, against the
+page's own url (a base element isn't read); other schemes than http and https, and references to the page itself, are no
+edges.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from hindcast.llm.common import components, shared_dir, written
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What refers to another page, with the reference as the group.
 CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
 OPEN_GRAPH = r"(?is)<meta\b(?=[^>]*\bproperty\s*=\s*[\"']?og:url\b)[^>]*?\bcontent\s*=\s*[\"']?([^\"'\s>]+)"
@@ -44,20 +50,50 @@ def fitting(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return found
 
 
+def query_of(url: Column) -> Column:
+    """The query with its question mark, or the empty text."""
+    found = F.regexp_extract(rest_of(url), r"^[^?#]*\?([^#]*)", 1)
+    return F.when(found != "", F.concat(F.lit("?"), found)).otherwise(F.lit(""))
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its . and .. segments."""
+    step = lambda done, part: F.when(part == ".", done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(part)))
+    walked = F.array_join(F.aggregate(F.slice(F.split(path, "/"), 2, 1_000_000), F.array(F.lit("")), step), "/")
+    return F.when(F.contains(path, F.lit("/.")), walked).otherwise(path)
+
+
 def canonical(url: Column) -> Column:
     """The form that variants of a url share; null for a url without ://."""
     host = F.regexp_replace(host_of(url), r"^(www|m)\.", "")
-    path = F.regexp_replace(path_of(url), r"(/|\.html?)$", "")
-    return F.when(host != "", F.concat(host, path))
+    path = F.regexp_replace(without_dots(path_of(url)), r"(/|\.html?)$", "")
+    return F.when(host != "", F.concat(host, path, query_of(url)))
+
+
+def resolved(reference: Column, base: Column) -> Column:
+    """The absolute url of a reference in the page `base`, or null if it isn't one to another page."""
+    ref = F.regexp_replace(F.regexp_replace(F.trim(reference), r"(?i)&amp;", "&"), r"#.*$", "")
+    site, path = F.concat(F.lit("x://"), host_of(base)), path_of(base)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"^(.*/)", 1))
+    return (
+        F.when((ref == "") | (host_of(base) == ""), F.when(ref.rlike(r"(?i)^https?://"), ref))
+        .when(ref.rlike(r"(?i)^https?://"), ref)
+        .when(ref.startswith("//"), F.concat(F.lit("x:"), ref))
+        .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(ref.startswith("/"), F.concat(site, ref))
+        .when(ref.startswith("?"), F.concat(site, path, ref))
+        .otherwise(F.concat(site, folder, ref))
+    )
 
 
 def edges(pages: DataFrame) -> DataFrame:
-    """(page_id, node): the canonical forms that a page is equivalent to, each the hash of a url."""
-    of = lambda pattern: F.regexp_extract(F.coalesce("html", F.lit("")), pattern, 1)
-    known = canonical(F.col("url"))
-    linked = [F.when(of(x).startswith("/"), F.concat(F.regexp_extract("url", r"^([^/]*//[^/?#]*)", 1), of(x))).otherwise(of(x)) for x in (CANONICAL, REFRESH, OPEN_GRAPH)]
-    nodes = F.array_compact(F.array(known, *(canonical(x) for x in linked)))
-    return pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.transform(nodes, lambda x: F.xxhash64(x)).alias("nodes"))
+    """(page_id, nodes): the canonical forms that a page is equivalent to, each the hash of a url; its own comes first."""
+    html = F.coalesce("html", F.lit(""))
+    found = F.concat(*(F.regexp_extract_all(html, F.lit(x), F.lit(1)) for x in (CANONICAL, REFRESH, OPEN_GRAPH)))
+    pages = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", found.alias("__refs"))
+    linked = F.transform("__refs", lambda x: canonical(resolved(x, F.col("url"))))
+    nodes = F.array_compact(F.concat(F.array(canonical(F.col("url"))), linked))
+    return pages.select("page_id", F.transform(nodes, lambda x: F.xxhash64(x)).alias("nodes"))
 
 
 def classes(pages: DataFrame, root: str | None = None) -> DataFrame:
@@ -72,7 +108,7 @@ def classes(pages: DataFrame, root: str | None = None) -> DataFrame:
 
 
 def filtered(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, root: str | None = None) -> DataFrame:
-    """pages with host, path, rule, verdict and alias; columns of these names are replaced.
+    """pages with host, path, rule, verdict and alias (null for a null page_id); columns of these names are replaced.
 
     A null url has an empty host and path. Rows of one page_id are one page: their urls are equivalent. Rows with a null
     page_id are judged by rules alone. An empty table gives an empty result.
@@ -102,14 +138,14 @@ with recursive rules(host, path, verdict) as (
   select page_id, url, html, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
 ), parsed as (
   select page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) as query
   from cut
 ), ruled as (
-  select p.page_id, p.host, p.path, arg_max(r.host || r.path, length(r.host || r.path)) as rule, arg_max(r.verdict, length(r.host || r.path)) as verdict
+  select p.page_id, p.host, p.path, p.query, arg_max(r.host || r.path, length(r.host || r.path)) as rule, arg_max(r.verdict, length(r.host || r.path)) as verdict
   from parsed p left join rules r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path)
-  group by p.page_id, p.host, p.path
+  group by p.page_id, p.host, p.path, p.query
 ), forms as (
-  select *, case when host = '' then page_id::varchar else regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/|\.html?)$', '') end as alias from ruled
+  select *, case when host = '' then page_id::varchar else regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/|\.html?)$', '') || case when query <> '' then '?' || query else '' end end as alias from ruled
 )
 select page_id, host, path, rule, coalesce(verdict, case when bool_or(coalesce(verdict = 'block', false)) over (partition by alias)
   and not bool_or(coalesce(verdict = 'allow', false)) over (partition by alias) then 'block' else 'allow' end) as verdict

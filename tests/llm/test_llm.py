@@ -307,6 +307,55 @@ def test_urls(spark):
     assert urls.verdicts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def verdicts_by_brute_force(rows):
+    """Union of pages by the urls that urllib resolves; rows are (page_id, url, references)."""
+    from urllib.parse import urljoin, urlsplit
+
+    def form(url):
+        u = urlsplit(urljoin(url, url))
+        return re.sub(r"^(www|m)\.", "", u.netloc.lower()) + re.sub(r"(/|\.html?)$", "", u.path) + ("?" + u.query if u.query else "")
+
+    def rule(url):
+        u = urlsplit(url)
+        fits = [(len(h + p), v) for h, p, v in urls.RULES if (u.netloc.lower() == h or u.netloc.lower().endswith("." + h)) and u.path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for _, url, refs in rows:
+        for ref in refs:
+            if not re.match(r"(?!https?:)[a-z]+:", ref) and ref and not ref.startswith("#"):
+                root[find(form(urljoin(url, ref)))] = find(form(url))
+    out = {}
+    for page, url, _ in rows:
+        near = [rule(u) for _, u, _ in rows if find(form(u)) == find(form(url))]
+        out[page] = rule(url) or ("block" if "block" in near and "allow" not in near else "allow")
+    return out
+
+
+def test_urls_follow_references_of_all_kinds(spark):
+    kinds = ["<link rel=canonical href='{}'>", '<meta http-equiv="refresh" content="0; url={}">', '<meta property="og:url" content="{}">']
+    rows = [
+        (1, "https://a.info/x/p.html", ["//b.example.com/de/1"]), (2, "https://b.example.com/de/1", []), (3, "https://a.info/x/q", ["p.html"]), (4, "https://a.info/x/y/r?k=1", ["../q"]),
+        (5, "https://a.info/p?id=1", ["https://c.net/"]), (6, "https://a.info/p?id=2", []), (7, "https://a.info/s", ["?id=2", "p?id=1"]), (8, "https://c.net", []), (9, "https://c.net/", []), (10, "http://WWW.c.net/index/", ["/"]),
+        (11, "https://d.info/z", ["mailto:x@c.net", "#top", "javascript:void"]), (12, "https://d.info/w/", ["./v", "/u/./t/../z"]), (13, "https://d.info/w/v.html", ["https://x.org/fr/ok"]), (14, "https://x.org/fr/ok", ["https://b.example.com/de/1"]),
+        (15, "https://e.info", ["f"]), (16, "https://e.info/f", ["https://y.example.com/de/"]),
+    ]
+    table = [(page, url, "<html>" + "".join(kinds[(page + k) % 3].format(ref) for k, ref in enumerate(refs)), "x", 7) for page, url, refs in rows]
+    # repeated ids, null ids, columns with the names of results
+    table += [(1, "https://again.info/", "", "x", 7), (None, "https://b.example.com/de/1", "", "x", 7), (17, "https://again.info", "", "x", 7)]
+    got = urls.filtered(spark.createDataFrame(table, "page_id long, url string, html string, alias string, rule int")).collect()
+    want = verdicts_by_brute_force(rows)
+    assert {r["page_id"]: r["verdict"] for r in got if r["page_id"] in want and "again" not in r["url"]} == want
+    assert {r["verdict"] for r in got if "again" in r["url"]} == {want[1]} == {"allow"} and len(got) == 19
+    assert [r["verdict"] for r in got if r["page_id"] is None] == ["block"]
+
+
 def test_winnowing(spark, odd, empty):
     got = {r["doc_id"]: r for r in winnow.fingerprints(odd).collect()}
     texts = [t or "" for t in ODD + ODD]

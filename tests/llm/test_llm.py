@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from hindcast.llm import audio, bpe, common, jaccard, language, lines, mixing, mixlm, quality, urls, winnow
@@ -232,16 +233,59 @@ def test_quality_on_held_out(spark):
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.85
 
 
-def test_kneser_ney_sums_to_one():
-    texts = ["abracadabra", "banana bandana", "cabana"]
-    alphabet = language.Alphabet([ord(c) for c in "abcdnr"])
-    flat, _ = language.points(texts)
-    keys, n = np.unique(language.packed(alphabet.table[flat], language.ORDER), return_counts=True)
-    model = language.kneser_ney(keys, n.astype(float), ["x"], alphabet)
-    for context in ("ban", "abr", "zzz", " ca"):
-        symbols = np.array([[*(alphabet.table[ord(c)] for c in context), s] for s in range(language.ALPHABET)], np.uint8)
-        grams = sum(symbols[:, k].astype(np.uint64) << np.uint64(8 * (3 - k)) for k in range(4))
-        assert math.isclose(np.exp(model.log_probabilities(grams).astype(float)).sum(), 1, rel_tol=1e-3)
+def kneser_ney_by_definition(texts):
+    """p(c, context) of interpolated Kneser-Ney with its definition in dictionaries."""
+    counts = {}
+    for t in texts:
+        form = " " + " ".join(t.split()) + " "
+        for k in range(len(form) - 3):
+            counts[form[k : k + 4]] = counts.get(form[k : k + 4], 0) + 1
+    levels = [counts]
+    while len(levels) < 4:
+        below = {}
+        for g in levels[-1]:
+            below[g[1:]] = below.get(g[1:], 0) + 1
+        levels.append(below)
+    symbols = len(levels[-1]) + 1
+
+    def p(gram, level=0):
+        if level == 4:
+            return 1 / symbols
+        c = levels[level]
+        n1, n2 = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+        d = min(max(n1 / (n1 + 2 * n2), 0.05), 0.95) if n1 else 0.5
+        seen = [n for g, n in c.items() if g[:-1] == gram[:-1]]
+        if not seen:
+            return p(gram[1:], level + 1)
+        return max(c.get(gram, 0) - d, 0) / sum(seen) + max(1e-6, d * len(seen) / sum(seen)) * p(gram[1:], level + 1)
+
+    return p
+
+
+def test_kneser_ney_equals_its_definition(spark):
+    texts = ["abracadabra", "banana bandana", "cabana", "абра", "a \U00020000b"]
+    table = docs(spark, texts).withColumn("lang", F.lit("x")).withColumn("own", F.lit(False))
+    rows = language.counted(table, ["x"]).collect()
+    form = lambda g: "".join(chr(g >> 16 * k & 0xFFFF) for k in (3, 2, 1, 0))
+    want = {}
+    for t in texts:
+        t = " " + t.replace("\U00020000", chr(language.SURROGATES + 0x20000 % language.SPARE)) + " "
+        for k in range(len(t) - 3):
+            want[t[k : k + 4]] = want.get(t[k : k + 4], 0) + 1
+    assert {form(r["gram"]): r["n"] for r in rows} == want
+    model = language.kneser_ney(np.array([r["gram"] for r in rows]).view(np.uint64), np.zeros(len(rows), int), np.array([r["n"] for r in rows], float), ["x"])
+    p = kneser_ney_by_definition([t.replace("\U00020000", chr(language.SURROGATES + 0x20000 % language.SPARE)) for t in texts])
+    letters = sorted({g[-1] for g in want}) + ["ж"]
+    for context in ("ban", "abr", "zzz", " ca", "zab"):
+        symbols = np.array([[*map(ord, context), ord(c)] for c in letters], np.uint16)
+        got = np.exp(model.log_probabilities(np.concatenate([language.packed(s, 4) for s in symbols])).astype(float))[:, 0]
+        assert np.allclose(got, [p(context + c) for c in letters], rtol=1e-5) and math.isclose(got.sum(), 1, rel_tol=1e-5)
+
+
+def test_language_is_the_same_in_any_partitions(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    found = [sorted((r["doc_id"], r["lang_pred"], r["score"], r["rejected"]) for r in language.predicted(table.repartition(n)).collect()) for n in (1, 7)]
+    assert found[0] == found[1]
 
 
 def test_language(spark, odd, empty):
@@ -281,12 +325,123 @@ def test_mixlm_base_is_exact_and_score_is_a_probability(spark, odd, empty):
     assert mixlm.documents_scored(empty).count() == 0
 
 
+def log_probability_by_definition(model, text):
+    """One decision after another, in plain Python."""
+    full = (1 << 64) - 1
+    m1, m2, m3 = (int(x) for x in (mixlm._M1, mixlm._M2, mixlm._M3))
+    own_hash = lambda w: (known[w] + 1) * m2 & full if w in known else xxhash.xxh3_64_intdigest(w)
+    known = {w: k for k, w in enumerate(model.words)}
+    one_counts, (check, codes, leaves) = model.one, model.two
+    bits = (len(check) - 1).bit_length()
+    path = lambda leaf: [(int(model.node[r]), bool(model.bit[r]), float(model.p[r]), int(model.own[r])) for r in range(model.starts[leaf], model.starts[leaf + 1])]
+    odds = lambda z, o, doubt: min(max(math.log((o + 0.4) / (z + 0.4)) * (z + o) / max(z + o + doubt, 1e-9), -15), 15)
+    table, w, v, total = {}, [1.0] * mixlm.KINDS, 1.0, 0.0
+
+    def step(rows):
+        nonlocal v, total
+        changes = []
+        for x, sign, slot, kind in rows:
+            s = table.get(slot, 0.0)
+            z = (x * w[kind] + s * v) * sign
+            total -= math.log1p(math.exp(-z))
+            changes.append((slot, s, x, kind, sign / (1 + math.exp(z))))
+        for slot, s, x, kind, wrong in changes:
+            w[kind] += float(mixlm.RATE[0]) * x * wrong
+            v += float(mixlm.RATE[1]) * s * wrong
+            table[slot] = s + mixlm.OWN_RATE * wrong
+
+    before = [0, 0]
+    for word in [*mixlm.words_of(text), mixlm.END]:
+        one, two = before[1], before[0]
+        pair = ((one ^ two >> 31) * m1 + two * m3) & full
+        pair = (pair ^ pair >> 29) * m2 & full
+        pair ^= pair >> 32
+        at = pair >> 64 - bits
+        code = int(codes[at]) if int(check[at]) == pair >> 64 - bits - 8 & 255 else 0
+        guessed = path(int(leaves[at])) if code & 15 >= 2 else []
+        gate_there, rows = int(mixlm.gate_of(np.array([code]))[0]), []
+        for k, (node, bit, p, own) in enumerate(path(known.get(word, 0))):
+            slot = ((one * m2 & full) + (node * m3 & full) & full) * m1 % (1 << 64) >> 64 - mixlm.ONE_BITS
+            on = k < len(guessed) and guessed[k][0] == node
+            gate = gate_there if on else 0
+            guess = (1 if guessed[k][1] else -1) if on else 0
+            a, b, c = (float(x) for x in model.tree_weights[gate])
+            rows.append((a * p + b * odds(*(float(x[slot]) for x in one_counts), mixlm.ONE_DOUBT) + c * guess, 1 if bit else -1, own, 1 if gate else 0))
+        step(rows)
+        if word not in known:
+            _, bit, slots, own = mixlm.bit_rows([word], model.code)
+            rows = []
+            for k in range(len(bit)):
+                counts = [[float(x) for x in t[:, slot[k]]] for t, slot in zip(model.spelled, slots, strict=True)]
+                gate = int(np.searchsorted(mixlm.GATES, sum(counts[-1]), "right"))
+                x = sum(int(odds(*c, d) * mixlm.SCALE) / mixlm.SCALE * float(model.byte_weights[gate, j]) for j, (c, d) in enumerate(zip(counts, mixlm.DOUBT, strict=True)))
+                rows.append((x, 1 if bit[k] else -1, int(own[k]), 2 + (gate > 2)))
+            step(rows)
+        before = [one, own_hash(word)]
+    return total
+
+
+def test_mixlm_equals_its_definition(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(20)]
+    texts += [texts[0], texts[1], "new" + texts[2], None, "", "odd unseen ÄÖ words " + texts[3][:50], "x" * 3000]
+    table = docs(spark, texts)
+    model, *_ = mixlm.train(table, common.shared_dir(spark))
+    got = {r["doc_id"]: r["score"] for r in mixlm.documents_scored(table).collect()}
+    model.prepare()
+    assert np.abs(model.tree_weights - mixlm.TREE_WEIGHTS).max() > 0.01
+    for k, t in enumerate(texts, 1):
+        assert math.isclose(got[k], log_probability_by_definition(model, t or "") / math.log(10), rel_tol=2e-4)
+
+
+def test_mixlm_successors_of_two_words():
+    rng = np.random.default_rng(6)
+    pair = rng.integers(0, 1 << 44, 60).astype(np.uint64) << np.uint64(20)
+    keys = (pair[rng.integers(0, 60, 900)] >> np.uint64(18) << np.uint64(18)) | rng.integers(0, 4, 900).astype(np.uint64)
+    bits = 8
+    check, code, leaf = mixlm.successors(keys, np.ones(900, np.uint32), bits, 0, 0)
+    want = {}
+    for key in {int(k) >> 18 for k in keys}:
+        n = {}
+        for k in keys:
+            if int(k) >> 18 == key:
+                n[int(k) & 0x3FFFF] = n.get(int(k) & 0x3FFFF, 0) + 1
+        most = max(n.values())
+        if most >= 2:
+            best = min(x for x in n if n[x] == most)
+            want.setdefault(key >> 46 - bits, []).append((-most, key << 18 | best, sum(n.values()) - most))
+    for slot in range(1 << bits):
+        if slot not in want:
+            assert code[slot] == 0
+        else:
+            n, key, others = min(want[slot])
+            assert (leaf[slot], check[slot], code[slot]) == (key & 0x3FFFF, key >> 64 - bits - 8 & 255, min(-n, 15) | min(others, 15) << 4)
+
+
+def test_mixlm_tells_repeated_texts_apart(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.choice(words, 200)) for _ in range(60)]
+    texts += texts[:6]
+    got = {r["doc_id"]: r["bits_per_byte"] for r in mixlm.documents_scored(docs(spark, texts)).collect()}
+    trained = [k for k in range(1, 7) if all(zlib.crc32(str(x).encode()) % 7 != 2 for x in (k, k + 60))]
+    assert trained and max(got[k] for k in trained) < min(got[k] for k in range(7, 61))
+
+
+def test_mixlm_beats_its_base_on_held_out(spark):
+    rows = mixlm.documents_scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert rows["s"] > rows["b"]
+
+
 def test_mixlm_first_word_sums_to_one():
     """The probabilities of all leaves of the word tree, and of all next bytes, add up to one before anything is learned."""
     counts = np.array([5.0, 3, 100, 7, 1, 1, 40])
-    model = mixlm.Model([mixlm.ESCAPE, mixlm.END, b"a", b"b", b"c", b"d", b"e"], counts, mixlm.huffman(np.ones(256)), [np.zeros(1 << b, np.int16) for b in mixlm.TABLES[:-1]] + [(np.zeros(1 << mixlm.TABLES[-1], np.int16), np.zeros(1 << mixlm.TABLES[-1], np.uint8))])
+    model = mixlm.Model([mixlm.ESCAPE, mixlm.END, b"a", b"b", b"c", b"d", b"e"], counts, mixlm.huffman(np.ones(256)))
+    model.spelled, model.one = [np.zeros((2, 1 << b), np.float16) for b in mixlm.TABLES], np.zeros((2, 1 << mixlm.ONE_BITS), np.float32)
+    model.two, model.tree_weights, model.byte_weights = (np.zeros(4, np.uint8), np.zeros(4, np.uint8), np.zeros(4, np.int32)), mixlm.TREE_WEIGHTS, mixlm.WEIGHTS
     model.prepare()
-    p = [math.exp(model.score(np.array([k]), np.array([1]), model.rows([]))[0]) for k in range(7)]
+    p = [math.exp(model.score(np.array([k]), np.array([0, 1]))[0]) for k in range(7)]
     assert math.isclose(sum(p), 1, rel_tol=1e-5)
     lengths, _, _ = mixlm.huffman(np.arange(256))
     assert math.isclose((0.5 ** lengths.astype(float)).sum(), 1)

@@ -15,6 +15,27 @@ def three_rank_weight(sim: Column, base_pct: Column, pct: Column, far: Column, m
     return F.pow(F.greatest(sim, F.lit(0.0)), F.lit(0.5)) * F.pow(near, F.lit(0.2)) * F.pow(path, F.lit(0.3))
 
 
+def prior_spread(path: Column) -> Column:
+    """The spread of an analogue's prior: the population deviation of its path's steps, one percent at least; null without steps."""
+    steps = F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda k: F.get(path, k) - F.get(path, k - 1))
+    n = F.size(path) - 1
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    mean = add(steps) / n
+    return F.when(n > 0, F.greatest(F.sqrt(add(F.transform(steps, lambda x: (x - mean) * (x - mean))) / n), F.lit(1.0)))
+
+
+def kernel_parts(points: DataFrame, key: str) -> DataFrame:
+    """points (key, mu, w) with sigma: Scott's bandwidth of a weighted kernel density, on the effective number of points.
+
+    Points without weight, and keys whose points don't spread, are left out.
+    """
+    of = Window.partitionBy(key)
+    p = points.where("w > 0").withColumns({"__s": F.sum("w").over(of), "__q": F.sum(F.col("w") * F.col("w")).over(of), "__m": F.sum(F.col("w") * F.col("mu")).over(of)})
+    off = F.col("mu") - F.col("__m") / F.col("__s")
+    p = p.withColumn("__d", F.sqrt(F.sum(F.col("w") * off * off).over(of) / (F.col("__s") - F.col("__q") / F.col("__s"))))
+    return p.where("__d > 1e-6").withColumn("sigma", F.col("__d") * F.pow(F.col("__s") * F.col("__s") / F.col("__q"), F.lit(-0.2))).drop("__s", "__q", "__m", "__d")
+
+
 def mixture(parts: DataFrame, key: str, grid: int = 1000) -> DataFrame:
     """(key, i, x, dens, cdf) of Gaussian mixtures given as rows (key, mu, sigma, w); weights are scaled to one.
 

@@ -419,26 +419,6 @@ def simple_backtest(spark, sf):
     return p.select("base_id", "d", "sig", r6("pnl", "pnl"), r6(F.sum("pnl").over(Window.orderBy("d", "base_id").rowsBetween(Window.unboundedPreceding, 0)), "cum"))
 
 
-MIX_W = "pow(greatest(a.sim, 0), 0.5)"
-
-
-@query(
-    f"""{RETRIEVED}, ret as ({RETURNS}), p as (select a.base_id, r.r as mu, 5.0 as sigma, {MIX_W} as w from analogues a join ret r on r.event_id = a.event_id and r.r is not null where a.rank <= 8),
-    t as (select base_id, sum(w) as s, min(mu - 3 * sigma) as lo, max(mu + 3 * sigma) as hi from p group by 1),
-    g as (select base_id, i, s, lo - 5 + i * (hi - lo + 10) / 99 as x, (hi - lo + 10) / 99 as step from t cross join (select unnest(range(100)) as i)),
-    d as (select g.base_id, i, x, step, sum(w * exp(-0.5 * ((x - mu) / sigma) ** 2) / (sigma * sqrt(2 * pi()))) / any_value(s) as dens from g join p using (base_id) group by 1, 2, 3, 4),
-    c as (select *, sum(dens) over (partition by base_id order by i) / sum(dens) over (partition by base_id) as cdf from d)
-    select base_id, round(min(x) filter (where cdf >= 0.05), 4) as p5, round(min(x) filter (where cdf >= 0.5), 4) as median, round(min(x) filter (where cdf >= 0.95), 4) as p95,
-      round(coalesce(sum(dens * step) filter (where x <= -10), 0), 4) as p_down10, round(sum(x * dens * step), 4) as mean from c group by 1""",
-    *VIEWS,
-)
-def mixture_posterior(spark, sf):
-    ret = forward(spark, sf, (15,)).where("r is not null").select("event_id", "r")
-    parts = retrieved(spark, sf).where("rank <= 8").join(ret, "event_id").select("base_id", F.col("r").alias("mu"), F.lit(5.0).alias("sigma"), F.pow(F.greatest("sim", F.lit(0.0)), F.lit(0.5)).alias("w"))
-    s = forecast.statistics(forecast.mixture(parts, "base_id", 100), "base_id")
-    return s.select("base_id", *(F.round(c, 4).alias(c) for c in ("p5", "median", "p95", "p_down10", "mean")))
-
-
 @query(
     """,, p as (select m.event_id, date_diff('day', m.d, p.d) as k, p.px, first_value(p.px) over (partition by m.event_id order by p.d) as p0 from memory m join prices p on p.d between m.d and m.d + 15)
     select event_id, cast(k as int) as k, round(100 * (px / p0 - 1), 6) as r from p""",
@@ -480,21 +460,6 @@ def chunk_var_es(spark, sf):
     return o.join(v, "base_id").where("s <= q").groupBy("base_id", "q").agg(F.avg("s").alias("m")).select("base_id", r6(-F.col("q"), "var_95"), r6(-F.col("m"), "es_95"))
 
 
-def dtw_weights(spark, sf):
-    """Three-rank weights with the paths before the event; rows only."""
-    p = asof.band_join(views.memory(spark, sf).select("event_id", F.col("d").alias("ed")), views.prices(spark, sf), "ed", "d", 15, 0)
-    path = p.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "px"))), lambda x: x["px"] / 1000.0).alias("path"))
-    a = retrieved(spark, sf).join(path, "event_id").join(path.select(F.col("event_id").alias("base_id"), F.col("path").alias("base_path")), "base_id")
-    a = retrieval.with_dtw(a, "base_path", "path")
-    w = Window.partitionBy("base_id")
-    weight = forecast.three_rank_weight(F.col("sim"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("dtw"), F.median("dtw").over(w))
-    a = a.withColumn("weight", weight)
-    return a.select("base_id", "event_id", r6("dtw", "dtw"), r6(F.col("weight") / F.sum("weight").over(w), "weight"))
-
-
-QUERIES["dtw_weights"] = dtw_weights
-
-
 def logit_glm(spark, sf):
     """Logit of a large return on the spread of the forecast: coefficients, errors and p-values."""
     from pyspark.ml.feature import VectorAssembler

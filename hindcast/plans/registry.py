@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.plans import analogues, market, measures, text
+from hindcast.plans import analogues, market, measures, posterior, text
 
-MODULES = (market, text, analogues, measures)
+MODULES = (market, text, analogues, posterior, measures)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -176,9 +176,9 @@ def semi_labelled(spark, sf):
     return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_semi").select("doc_id", "lang")
 
 
-@query("select doc_id as id, text from documents where doc_id < 100 union all select item_id + 1000000, text from benchmark")
+@query("select doc_id as id, text from documents union all select -1 - item_id, text from benchmark")
 def union_common_columns(spark, sf):
-    a, b = table(spark, sf, "documents").where("doc_id < 100").withColumnRenamed("doc_id", "id"), table(spark, sf, "benchmark").select((F.col("item_id") + 1000000).alias("id"), "text")
+    a, b = table(spark, sf, "documents").withColumnRenamed("doc_id", "id"), table(spark, sf, "benchmark").select((-1 - F.col("item_id")).alias("id"), "text")
     common = [c for c in a.columns if c in b.columns]
     return a.select(*common).unionByName(b.select(*common))
 

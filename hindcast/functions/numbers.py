@@ -47,3 +47,15 @@ def ladder(c: Column, steps: list[tuple[float, str]], last: str, closed: str = "
     for edge, label in steps:
         out = out.when(c < edge if closed == "<" else c <= edge, label)
     return out.otherwise(last)
+
+
+#: The number that each label of a price band stands for.
+MIDPOINTS = {"0%-5%": 2.5, "5%-20%": 12.5, "20%-30%": 25.0, "30%-40%": 35.0, "40%-60%": 50.0, "60%-80%": 70.0, "80%-90%": 85.0, "90%-100%": 95.0}
+
+
+def band_midpoint(label: Column) -> Column:
+    """The middle of a price band by its label; 50 for an unknown one."""
+    out = F.lit(50.0)
+    for name, value in MIDPOINTS.items():
+        out = F.when(F.trim(label) == name, value).otherwise(out)
+    return out

@@ -91,3 +91,16 @@ def parsed_json(c: Column, schema: str) -> Column:
     """A struct from JSON as a model may wrap it: plain, in fences, or the outermost braces of a text; else null."""
     inner = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
     return F.from_json(F.when(F.try_parse_json(c).isNotNull(), c).when(inner != "", inner), schema)
+
+
+def tagged(c: Column, tag: str, dropped: str) -> Column:
+    """The text of the first `tag` if it is there, else the whole text without all `dropped` elements."""
+    inner = rf"(?is)<{tag}>(.*?)</{tag}>"
+    return F.trim(F.when(c.rlike(inner), F.regexp_extract(c, inner, 1)).otherwise(F.regexp_replace(c, rf"(?is)<{dropped}.*?</{dropped}>", "")))
+
+
+def parsed_stop_list(option: str | None, default: list[str]) -> list[str]:
+    """The words of an option: none if it is missing or blank, the default if it says so, else the parts between commas."""
+    if option is None or not option.strip():
+        return []
+    return list(default) if option.strip().upper() == "DEFAULT" else [x.strip().lower() for x in option.split(",") if x.strip()]

@@ -8,6 +8,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Stretches of an order that are numbered or summed side by side.
+STRETCHES = 200
+
+
+def stretched(df: DataFrame, first: str) -> DataFrame:
+    """df with __at, the stretch of the order by `first` that a row is in: between approximate quantiles, which are a bounded list."""
+    v = (F.unix_date(first) if df.schema[first].dataType.typeName() == "date" else F.col(first)).cast("double")
+    cuts = df.agg(F.percentile_approx(v, F.array(*(F.lit(k / STRETCHES) for k in range(1, STRETCHES))))).first()[0]
+    cuts = sorted(set(cuts or []))
+    return df.withColumn("__at", F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < v)), F.lit(0)) if cuts else F.lit(0))
+
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with k, the place of each row in the order, from 1; each stretch is sorted in a task of its own."""
+    df = stretched(df, order[0])
+    n = df.groupBy("__at").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("__at").orderBy(*order))
+    return df.withColumn("__k", place).join(F.broadcast(n.select("__at", before.alias("__before"))), "__at").withColumn("k", F.col("__before") + F.col("__k")).drop("__at", "__k", "__before")
+
+
+def running(df: DataFrame, order: list[str], value: str) -> DataFrame:
+    """df with sum, the running sum of a value in the order, and peak, the largest so far, 0 at least."""
+    df = stretched(df, order[0])
+    within = Window.partitionBy("__at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__s", F.sum(value).over(within)).withColumn("__p", F.max("__s").over(within))
+    so_far = Window.partitionBy(F.lit(0)).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    each = df.groupBy("__at").agg(F.sum(value).alias("__t"), F.max("__p").alias("__m")).withColumn("__base", F.coalesce(F.sum("__t").over(so_far), F.lit(0.0)))
+    each = each.withColumn("__high", F.greatest(F.coalesce(F.max(F.col("__base") + F.col("__m")).over(so_far), F.lit(0.0)), F.lit(0.0))).select("__at", "__base", "__high")
+    out = df.join(F.broadcast(each), "__at").withColumns({"sum": F.col("__base") + F.col("__s"), "peak": F.greatest("__high", F.col("__base") + F.col("__p"))})
+    return out.drop("__at", "__s", "__p", "__base", "__high")
+
+
 def auc(df: DataFrame) -> DataFrame:
     """(auc, n, positives) of a score x for outcomes y: counts per distinct score first, so ties share their mean rank."""
     c = df.groupBy("x").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("m"))
@@ -22,8 +55,8 @@ def youden(df: DataFrame) -> DataFrame:
     """(threshold, j): where the true positive rate less the false positive rate is largest, the highest of equals."""
     c = df.groupBy("x").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
     down = Window.orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(F.lit(0))
-    j = F.sum("p").over(down) / F.sum("p").over(every) - F.sum("q").over(down) / F.sum("q").over(every)
+    c = c.join(F.broadcast(c.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))))
+    j = F.sum("p").over(down) / F.col("np") - F.sum("q").over(down) / F.col("nq")
     return c.select(F.col("x").alias("threshold"), j.alias("j")).orderBy(F.desc("j"), F.desc("threshold")).limit(1)
 
 

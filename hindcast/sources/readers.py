@@ -103,3 +103,21 @@ def article_fields(df: DataFrame, body: str = "body") -> DataFrame:
         "date": F.to_date(F.try_to_timestamp(blank(of(r"(?m)^\s*(\d{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December) \d{4})\s*$")), F.lit("d MMMM yyyy"))),
         "page_ref": blank(of(r"(?m)^\s*([A-Z]{0,2}\d{1,3})\s*$")), "body_words": T.words(F.col(body)),
     })
+
+
+def analogue_files(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """(file, ..., one row for each element of `analogues`) of a folder of JSON files, one query's analogues each.
+
+    Files that aren't JSON, or have no analogues, give no row.
+    """
+    reader = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*_analogues.json")
+    df = (reader.schema(schema) if schema else reader).json(path)
+    if "analogues" not in df.columns:
+        return spark.createDataFrame([], "file string")
+    rest = [c for c in df.columns if c != "analogues"]
+    return df.select(F.input_file_name().alias("file"), *rest, F.explode("analogues").alias("x")).select("file", *rest, "x.*")
+
+
+def stored_path(spark: SparkSession, path: str, key: str, value, column: str = "realised_path") -> DataFrame:
+    """(key, column) of one key in a stored table: the filter and both columns reach the scan."""
+    return spark.read.parquet(path).where(F.col(key) == F.lit(value)).select(key, column)

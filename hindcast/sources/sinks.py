@@ -43,3 +43,12 @@ def posteriors(points: DataFrame, path: str, key: str, horizon: str = "horizon")
     row = F.array_sort(F.collect_list(F.struct("i", "x", "dens")))
     nested = points.groupBy(key, horizon).agg(row.alias("g")).select(key, horizon, F.transform("g", lambda p: p["x"]).alias("x_grid"), F.transform("g", lambda p: p["dens"]).alias("density"))
     by_bucket(nested, path, horizon)
+
+
+def topics(parts: list[DataFrame], path: str, topic: str = "topic", label: str = "label") -> None:
+    """Topics of several periods as one CSV, and beside it a legend with each topic's label and size."""
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more, allowMissingColumns=True)
+    every.write.mode("overwrite").option("header", True).csv(f"{path}/topics")
+    every.groupBy(topic, label).agg(F.count(F.lit(1)).alias("size")).write.mode("overwrite").option("header", True).csv(f"{path}/legend")

@@ -4,8 +4,8 @@ A line's key is the line without the white space at its ends, A-Z lower-cased. K
 points that are in two documents or more lose all their lines except in the smallest doc_id that holds them.
 
 The store keeps, in a folder that all machines share: postings (key, doc_id, sign), one written table for each
-insertion or deletion; counts (key, docs, first_doc), the exact reference counts; and for each shard of the key space a
-cuckoo filter of the keys in two documents or more. A later insertion or deletion recomputes the counts of the keys it
+insertion or deletion; counts (key, docs, first_doc), the exact reference counts; and for each shard of the key space, of
+about SHARD_KEYS keys, a cuckoo filter of the keys in two documents or more. A later insertion or deletion recomputes the counts of the keys it
 touches, and adds to or takes from the filters only the keys that became repeated or ceased to be, so that inserting
 documents and deleting them again gives the former decisions. Decisions ask the filters first, and the exact table
 only for the postings that may be repeated.
@@ -29,6 +29,8 @@ from hindcast.llm.common import WORD_BREAKS, shared_dir, texts, with_arrow, writ
 MIN_POINTS = 10
 STRIPPED = WORD_BREAKS.encode()
 SLOTS, KICKS, FILL = 4, 200, 0.8
+#: Keys that a shard has at most when there are more than LEAST_SHARDS, so that no task builds a large filter.
+SHARD_KEYS, LEAST_SHARDS = 250_000, 64
 #: Filters up to this many bytes in all are broadcast; beyond, every posting is looked up in the exact table.
 MOST_FILTER_BYTES = 64 << 20
 
@@ -64,14 +66,31 @@ class CuckooFilter:
     def other(self, at, mark):
         return (at ^ (mark * np.uint64(0x5BD1E995))) & np.uint64(self.mask)
 
-    def add(self, hi: int, lo: int) -> None:
-        mark, first, second = (int(x[0]) for x in self.places([hi], [lo]))
+    def add(self, hi, lo) -> None:
+        """Adds many keys: those that find a free slot in one of their buckets at once, the few others by moving entries."""
+        mark, first, second = self.places(hi, lo)
+        left = np.arange(len(mark))
         for at in (first, second):
-            free = np.flatnonzero(self.table[at] == 0)
-            if len(free):
-                self.table[at, free[0]] = mark
-                return
-        at = first
+            left = left[~self.fill(at[left], mark[left])]
+        for k in left.tolist():
+            self.push(int(mark[k]), int(first[k]))
+
+    def fill(self, at: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Puts each mark into its bucket as long as slots are free there, in order; whether it found one."""
+        order = np.argsort(at, kind="stable")
+        at, new = at[order], np.concatenate([[True], at[order][1:] != at[order][:-1]])[: len(at)]
+        begins = np.flatnonzero(new)
+        place = np.arange(len(at)) - np.repeat(begins, np.diff(np.concatenate([begins, [len(at)]])))
+        taken = self.table[at] != 0
+        fits = place < SLOTS - taken.sum(1)
+        free = np.argsort(taken[fits], 1, kind="stable")[np.arange(int(fits.sum())), place[fits]]
+        self.table[at[fits], free] = mark[order][fits]
+        out = np.zeros(len(at), bool)
+        out[order[fits]] = True
+        return out
+
+    def push(self, mark: int, at: int) -> None:
+        """Puts a mark into a full bucket: its entries move to their other buckets in turn."""
         for n in range(KICKS):
             slot = n % SLOTS
             mark, self.table[at, slot] = int(self.table[at, slot]), mark
@@ -126,10 +145,14 @@ def postings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
 
 
 class LineStore:
-    """The incremental state; insert() and delete() may follow each other in any order."""
+    """The incremental state; insert() and delete() may follow each other in any order.
+
+    A shard has about `shard_keys` keys when the filters are built, so there are more shards the more repeated keys there
+    are (LEAST_SHARDS at least); filters without room for a change are built anew.
+    """
 
-    def __init__(self, spark: SparkSession, root: str | None = None, shards: int = 64) -> None:
-        self.root, self.shards, self.moves = root or shared_dir(spark), shards, 0
+    def __init__(self, spark: SparkSession, root: str | None = None, shard_keys: int = SHARD_KEYS) -> None:
+        self.root, self.shard_keys, self.shards, self.moves = root or shared_dir(spark), shard_keys, 1, 0
         self.log: list[DataFrame] = []
         self.counts: DataFrame | None = None
         self.filters: DataFrame | None = None
@@ -173,6 +196,7 @@ class LineStore:
             if room is not None and changes.count() <= room:
                 self.filters = written(self._changed(changes, self.filters), self.root, f"filters-{n}")
                 return
+        self.shards = max(LEAST_SHARDS, repeated.count() // self.shard_keys)
         self.filters = written(self._changed(repeated.withColumn("add", F.lit(True)), None), self.root, f"filters-{n}")
 
     def _changed(self, changes: DataFrame, filters: DataFrame | None) -> DataFrame:
@@ -185,9 +209,12 @@ class LineStore:
                 n = int(old.held[0])
             else:
                 held, n = CuckooFilter(CuckooFilter.buckets_for(len(new))), 0
-            for hi, lo, add in zip(new.hi, new.lo, new["add"], strict=True):
-                (held.add if add else held.remove)(int(hi), int(lo))
-                n += 1 if add else -1
+            gone = new[~new["add"]]
+            for hi, lo in zip(gone.hi, gone.lo, strict=True):
+                held.remove(int(hi), int(lo))
+            more = new[new["add"]]
+            held.add(more.hi.to_numpy(), more.lo.to_numpy())
+            n += len(more) - len(gone)
             return pd.DataFrame({"shard": [key[0]], "buckets": [held.mask + 1], "held": [n], "cells": [held.table.tobytes()], "stash": [np.array(held.stash, np.uint64).tobytes()]})
 
         schema = "shard long, buckets long, held long, cells binary, stash binary"

@@ -622,18 +622,82 @@ def test_mixing_of_any_number_of_sources(spark):
     assert sorted({r["slot"] for r in few}) == list(range(len({(r["source"], r["block"]) for r in few})))
 
 
+def tune(seed, seconds, rate=8000):
+    """Random chords, a quarter of a second each, as 8-bit samples."""
+    rng = np.random.default_rng(seed)
+    t = np.arange(int(seconds * rate)) / rate
+    notes = 110 * 2 ** (rng.integers(0, 48, (int(seconds * 4) + 1, 3)) / 12)
+    sound = sum(np.sin(2 * np.pi * notes[(t * 4).astype(int), k] * t) for k in range(3))
+    return np.clip(128 + 30 * sound + rng.normal(0, 2, len(t)), 0, 255).astype(np.uint8)
+
+
+def test_audio_parts_semitones():
+    t = np.arange(audio.SOUND.rate * 2) / audio.SOUND.rate
+    for hertz, want in ((110.0, 0), (116.54, 1), (130.81, 3), (233.08, 1), (440.0, 0), (1318.5, 7)):
+        assert audio.chroma(60 * np.sin(2 * np.pi * hertz * t)).mean(0).argmax() == want
+    with pytest.raises(ValueError):
+        audio.Pitch(8000, 256, 64, 110.0, 3520.0).classes  # noqa: B018
+
+
+def test_audio_areas_and_histogram_by_brute_force():
+    rows = audio.chroma(tune(1, 4).astype(float) - 128)
+    got = audio.fingerprint(tune(1, 4).tobytes())
+    for t in range(0, len(got), 7):
+        bits = 0
+        for kind, y, classes, frames in audio.FILTERS:
+            block = rows[t : t + frames, y : y + classes].astype(float)
+            half, high, third = frames // 2, classes // 2, frames // 3
+            a = {0: block[:half].sum(), 1: block[:, :high].sum(), 2: block[:half, :high].sum() + block[half:, high:].sum(), 3: block[third : 2 * third].sum()}[kind]
+            value = math.log1p(a) - math.log1p(block.sum() - a)
+            bits = bits << 2 | int(audio.GRAY[int(value > -audio.STEP) + int(value > 0) + int(value > audio.STEP)])
+        assert bits == got[t]
+    rng = np.random.default_rng(2)
+    for a, b in ((rng.integers(0, 9, 60), rng.integers(0, 9, 45)), (np.zeros(300, int), np.zeros(200, int)), (np.r_[np.zeros(150, int), rng.integers(0, 4, 80)], np.r_[rng.integers(0, 4, 30), np.zeros(120, int)])):
+        a, b = a.astype(np.uint32), b.astype(np.uint32)
+        want = np.zeros(len(a) + len(b) - 1, int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                want[i - j + len(b) - 1] += x == y
+        assert (audio.votes(a, b) == want).all()
+    # a part of a long recording that repeats the same integers in other orders
+    same = np.concatenate([np.random.default_rng(k).permutation(400) for k in range(3)]).astype(np.uint32)
+    assert audio.align(same[800:], same) == (-800, 0.0)
+
+
 def test_audio(spark, odd, empty):
-    t = np.arange(12000) / audio.RATE
-    tune = sum(np.sin(2 * np.pi * f * t) * (np.sin(2 * np.pi * t * (1 + k)) > 0) for k, f in enumerate((220, 277, 330, 440, 554)))
-    pcm = np.clip(128 + 22 * tune + np.random.default_rng(0).normal(0, 4, len(t)), 0, 255).astype(np.uint8).tobytes()
-    whole, cut = audio.fingerprint(pcm), audio.fingerprint(pcm[40 * audio.HOP :])
+    pcm = tune(0, 12)
+    whole, cut = audio.fingerprint(pcm.tobytes()), audio.fingerprint(pcm[8 * audio.SOUND.hop :].tobytes())
     offset, error = audio.align(whole, cut)
-    assert offset == 40 and error < 0.02
+    assert offset == 8 and error < 0.02
     assert audio.align(whole, whole) == (0, 0.0) and audio.align(whole[:0], whole) == (0, 1.0)
     got = {r["doc_id"]: r for r in audio.recordings(odd).collect()}
     assert len(got) == 18 and got[1]["n_places"] == 0 and all(r["next_error"] is not None for r in got.values())
     assert all(got[k]["fingerprint_sha256"] == got[k + 9]["fingerprint_sha256"] for k in range(1, 10))
     assert audio.recordings(empty).count() == 0
+    rows = audio.recordings(spark.createDataFrame([(None, "x y"), (None, None), (3, "z"), (3, "zz")], "doc_id long, text string")).collect()
+    assert len(rows) == 4 and sorted(r["doc_id"] or 0 for r in rows) == [0, 0, 3, 3]
+
+
+def test_audio_search_finds_excerpts(spark):
+    """Excerpts, noisier and quieter copies of other recordings are found as a search of all pairs finds them."""
+    rng = np.random.default_rng(3)
+    sounds = {k: tune(k, 8) for k in range(1, 13)}
+    queries = {}
+    for k in range(1, 9):
+        part = sounds[k][2 * 4096 : 2 * 4096 + 5 * 8000].astype(float) - 128
+        queries[50 * k] = np.clip(128 + part * (0.5 + 0.1 * (k % 3)) + rng.normal(0, 1 + k % 3, len(part)), 0, 255).astype(np.uint8)
+    table = spark.createDataFrame([(k, bytes(x)) for k, x in {**sounds, **queries}.items()] + [(9000, b""), (9001, None), (9002, b"\x80" * 40000), (9003, b"\x80" * 40000)], "doc_id long, audio binary")
+    prints = audio.with_fingerprints(table, "audio")
+    got = {(r["query"], r["id"]): (r["offset"], r["error"]) for r in audio.matches(prints, prints.where("doc_id % 50 = 0 and doc_id < 9000")).collect()}
+    held = {r["doc_id"]: np.frombuffer(r["fingerprint"], np.uint32) for r in prints.collect()}
+    want = {}
+    for q in queries:
+        for k, b in held.items():
+            if k != q and (pair := audio.align(held[q], b))[1] <= audio.MOST_ERROR:
+                want[q, k] = pair
+    assert all((50 * k, k) in want for k in range(1, 9)) and all(want[p] == v for p, v in got.items())
+    assert len(got) >= 0.9 * len(want) and all((50 * k, k) in got for k in range(1, 9))
+    assert {want[50 * k, k][0] for k in range(1, 9)} == {-16}
 
 
 @pytest.mark.parametrize("name", sorted(registered.oracle_sql()))

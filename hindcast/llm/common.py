@@ -18,6 +18,10 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
+#: The shared folders that this driver has made, for swept().
+made: list[str] = []
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of ROWS rows where the session has Spark's default of 10000, as a row may hold a very long text."""
     if spark.conf.get(BATCH) == "10000":
@@ -36,7 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all machines see")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/hindcast-{uuid.uuid4().hex}"
+    made.append(f"{base.rstrip('/')}/hindcast-{uuid.uuid4().hex}")
+    return made[-1]
 
 
 def written(df: DataFrame, root: str, name: str) -> DataFrame:
@@ -61,6 +66,13 @@ def forget(spark: SparkSession, root: str, *names: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def swept(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the shared folders made since there were so many; results that aren't written elsewhere go with them."""
+    for root in made[since:]:
+        forget(spark, root, "")
+    del made[since:]
+
+
 def with_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], list], fields: list[StructField]) -> DataFrame:
     """df with the columns that fn returns for each Arrow batch; fields name and type them.
 
@@ -121,8 +133,10 @@ def components(edges: DataFrame, root: str, most_rounds: int = 60) -> DataFrame:
         roots = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
         after = closer.join(roots, "component").select("id", "was", F.least("component", "root").alias("component"))
         after = written(after, root, f"labels-{n}")
+        forget(edges.sparkSession, root, f"labels-{n - 1}")
         changed = after.where("was <> component").limit(1).count()
         labels = after.select("id", "component")
         if not changed:
+            forget(edges.sparkSession, root, "edges")
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

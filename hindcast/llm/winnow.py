@@ -15,8 +15,10 @@ K, W, TOKEN = 5, 16, 12
 #: A chosen hash and its position share a long: 38 bits of hash above 25 bits that hold the distance from the last position.
 POSITION_BITS = 25
 LAST = (1 << POSITION_BITS) - 1
-#: Rows a bucket of neighbouring ids should have, and the most buckets there are; their first ids are broadcast.
-BUCKET_ROWS, MOST_BUCKETS = 500, 1 << 16
+#: Rows a bucket of neighbouring ids should have, and the most buckets there are; their first ids are broadcast (24 bytes each).
+BUCKET_ROWS, MOST_BUCKETS = 500, 1 << 20
+#: Stretches of as many rows each that the ids are cut into first, by approximate quantiles.
+STRETCHES = 256
 
 
 def fingerprinted(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
@@ -30,7 +32,7 @@ def fingerprinted(df: DataFrame, text: str, out: str, k: int = K, w: int = W) ->
     whole = F.when(F.size(hashes) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(hashes)))
     rolled = F.transform(F.sequence(F.lit(1), F.size(hashes) - (k - 1)), lambda i: F.xxhash64(F.slice(F.col(hashes), i, k)))
     df = df.withColumn(grams, F.when(F.size(hashes) < k, whole).otherwise(rolled)).drop(hashes)
-    df = df.withColumn(keys, F.transform(grams, lambda g, i: F.shiftleft(F.shiftrightunsigned(g, 64 - 38), POSITION_BITS).bitwiseOR(F.lit(LAST) - i))).drop(grams)
+    df = df.withColumn(keys, F.transform(grams, lambda g, i: F.shiftleft(F.shiftrightunsigned(g, 64 - 38), POSITION_BITS).bitwiseOR(F.greatest(F.lit(LAST) - i, F.lit(0))))).drop(grams)
     windows = F.transform(F.sequence(F.lit(1), F.size(keys) - (w - 1)), lambda i: F.array_min(F.slice(F.col(keys), i, w)))
     few = F.when(F.size(keys) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.array_min(keys)))
     return df.withColumn(out, F.array_distinct(F.when(F.size(keys) < w, few).otherwise(windows))).drop(keys)
@@ -58,14 +60,20 @@ def likeness(a: str, b: str) -> Column:
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Window]:
     """Rows in buckets of neighbouring ids, each followed by the first row of the next bucket, and the window over a bucket.
 
-    The text is dealt out once, by bucket. Buckets are of equal width in ids, so a stretch with far more ids than
-    others makes a long task, never another result. Null ids come first.
+    The text is dealt out once, by bucket. The ids are cut at approximate quantiles, and each stretch into buckets of equal
+    width, so a few ids far from all others change the buckets of one stretch only. Null ids come first.
     """
     docs = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))))
-    low, high, n = docs.where(F.col(id_col).isNotNull()).agg(F.min("__id"), F.max("__id"), F.count(F.lit(1))).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // max(1, min(n // BUCKET_ROWS, MOST_BUCKETS))))
-    docs = docs.withColumn("__bucket", F.when(F.col("__id") < low, -1).otherwise(F.floor((F.col("__id") - low) / width)).cast("long"))
+    levels = F.array(*(F.lit(k / STRETCHES) for k in range(STRETCHES + 1)))
+    cuts, n = docs.where(F.col(id_col).isNotNull()).agg(F.percentile_approx("__id", levels, 10_000), F.count(F.lit(1))).first()
+    cuts = sorted(set(cuts or [0]))
+    per = max(1, min(n // BUCKET_ROWS, MOST_BUCKETS) // len(cuts))
+    edges = F.array(*(F.lit(c).cast("long") for c in [*cuts, cuts[-1] + 1]))
+    docs = docs.withColumn("__stretch", F.size(F.filter(edges, lambda c: c <= F.col("__id"))))
+    low, high = F.get(edges, F.col("__stretch") - 1), F.get(edges, F.least("__stretch", F.lit(len(cuts))))
+    wide = lambda c: c.cast("double")
+    place = F.least(F.floor((wide(F.col("__id")) - wide(low)) * per / F.greatest(wide(high) - wide(low), F.lit(1.0))), F.lit(per - 1))
+    docs = docs.withColumn("__bucket", F.when(F.col("__stretch") == 0, -1).otherwise(F.col("__stretch") * per + place).cast("long")).drop("__stretch")
     firsts = docs.groupBy("__bucket").agg(F.min("__id").alias("__id"))
     order = Window.partitionBy(F.lit(0)).orderBy("__bucket")
     last = F.max("__bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

@@ -529,11 +529,33 @@ def test_winnowing(spark, odd, empty):
         assert got[k]["n_chars"] == len(t) and got[k]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert got[k]["fingerprint"] == got[(k + len(ODD) - 1) % len(texts) + 1]["fingerprint"]
         assert 0 <= got[k]["near_edited"] <= 1 and 0 <= got[k]["near_next"] <= 1
+    edited = [t[: len(t) - len(t) // 4] + texts[k % len(texts)][: len(t) // 4] for k, t in enumerate(texts, 1)]
+    again = {r["doc_id"]: r["fingerprint"] for r in winnow.fingerprints(docs(spark, edited)).collect()}
+    hashes = lambda shown: {x.split("@")[0] for x in shown.split()}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for k in range(1, len(texts) + 1):
+        assert got[k]["edited_fingerprint"] == again[k]
+        mine, after = hashes(got[k]["fingerprint"]), hashes(got[k % len(texts) + 1]["fingerprint"])
+        assert math.isclose(got[k]["near_edited"], like(mine, hashes(again[k]))) and math.isclose(got[k]["near_next"], like(mine, after))
     assert winnow.fingerprints(empty).count() == 0
     alone = winnow.fingerprints(docs(spark, ["one two three four five six seven"])).first()
     assert alone["near_next"] == 1
 
 
+def test_winnowing_follows_ids_wherever_they_lie(spark, monkeypatch):
+    """Ids far apart, repeated, negative and null, in many small buckets."""
+    monkeypatch.setattr(winnow, "BUCKET_ROWS", 3)
+    ids = [None, None, -(1 << 61), -5, *range(0, 300, 7), 43, 44, 45, 46, 1000, 1000, 1 << 60]
+    rows = [(k, f"text of row {n} " * (1 + n % 5)) for n, k in enumerate(ids)]
+    got = winnow.fingerprints(spark.createDataFrame(rows[::-1], "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    by_id = sorted((k, t) for k, t in rows if k is not None and k != 1000)
+    found = {r["doc_id"]: r["edited_sha256"] for r in got}
+    for (k, t), (after, u) in zip(by_id, by_id[1:], strict=False):
+        if after != 1 << 60:
+            assert found[k] == hashlib.sha256((t[: len(t) - len(t) // 4] + u[: len(t) // 4]).encode()).hexdigest()
+
+
 def test_winnowing_chooses_the_rightmost_least_of_each_window(spark):
     rng = np.random.default_rng(2)
     text = " ".join(rng.choice([f"w{k}" for k in range(12)], 200))
@@ -728,6 +750,39 @@ def test_pipeline(spark, odd, tmp_path):
     assert none.count() == 0
 
 
+def test_pipeline_equals_brute_force(spark):
+    """Stage by stage in plain Python on the whole small table; the classifier's decisions are those of its operator."""
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.train(table, spark.read.parquet(f"{SF}/labels.parquet"))
+    kept = sorted((r["doc_id"], r["text"]) for r in quality.score(table, model).where("predicted = 1").collect())
+    kept = sorted(kept_by_brute_force(kept).items())
+    classes = components_by_brute_force([t for _, t in kept], 5, 80)
+    kept = {i: t for k, (i, t) in enumerate(kept, 1) if classes[k][1] == k}
+    want, rows = encoding(), corpus_pipeline.run(spark, SF).collect()
+    assert {r["doc_id"]: list(r["ids"]) for r in rows} == {i: want.encode_ordinary(t) for i, t in kept.items()} and len(rows) == len(kept)
+    assert all(r["n_tokens"] == len(r["ids"]) for r in rows) and [r["position"] for r in rows] == sorted(r["position"] for r in rows)
+
+
+def test_pipeline_stages_of_odd_rows(spark):
+    """Null ids, texts and sources, repeated rows and empty texts pass through every stage as its docstring says."""
+    import corpus_pipeline
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    text = "a line that is long enough to count\nand another line that is as long as it"
+    rows = [(1, text, "en", None, 9), (1, text, "en", None, 9), (2, None, None, "a", 0), (None, text, "en", "a", 9), (3, "", "en", "b", 0), (4, text + " more words", None, "b", 9), (None, None, None, None, None)]
+    table = spark.createDataFrame(rows, columns)
+    assert corpus_pipeline.keep_quality(spark, table, SF).columns == table.columns
+    lines_ = corpus_pipeline.drop_repeated_lines(spark, table, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in lines_) == sorted([(1, text), (1, text), (2, ""), (0, text), (3, ""), (4, "and another line that is as long as it more words"), (0, "")])
+    assert all(r["n_chars"] == len(r["text"]) for r in lines_)
+    assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.keep_one_of_near_copies(spark, table, SF).collect()) == [0, 0, 1, 1, 2, 3]
+    assert corpus_pipeline.mix_sources(spark, table, SF).count() == 7
+    tokens = corpus_pipeline.tokenize(spark, table, SF).collect()
+    assert len(tokens) == 7 and all(r["n_tokens"] == len(r["ids"]) for r in tokens) and len({r["position"] for r in tokens}) == 7
+
+
 def test_pipeline_keeps_the_order_of_mixing(spark):
     import corpus_pipeline
 

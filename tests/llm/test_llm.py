@@ -343,20 +343,39 @@ def log_probability_by_definition(model, text):
     bits = (len(check) - 1).bit_length()
     path = lambda leaf: [(int(model.node[r]), bool(model.bit[r]), float(model.p[r]), int(model.own[r])) for r in range(model.starts[leaf], model.starts[leaf + 1])]
     odds = lambda z, o, doubt: min(max(math.log((o + 0.4) / (z + 0.4)) * (z + o) / max(z + o + doubt, 1e-9), -15), 15)
-    table, w, v, total = {}, [1.0] * mixlm.KINDS, 1.0, 0.0
+    off, sure, total = {}, {}, 0.0
+    w, v, w_sure, v_sure = [1.0] * mixlm.KINDS, 1.0, [mixlm.WEIGHT_PRIOR] * mixlm.KINDS, mixlm.WEIGHT_PRIOR
+    block, room, done = [], 1, 0
+
+    def learn():
+        """Newton steps on a block's decisions, all at once."""
+        nonlocal v, v_sure
+        steps = [[0.0, 0.0] for _ in range(mixlm.KINDS + 1)]
+        for x, sign, slot, kind, s, p in block:
+            for k, u in ((kind, x), (mixlm.KINDS, s)):
+                steps[k][0] += u * sign * p
+                steps[k][1] += u * u * p * (1 - p)
+            one = 1 / (1 + math.exp(-x))
+            off[slot] = off.get(slot, 0.0) + (sign > 0) - one
+            sure[slot] = sure.get(slot, mixlm.OWN_PRIOR) + one * (1 - one)
+        for k in range(mixlm.KINDS):
+            w_sure[k] += steps[k][1]
+            w[k] += steps[k][0] / w_sure[k]
+        v_sure += steps[-1][1]
+        v += steps[-1][0] / v_sure
+        block.clear()
 
     def step(rows):
-        nonlocal v, total
-        changes = []
+        nonlocal total, room, done
         for x, sign, slot, kind in rows:
-            s = table.get(slot, 0.0)
+            s = off.get(slot, 0.0) / sure.get(slot, mixlm.OWN_PRIOR)
             z = (x * w[kind] + s * v) * sign
             total -= math.log1p(math.exp(-z))
-            changes.append((slot, s, x, kind, sign / (1 + math.exp(z))))
-        for slot, s, x, kind, wrong in changes:
-            w[kind] += float(mixlm.RATE[0]) * x * wrong
-            v += float(mixlm.RATE[1]) * s * wrong
-            table[slot] = s + mixlm.OWN_RATE * wrong
+            block.append((x, sign, slot, kind, s, 1 / (1 + math.exp(z))))
+        done, room = done + 1, room - 1
+        if not room:
+            learn()
+            room = 1 + done // mixlm.BLOCK
 
     before = [0, 0]
     for word in [*mixlm.words_of(text), mixlm.END]:

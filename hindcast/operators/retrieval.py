@@ -52,7 +52,7 @@ def nearest(base: DataFrame, corpus: DataFrame, k: int, ladder: Sequence[float],
 
         def run(batches, shared=shared):
             ids, days, vectors = shared.value
-            best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+            q, s, e, last = np.zeros(0, int), np.zeros(0), np.zeros(0, np.int64), np.full(len(ids), -np.inf)
             counts = np.zeros((len(ids), len(rungs)), np.int64)
             for batch in batches:
                 if not batch.num_rows:
@@ -62,14 +62,18 @@ def nearest(base: DataFrame, corpus: DataFrame, k: int, ladder: Sequence[float],
                     sims[_days(batch.column(1))[None] >= days[:, None]] = -np.inf
                 for r, tau in enumerate(rungs):
                     counts[:, r] += (sims >= tau).sum(1)
-                for q in range(len(ids)):
-                    s, e = np.concatenate([best[q][0], sims[q]]), np.concatenate([best[q][1], events])
-                    keep = np.lexsort((e, -s))[:k]
-                    best[q] = s[keep], e[keep]
-            for q in range(len(ids)):
-                real = np.isfinite(best[q][0])
-                n = int(real.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * (n + 1)), pa.array([*best[q][1][real].tolist(), None], pa.int64()), pa.array([*best[q][0][real].tolist(), None], pa.float64()), pa.array([None] * n + [counts[q].tolist()], pa.list_(pa.int64()))], names=["base_id", "event_id", "sim", "counts"])
+                # what can be among the best k: nothing below the batch's k-th, or the k-th so far
+                least = np.maximum(last, np.partition(sims, sims.shape[1] - k, 1)[:, sims.shape[1] - k]) if sims.shape[1] > k else last
+                at, column = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
+                q, s, e = np.concatenate([q, at]), np.concatenate([s, sims[at, column]]), np.concatenate([e, events[column]])
+                order = np.lexsort((e, -s, q))
+                q, s, e = q[order], s[order], e[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                q, s, e, place = (x[place < k] for x in (q, s, e, place))
+                last[q[place == k - 1]] = s[place == k - 1]
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(e, pa.int64()), pa.array(s), pa.nulls(len(q), pa.list_(pa.int64()))], names=["base_id", "event_id", "sim", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.array(counts.tolist(), pa.list_(pa.int64()))], names=["base_id", "event_id", "sim", "counts"])
 
         found = corpus.where("event_id is not null and d is not null and emb is not null").select("event_id", "d", "emb").mapInArrow(run, "base_id long, event_id long, sim double, counts array<long>")
         out = found if out is None else out.unionByName(found)

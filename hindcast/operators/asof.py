@@ -31,6 +31,19 @@ def band_join(left: DataFrame, right: DataFrame, on: str, other: str, before: in
     return spread.join(found, (F.col("__bucket") == F.col("__b")) & gap.between(-before, after)).drop("__bucket", "__b")
 
 
+def overlap_join(left: DataFrame, right: DataFrame, span: tuple[str, str], other: tuple[str, str], days: int = 31) -> DataFrame:
+    """Pairs of rows whose spans of days have a day in common, both ends included; spans of any length.
+
+    A span is in every stretch of `days` that it touches, and a pair is met in the first stretch that both are in. Rows with
+    a null end have no partner. Column names of the two sides must differ.
+    """
+    stretch = lambda c: F.floor(_day(c) / days)
+    spread = lambda df, a, b, out: df.where(F.col(a) <= F.col(b)).withColumn(out, F.explode(F.sequence(stretch(a), stretch(b))))
+    a, b = spread(left, *span, "__a"), spread(right, *other, "__b")
+    met = (F.col("__a") == F.col("__b")) & (F.col(span[0]) <= F.col(other[1])) & (F.col(other[0]) <= F.col(span[1])) & (F.col("__a") == F.greatest(stretch(span[0]), stretch(other[0])))
+    return a.join(b, met).drop("__a", "__b")
+
+
 def asof(left: DataFrame, series: DataFrame, on: str, day: str, value: str, direction: str = "backward", within: int | None = None, by: list[str] | None = None) -> DataFrame:
     """left with the series' `day` and `value` that are nearest to `on`: at or before it, at or after it, or either way.
 

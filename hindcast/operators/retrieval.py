@@ -88,6 +88,48 @@ def nearest(base: DataFrame, corpus: DataFrame, k: int, ladder: Sequence[float],
     return ranked.select("base_id", "tau", (F.col("pos") + 1).alias("rank"), "x.event_id", (-F.col("x.far")).alias("sim")).where("sim >= tau")
 
 
+def nearest_by(base: DataFrame, corpus: DataFrame, stratum: str, k: int, earlier: bool = True) -> DataFrame:
+    """(base_id, stratum, event_id, sim): the k most similar corpus events of each query in each stratum, in one pass.
+
+    stratum is a whole-number column of the corpus, such as an era; a task keeps k of each query and stratum that it meets.
+    """
+    out = None
+    for ids, days, vectors in _blocks(base):
+        shared = base.sparkSession.sparkContext.broadcast((ids, days, vectors))
+
+        def run(batches, shared=shared):
+            ids, days, vectors = shared.value
+            held: dict = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                events, sims, strata = batch.column(0).to_numpy(), vectors @ _matrix(batch.column(2)).T, batch.column(3).to_numpy()
+                if earlier:
+                    sims[_days(batch.column(1))[None] >= days[:, None]] = -np.inf
+                for which in np.unique(strata).tolist():
+                    own = strata == which
+                    part = sims[:, own]
+                    if part.shape[1] > k:
+                        part = np.where(part >= np.partition(part, part.shape[1] - k, 1)[:, -k:].min(1)[:, None], part, -np.inf)
+                    at, column = np.nonzero(np.isfinite(part))
+                    new = (at, part[at, column], events[own][column])
+                    q, s, e = (np.concatenate(x) for x in zip(held[which], new, strict=True)) if which in held else new
+                    order = np.lexsort((e, -s, q))
+                    q, s, e = q[order], s[order], e[order]
+                    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                    held[which] = q[best], s[best], e[best]
+            for which, (q, s, e) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(np.full(len(q), which)), pa.array(e, pa.int64()), pa.array(s)], names=["base_id", stratum, "event_id", "sim"])
+
+        known = corpus.where(f"event_id is not null and d is not null and emb is not null and {stratum} is not null")
+        found = known.select("event_id", "d", "emb", F.col(stratum).cast("long")).mapInArrow(run, f"base_id long, {stratum} long, event_id long, sim double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return base.sparkSession.createDataFrame([], f"base_id long, {stratum} long, event_id long, sim double")
+    top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("far"), "event_id"))), 1, k)
+    return out.groupBy("base_id", stratum).agg(top.alias("top")).withColumn("x", F.explode("top")).select("base_id", stratum, "x.event_id", (-F.col("x.far")).alias("sim"))
+
+
 def above(base: DataFrame, corpus: DataFrame, tau: float, earlier: bool = True) -> DataFrame:
     """(base_id, event_id, sim): all pairs of a similarity of tau or more."""
     out = None

@@ -96,14 +96,10 @@ def leakage_audit(spark, sf):
     "train", "test",
 )
 def era_stratified_topk(spark, sf):
-    corpus = views.train(spark, sf)
-    eras = [r[0] for r in corpus.select(F.floor(F.year("d") / 2).cast("int")).distinct().collect()]
-    out = None
-    for era in sorted(eras):
-        part = retrieval.nearest(bases(spark, sf), corpus.where(F.floor(F.year("d") / 2) == era), 3, (-1.0,), 1).withColumn("era", F.lit(era * 2))
-        out = part if out is None else out.unionByName(part)
+    corpus = views.train(spark, sf).withColumn("era", (F.floor(F.year("d") / 2) * 2).cast("long"))
+    out = retrieval.nearest_by(bases(spark, sf), corpus, "era", 3)
     rank = F.row_number().over(Window.partitionBy("base_id").orderBy(F.desc("sim"), "event_id"))
-    return out.select("base_id", "event_id", "era", r6("sim", "sim"), rank.alias("rank"))
+    return out.select("base_id", "event_id", F.col("era").cast("int").alias("era"), r6("sim", "sim"), rank.alias("rank"))
 
 
 @query(
@@ -186,11 +182,11 @@ def entity_bag_top30(spark, sf):
     "memory",
 )
 def dominance(spark, sf):
-    # spans lie inside a month, so only clusters of one month can overlap
     c = clusters(spark, sf).select("event_type", "polarity", "mo", "size", "first_seen", "last_seen")
-    other = c.select("mo", *(F.col(x).alias("o_" + x) for x in ("event_type", "polarity", "size", "first_seen", "last_seen")))
-    meets = (F.col("o_first_seen") <= F.col("last_seen")) & (F.col("o_last_seen") >= F.col("first_seen")) & ((F.col("event_type") != F.col("o_event_type")) | (F.col("polarity") != F.col("o_polarity")))
-    sums = c.join(other, "mo").where(meets).groupBy("event_type", "polarity", "mo").agg(F.sum("o_size").alias("s"), F.count(F.lit(1)).alias("concurrent"), F.count_if(F.col("o_size") > F.col("size")).alias("larger"))
+    other = c.select(*(F.col(x).alias("o_" + x) for x in ("event_type", "polarity", "mo", "size", "first_seen", "last_seen")))
+    itself = (F.col("event_type") == F.col("o_event_type")) & (F.col("polarity") == F.col("o_polarity")) & (F.col("mo") == F.col("o_mo"))
+    met = asof.overlap_join(c, other, ("first_seen", "last_seen"), ("o_first_seen", "o_last_seen")).where(~itself)
+    sums = met.groupBy("event_type", "polarity", "mo").agg(F.sum("o_size").alias("s"), F.count(F.lit(1)).alias("concurrent"), F.count_if(F.col("o_size") > F.col("size")).alias("larger"))
     both = c.join(sums, ["event_type", "polarity", "mo"], "left").na.fill(0, ["s", "concurrent", "larger"])
     return both.select("event_type", "polarity", "mo", r6(F.col("size") / (F.col("size") + F.col("s")), "share"), "concurrent", "larger")
 
@@ -497,7 +493,8 @@ def garch11(spark, sf):
 
 
 def kelly_backtest(spark, sf):
-    return statistics.kelly_backtest(forecasts(spark, sf).select(F.lit("all").alias("book"), "base_id", "d", "median", "p5", "p95", "p_down10", "realised"), "book")
+    """One book for each type of event."""
+    return statistics.kelly_backtest(forecasts(spark, sf).select(F.col("event_type").cast("string").alias("book"), "base_id", "d", "median", "p5", "p95", "p_down10", "realised"), "book")
 
 
 def hdbscan_local(spark, sf):

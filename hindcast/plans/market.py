@@ -405,15 +405,15 @@ def return_quintiles(spark, sf):
 
 
 @query(
-    """select d, round(pnl, 6) as pnl, round(sum(pnl) over w, 6) as cum_sum, round(exp(sum(ln(1 + pnl / 100)) over w), 6) as equity
-    from (select d, greatest(least(2 * (px / lag(px) over (order by d) - 1), 2), -2) as pnl from prices) where pnl is not null window w as (order by d rows unbounded preceding)""",
+    """select d, round(pnl, 6) as pnl, round(sum(pnl) over w, 6) as cum_sum, round(exp(sum(ln(1 + pnl / 100)) over w), 6) as equity, round(exp(l - max(l) over w) - 1, 6) as drawdown
+    from (select *, sum(ln(1 + pnl / 100)) over (order by d rows unbounded preceding) as l from (select d, greatest(least(2 * (px / lag(px) over (order by d) - 1), 2), -2) as pnl from prices) where pnl is not null) window w as (order by d rows unbounded preceding)""",
     "prices",
 )
 def equity_curve(spark, sf):
     # two percent of the money follow the price
     px = views.prices(spark, sf).withColumn("pnl", F.greatest(F.least(2 * (F.col("px") / F.lag("px").over(series.over()) - 1), F.lit(2.0)), F.lit(-2.0)))
     out = series.equity(px.where(F.col("pnl").isNotNull()).select("d", "pnl"))
-    return out.select("d", *(r6(F.col(c), c) for c in ("pnl", "cum_sum", "equity")))
+    return out.select("d", *(r6(F.col(c), c) for c in ("pnl", "cum_sum", "equity", "drawdown")))
 
 
 @query(

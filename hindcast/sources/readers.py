@@ -56,8 +56,9 @@ def normalised(df: DataFrame, width: int = 768) -> DataFrame:
 
 
 def with_vectors(meta: DataFrame, vectors: DataFrame, key: str = "document_id", width: int = 768) -> DataFrame:
-    """meta with its vector by the lower-cased key; without one a zero vector, flagged in has_vector."""
-    v = vectors.select(F.lower(F.trim(F.col(key))).alias("__key"), F.col("embedding").alias("__v")).dropDuplicates(["__key"])
+    """meta with its vector by the lower-cased key; without one a zero vector, flagged in has_vector. Of a repeated key's vectors
+    the least one counts."""
+    v = vectors.groupBy(F.lower(F.trim(F.col(key))).alias("__key")).agg(F.min("embedding").alias("__v"))
     out = meta.join(v, F.lower(F.trim(F.col(key))) == F.col("__key"), "left").drop("__key")
     return out.withColumns({"has_vector": F.col("__v").isNotNull(), "embedding": F.coalesce(F.col("__v").cast("array<double>"), F.array_repeat(F.lit(0.0), width))}).drop("__v")
 

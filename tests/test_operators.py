@@ -1,6 +1,7 @@
 """Operators on hand-made rows: ties, gaps, nulls, empty tables, against NumPy."""
 
 import datetime
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -112,3 +113,53 @@ def test_text(spark):
     assert [r[0] for r in df.select(T.chain_length(F.col("t"))).collect()] == [3, 0, 0, 2]
     raw = spark.createDataFrame([('```json\n{"k": 1}\n```',), ('{"k": 2}',), ("none",), (None,)], "t string")
     assert [r[0] for r in raw.select(T.parsed_json(F.col("t"), "k int")["k"]).collect()] == [1, 2, None, None]
+
+
+def test_overlap_join_of_spans_of_any_length(spark):
+    day = lambda n: datetime.date(2001, 1, 1) + datetime.timedelta(n)
+    rng = random.Random(5)
+    spans = [(k, a := rng.randrange(400), a + rng.choice([0, 1, 5, 40, 200, -3])) for k in range(60)]
+    left = spark.createDataFrame([(k, day(a), day(b)) for k, a, b in spans[:30]] + [(99, None, day(3))], "k int, a date, b date")
+    right = spark.createDataFrame([(k, day(a), day(b)) for k, a, b in spans[30:]] + [(98, day(1), None)], "o int, c date, d date")
+    want = sorted((k, o) for k, a, b in spans[:30] for o, c, d in spans[30:] if a <= b and c <= d and a <= d and c <= b)
+    assert sorted((r["k"], r["o"]) for r in asof.overlap_join(left, right, ("a", "b"), ("c", "d"), 31).collect()) == want
+
+
+def test_posterior_chain_in_numpy(spark):
+    """Weights of three ranks, priors' spreads and the mixture's statistics, beside a plain computation."""
+    rows = [("x", 0.49, 40.0, 60.0, 2.0, 5.0, [0.0, 3.0, -2.0, 4.0]), ("x", 0.25, None, 10.0, 4.0, -12.0, [0.0, 0.1]), ("x", -0.1, 40.0, 40.0, 1.0, 3.0, [0.0]), ("x", 0.81, 40.0, 40.0, 0.5, 30.0, None)]
+    df = spark.createDataFrame(rows, "k string, sim double, pb double, pa double, dtw double, mu double, path array<double>")
+    w = forecast.three_rank_weight(F.col("sim"), F.col("pb"), F.col("pa"), F.col("dtw"), F.lit(1.5))
+    parts = df.withColumn("w", w).withColumn("sigma", F.coalesce(forecast.prior_spread(F.col("path")), F.lit(1.0)))
+    got = parts.orderBy("mu").collect()
+    mu, sigma, weight = [], [], []
+    for _, sim, pb, pa, dtw, m, path in sorted(rows, key=lambda r: r[5]):
+        near = 0.5 if pb is None else np.exp(-0.5 * ((pb - pa) / 20) ** 2)
+        mu.append(m)
+        weight.append(max(sim, 0) ** 0.5 * near**0.2 * np.exp(-dtw / 1.5) ** 0.3)
+        sigma.append(max(np.std(np.diff(path)), 1.0) if path and len(path) > 1 else 1.0)
+    assert np.allclose([r["w"] for r in got], weight) and np.allclose([r["sigma"] for r in got], sigma)
+    mu, sigma, weight = map(np.array, (mu, sigma, weight))
+    x = np.linspace((mu - 3 * sigma).min() - 5, (mu + 3 * sigma).max() + 5, 1000)
+    dens = (weight / weight.sum() / (sigma * np.sqrt(2 * np.pi)) * np.exp(-0.5 * ((x[:, None] - mu) / sigma) ** 2)).sum(1)
+    cdf = np.cumsum(dens) / dens.sum()
+    s = forecast.statistics(forecast.mixture(parts.select("k", "mu", "sigma", "w"), "k", 1000), "k").first()
+    for name, p in (("p5", 0.05), ("median", 0.5), ("p95", 0.95)):
+        assert abs(s[name] - x[np.searchsorted(cdf, p)]) < 1e-9
+    step = x[1] - x[0]
+    assert abs(s["p_down10"] - dens[x <= -10].sum() * step) < 1e-9 and abs(s["mean"] - (x * dens).sum() * step) < 1e-9
+
+
+def test_numbered_and_running_over_many_stretches(spark, monkeypatch):
+    monkeypatch.setattr(statistics, "STRETCHES", 7)
+    rows = [(k * 37 % 101, k, float((k * 13) % 11 - 5)) for k in range(300)]
+    df = spark.createDataFrame(rows, "a int, b int, v double")
+    order = sorted(rows)
+    assert {(r["a"], r["b"]): r["k"] for r in statistics.numbered(df, ["a", "b"]).collect()} == {(a, b): n for n, (a, b, _) in enumerate(order, 1)}
+    total, peak, want = 0.0, 0.0, {}
+    for a, b, v in order:
+        total += v
+        peak = max(peak, total)
+        want[a, b] = (total, peak)
+    assert {(r["a"], r["b"]): (r["sum"], r["peak"]) for r in statistics.running(df, ["a", "b"], "v").collect()} == want
+    assert statistics.numbered(df.where("a < 0"), ["a", "b"]).count() == 0

@@ -86,3 +86,19 @@ def test_service(spark):
     assert api.find_events(events, "event f", limit=5).count() == 5
     assert api.report(analogues.forecasts(spark, SF)).first()["report"].startswith("Median")
     assert api.tail(views.prices(spark, SF), 10).count() == 10
+
+
+def test_analogue_files_stored_paths_and_topics(spark, tmp_path):
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "a_analogues.json").write_text('{"base_id": 1, "analogues": [{"event_id": 7, "sim": 0.5}, {"event_id": 8, "sim": 0.25}]}')
+    (tmp_path / "q" / "b_analogues.json").write_text("not json")
+    (tmp_path / "q" / "c.json").write_text('{"base_id": 2, "analogues": [{"event_id": 9, "sim": 0.5}]}')
+    got = readers.analogue_files(spark, f"file://{tmp_path}/q", "base_id long, analogues array<struct<event_id:long,sim:double>>").collect()
+    assert sorted((r["base_id"], r["event_id"], r["sim"]) for r in got) == [(1, 7, 0.5), (1, 8, 0.25)] and all("a_analogues" in r["file"] for r in got)
+    spark.createDataFrame([(1, [1.0, 2.0], "x"), (2, [3.0], "y")], "event_id long, realised_path array<double>, text string").write.parquet(f"{tmp_path}/paths")
+    found = readers.stored_path(spark, f"{tmp_path}/paths", "event_id", 2)
+    assert [tuple(r) for r in found.collect()] == [(2, [3.0])]
+    one, two = spark.createDataFrame([(1, 0, "a"), (2, 1, "b")], "id long, topic int, label string"), spark.createDataFrame([(3, 0, "a", 9)], "id long, topic int, label string, more int")
+    sinks.topics([one, two], f"{tmp_path}/t")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/t/topics").count() == 3
+    assert sorted((r["topic"], r["label"], r["size"]) for r in spark.read.option("header", True).csv(f"{tmp_path}/t/legend").collect()) == [("0", "a", "2"), ("1", "b", "1")]

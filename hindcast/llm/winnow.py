@@ -16,7 +16,7 @@ K, W, TOKEN = 5, 16, 12
 POSITION_BITS = 25
 LAST = (1 << POSITION_BITS) - 1
 #: Rows a bucket of neighbouring ids should have, and the most buckets there are; their first ids are broadcast (24 bytes each).
-BUCKET_ROWS, MOST_BUCKETS = 500, 1 << 20
+BUCKET_ROWS, MOST_BUCKETS = 100, 1 << 20
 #: Stretches of as many rows each that the ids are cut into first, by approximate quantiles.
 STRETCHES = 256
 

@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.llm import audio, bpe, jaccard, language, lines, mixing, mixlm, quality, urls, winnow
+from hindcast.llm import audio, bpe, fim, jaccard, language, lines, mixing, mixlm, quality, urls, variants, warc, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,18 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
@@ -69,6 +81,9 @@ def queries() -> dict[str, Query]:
         "op8_winnow": op8_winnow,
         "op9_mixing": op9_mixing,
         "op10_bpe": op10_bpe,
+        "op11_fim": op11_fim,
+        "op12_warc": op12_warc,
+        "op13_variants": op13_variants,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -78,4 +93,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_jaccard": jaccard.SQL,
         "op4_line_dedup": lines.SQL,
         "op5_urls": urls.SQL,
+        "op11_fim": fim.SQL,
+        "op12_warc": warc.SQL,
+        "op13_variants": variants.SQL,
     }

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Query vectors that are multiplied at once; more of them take several passes over the corpus.
@@ -26,18 +26,23 @@ def _matrix(column) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
+def _rows(column) -> np.ndarray:
+    """Arrays of one length as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
 def _days(column) -> np.ndarray:
     return column.cast(pa.int32()).to_numpy(zero_copy_only=False)
 
 
-def _blocks(base: DataFrame):
-    """The queries as (ids, days, vectors), in blocks; vectors of one length, without nulls."""
-    known = base.where("base_id is not null and d is not null and emb is not null").select("base_id", "d", "emb")
+def _blocks(base: DataFrame, *more: str):
+    """The queries as (ids, days, vectors) and the columns `more`, in blocks; vectors of one length, without nulls."""
+    known = base.where(" and ".join(f"{c} is not null" for c in ("base_id", "d", "emb", *more))).select("base_id", "d", "emb", *more)
     passes = max(1, -(-known.count() // BLOCK))
     for n in range(passes):
         t = (known.where(F.pmod(F.xxhash64("base_id"), F.lit(passes)) == n) if passes > 1 else known).toArrow()
         if t.num_rows:
-            yield t["base_id"].to_numpy(), _days(t["d"]), _matrix(t["emb"])
+            yield t["base_id"].to_numpy(), _days(t["d"]), _matrix(t["emb"]), *(t[c].combine_chunks() for c in more)
 
 
 def nearest(base: DataFrame, corpus: DataFrame, k: int, ladder: Sequence[float], k_min: int, earlier: bool = True) -> DataFrame:
@@ -152,6 +157,157 @@ def above(base: DataFrame, corpus: DataFrame, tau: float, earlier: bool = True)
     return out if out is not None else base.sparkSession.createDataFrame([], "base_id long, event_id long, sim double")
 
 
+def reached(base: DataFrame, corpus: DataFrame, ladder: Sequence[float], k_min: int, earlier: bool = True) -> DataFrame:
+    """(base_id, tau, n_candidates) of every query: the first rung of the falling ladder that k_min corpus events reach, else
+    the last, and how many reach it. Only counts per task are shuffled. Other columns are as in nearest()."""
+    rungs, out = list(ladder), None
+    for block in _blocks(base):
+        shared = base.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            ids, days, vectors = shared.value
+            counts = np.zeros((len(rungs), len(ids)), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    sims = vectors @ _matrix(batch.column(2)).T
+                    if earlier:
+                        sims[_days(batch.column(1))[None] >= days[:, None]] = -np.inf
+                    counts += np.stack([(sims >= tau).sum(1) for tau in rungs])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(c) for c in counts)], names=["base_id", *(f"n{r}" for r in range(len(rungs)))])
+
+        found = corpus.where("event_id is not null and d is not null and emb is not null").select("event_id", "d", "emb").mapInArrow(run, "base_id long, " + ", ".join(f"n{r} long" for r in range(len(rungs))))
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return base.sparkSession.createDataFrame([], "base_id long, tau double, n_candidates long")
+    sums = out.groupBy("base_id").agg(*(F.sum(f"n{r}").alias(f"n{r}") for r in range(len(rungs))))
+    last = len(rungs) - 1
+    first = F.coalesce(*(F.when(F.col(f"n{r}") >= k_min, F.struct(F.lit(float(t)).alias("tau"), F.col(f"n{r}").alias("n"))) for r, t in enumerate(rungs)), F.struct(F.lit(float(rungs[last])).alias("tau"), F.col(f"n{last}").alias("n")))
+    return sums.withColumn("x", first).select("base_id", "x.tau", F.col("x.n").alias("n_candidates"))
+
+
+def strata(base: DataFrame, corpus: DataFrame, earlier: bool = True) -> DataFrame:
+    """(base_id, stratum, n): of the corpus events as similar to a query as its own tau or more, how many are in each stratum.
+
+    base is (base_id, d, emb, tau), corpus (event_id, d, emb, stratum), a text of few values. Only counts are shuffled.
+    """
+    out = None
+    for ids, days, vectors, taus in _blocks(base, "tau"):
+        shared = base.sparkSession.sparkContext.broadcast((ids, days, vectors, taus.to_numpy()))
+
+        def run(batches, shared=shared):
+            ids, days, vectors, taus = shared.value
+            counts: dict = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                near, which = vectors @ _matrix(batch.column(2)).T >= taus[:, None], np.array(batch.column(3).to_pylist())
+                if earlier:
+                    near &= _days(batch.column(1))[None] < days[:, None]
+                for name in set(which):
+                    counts[name] = counts.get(name, 0) + near[:, which == name].sum(1)
+            for name, n in counts.items():
+                some = n > 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array([name] * int(some.sum()), pa.string()), pa.array(n[some].astype(np.int64))], names=["base_id", "stratum", "n"])
+
+        known = corpus.where("event_id is not null and d is not null and emb is not null and stratum is not null")
+        found = known.select("event_id", "d", "emb", "stratum").mapInArrow(run, "base_id long, stratum string, n long")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return base.sparkSession.createDataFrame([], "base_id long, stratum string, n long")
+    return out.groupBy("base_id", "stratum").agg(F.sum("n").alias("n"))
+
+
+#: Pairs of paths that are warped at once.
+PAIRS = 1 << 17
+
+
+def warped(base: DataFrame, corpus: DataFrame, pool: int, band: int | None = 2, earlier: bool = True) -> DataFrame:
+    """(base_id, event_id, sim, dtw): of the corpus events as similar to a query as its own tau or more, the `pool` whose paths
+    are nearest to its path. Ties go to the smaller event_id.
+
+    base is (base_id, d, emb, tau, path), corpus (event_id, d, emb, path); paths are arrays of one length without nulls, and
+    their increments are compared. Every candidate is warped inside the task that reads it, which keeps `pool` of each query.
+    """
+    out = None
+    for ids, days, vectors, taus, paths in _blocks(base, "tau", "path"):
+        block = ids, days, vectors, taus.to_numpy(), np.diff(_rows(paths), axis=1)
+        shared = base.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            ids, days, vectors, taus, steps = shared.value
+            held, last = (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)), np.full(len(ids), np.inf)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                events, sims = batch.column(0).to_numpy(), vectors @ _matrix(batch.column(2)).T
+                near = sims >= taus[:, None]
+                if earlier:
+                    near &= _days(batch.column(1))[None] < days[:, None]
+                own = np.diff(_rows(batch.column(3)), axis=1)
+                at, column = np.nonzero(near)
+                for k in range(0, len(at), PAIRS):
+                    q, c = at[k : k + PAIRS], column[k : k + PAIRS]
+                    far = dtw(own[c], steps[q], band)
+                    kept = far <= last[q]
+                    new = q[kept], events[c[kept]], sims[q[kept], c[kept]], far[kept]
+                    q, e, s, far = (np.concatenate(x) for x in zip(held, new, strict=True))
+                    order = np.lexsort((e, far, q))
+                    q, e, s, far = q[order], e[order], s[order], far[order]
+                    place = np.arange(len(q)) - np.searchsorted(q, q)
+                    last[q[place == pool - 1]] = far[place == pool - 1]
+                    held = tuple(x[place < pool] for x in (q, e, s, far))
+            q, e, s, far = held
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(e), pa.array(s), pa.array(far)], names=["base_id", "event_id", "sim", "dtw"])
+
+        known = corpus.where("event_id is not null and d is not null and emb is not null and path is not null")
+        found = known.select("event_id", "d", "emb", "path").mapInArrow(run, "base_id long, event_id long, sim double, dtw double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return base.sparkSession.createDataFrame([], "base_id long, event_id long, sim double, dtw double")
+    place = F.row_number().over(Window.partitionBy("base_id").orderBy("dtw", "event_id"))
+    return out.withColumn("__k", place).where(F.col("__k") <= pool).drop("__k")
+
+
+def faded(base: DataFrame, corpus: DataFrame, k: int, tau: float, fade: float | None = None, earlier: bool = True) -> DataFrame:
+    """(base_id, event_id, sim, score): of the corpus events of a similarity of tau or more the k of the highest score.
+
+    score is the similarity, with `fade` times exp(-years / fade) for the calendar years that the event is before the query's
+    day. A task keeps k of each query. Ties go to the smaller event_id; columns are as in nearest().
+    """
+    out = None
+    for block in _blocks(base):
+        shared = base.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            ids, days, vectors = shared.value
+            year = lambda d: d.astype("datetime64[D]").astype("datetime64[Y]").astype(int)
+            held = (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                events, own, sims = batch.column(0).to_numpy(), _days(batch.column(1)), vectors @ _matrix(batch.column(2)).T
+                near = sims >= tau
+                if earlier:
+                    near &= own[None] < days[:, None]
+                at, column = np.nonzero(near)
+                s = sims[at, column]
+                score = s if fade is None else s * np.exp(-np.maximum(year(days)[at] - year(own)[column], 0) / fade)
+                q, e, s, score = (np.concatenate(x) for x in zip(held, (at, events[column], s, score), strict=True))
+                order = np.lexsort((e, -score, q))
+                q, e, s, score = q[order], e[order], s[order], score[order]
+                best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                held = q[best], e[best], s[best], score[best]
+            q, e, s, score = held
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(e), pa.array(s), pa.array(score)], names=["base_id", "event_id", "sim", "score"])
+
+        found = corpus.where("event_id is not null and d is not null and emb is not null").select("event_id", "d", "emb").mapInArrow(run, "base_id long, event_id long, sim double, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return base.sparkSession.createDataFrame([], "base_id long, event_id long, sim double, score double")
+    place = F.row_number().over(Window.partitionBy("base_id").orderBy(F.desc("score"), "event_id"))
+    return out.withColumn("__k", place).where(F.col("__k") <= k).drop("__k")
+
+
 def dtw(a: np.ndarray, b: np.ndarray, band: int | None = 2, squared: bool = True) -> np.ndarray:
     """Dynamic time warping of each row of a with the same row of b: squared costs and a root, or absolute costs."""
     n, m = a.shape[1], b.shape[1]

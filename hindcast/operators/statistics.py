@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hindcast.functions.numbers import normal_cdf
 
 #: Stretches of an order that are numbered or summed side by side.
 STRETCHES = 200
@@ -256,3 +257,21 @@ def local_clusters(pairs: DataFrame, events: DataFrame, least: int = 3) -> DataF
         return pd.DataFrame({"event_id": [key[0]], "size": [len(mine)], "cohesion": [float(1 - upper.mean()) if len(upper) else 1.0], "role": [role]})
 
     return window.groupBy("base").cogroup(inside.groupBy("near")).applyInPandas(cluster, "event_id long, size long, cohesion double, role string")
+
+
+def signed_ranks(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """(key, n, w_plus, w_minus, z, p): Wilcoxon's test of the paired values of each key, in the normal approximation.
+
+    Equal pairs don't count, equal differences share their mean rank, for which the variance is corrected. z and p are null
+    where no pair differs. A key's pairs are ranked in one task, so a key should be a stated, bounded set.
+    """
+    d = pairs.where(F.col(a) != F.col(b)).select(key, (F.col(a) - F.col(b)).alias("__d")).withColumn("__x", F.abs("__d"))
+    d = d.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy("__x")))
+    tied = Window.partitionBy(key, "__x")
+    d = d.withColumns({"__r": F.avg("__k").over(tied), "__t": F.count(F.lit(1)).over(tied)})
+    n, up = F.count(F.lit(1)), F.sum(F.when(F.col("__d") > 0, F.col("__r")).otherwise(0.0))
+    # every member of a tie of t adds t^2 - 1, all of them t^3 - t
+    s = d.groupBy(key).agg(n.alias("n"), up.alias("w_plus"), F.sum(F.when(F.col("__d") < 0, F.col("__r")).otherwise(0.0)).alias("w_minus"), F.sum(F.col("__t") * F.col("__t") - 1).alias("__ties"))
+    var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24.0 - F.col("__ties") / 48.0
+    z = (F.col("w_plus") - F.col("n") * (F.col("n") + 1) / 4.0) / F.sqrt(F.nullif(var, F.lit(0.0)))
+    return s.withColumn("z", z).withColumn("p", 2 * (1 - normal_cdf(F.abs("z")))).select(key, "n", "w_plus", "w_minus", "z", "p")

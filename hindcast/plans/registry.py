@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.plans import analogues, extras, market, measures, posterior, text
+from hindcast.plans import analogues, cascades, extras, market, measures, posterior, text
 
-MODULES = (market, text, analogues, posterior, measures, extras)
+MODULES = (market, text, analogues, posterior, measures, extras, cascades)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -47,7 +47,9 @@ def offsets(keyed: DataFrame, text: str, form: Column, doc_id: Column, seed: int
     units = cut.select(*KEYS, "__copy", F.posexplode(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))).alias("__at", "__unit"))
     so_far = Window.partitionBy(*KEYS, "__copy").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = units.select(*KEYS, "__at", F.sum(F.length("__unit")).over(so_far).alias("__end"))
-    asked = cut.select(*KEYS, n_units(F.col(text)).alias("__n"), drawn(doc_id, seed, 1).alias("__a"), drawn(doc_id, seed, 2).alias("__b"))
+    # no filter here: it would be pushed below the exchange, and the texts be dealt out twice
+    wanted = lambda c: F.when(form != "plain", c)
+    asked = keyed.select(*KEYS, wanted(n_units(F.col(text))).alias("__n"), wanted(drawn(doc_id, seed, 1)).alias("__a"), wanted(drawn(doc_id, seed, 2)).alias("__b"))
     a, b = F.col("__a") % (F.col("__n") + 1), F.col("__b") % (F.col("__n") + 1)
     asked = asked.groupBy(*KEYS).agg(F.max("__n").alias("__n"), F.max(F.least(a, b) - 1).alias("__p"), F.max(F.greatest(a, b) - 1).alias("__q"))
     # the ordinals are a condition and not a key, so that both sides stay where they were dealt to

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,3 +87,118 @@ HIGH, WATCH = 12.221, 8.435
 
 def warning_tier(std: Column, high: float = HIGH, watch: float = WATCH) -> Column:
     return F.when(std >= high, "HIGH").when(std >= watch, "WATCH").otherwise("NORMAL")
+
+
+def as_arrays(points: DataFrame, key: str) -> DataFrame:
+    """(key, xs, ds): the grids of mixture() as one row per key; a grid has a fixed number of points."""
+    row = F.array_sort(F.collect_list(F.struct("i", "x", "dens")))
+    return points.groupBy(key).agg(row.alias("g")).select(key, F.transform("g", lambda p: p["x"]).alias("xs"), F.transform("g", lambda p: p["dens"]).alias("ds"))
+
+
+def _pieces(xs: Column, ds: Column) -> Column:
+    """Neighbouring grid points as structs (x, d, wide, more): the point, the width from the one before, and the mass between them."""
+    points = F.arrays_zip(xs.alias("x"), ds.alias("d"))
+    n = F.size(xs)
+    return F.zip_with(F.slice(points, 1, n - 1), F.slice(points, 2, n - 1), lambda a, b: F.struct(b["x"].alias("x"), b["d"].alias("d"), (b["x"] - a["x"]).alias("wide"), (0.5 * (a["d"] + b["d"]) * (b["x"] - a["x"])).alias("more")))
+
+
+def crps_on_grid(xs: Column, ds: Column, y: Column) -> Column:
+    """The integral of (F - H(y))^2 over a stored grid by trapezoids; F is the density's own integral, scaled to end at one."""
+    zero, above = F.lit(0.0), lambda x: (x >= y).cast("double")
+    start = F.struct(zero.alias("cum"), above(F.get(xs, F.lit(0))).alias("h"), zero.alias("two"), zero.alias("one"), zero.alias("none"))
+
+    def step(s: Column, p: Column) -> Column:
+        """Sums of the squared integral, of the integral above y, and of what lies above y; the scale comes last."""
+        cum, h, half = s["cum"] + p["more"], above(p["x"]), 0.5 * p["wide"]
+        two = s["two"] + half * (s["cum"] * s["cum"] + cum * cum)
+        return F.struct(cum.alias("cum"), h.alias("h"), two.alias("two"), (s["one"] + half * (s["cum"] * s["h"] + cum * h)).alias("one"), (s["none"] + half * (s["h"] + h)).alias("none"))
+
+    finish = lambda s: F.when(s["cum"] > 0, s["two"] / (s["cum"] * s["cum"]) - 2 * s["one"] / s["cum"] + s["none"]).otherwise(s["none"])
+    return F.when(y.isNotNull() & ~F.isnan(y), F.aggregate(_pieces(xs, ds), start, step, finish))
+
+
+def density_at(xs: Column, ds: Column, y: Column) -> Column:
+    """The density at y, linear between grid points; beyond the grid that of its end."""
+    n = F.size(xs)
+    k = F.greatest(F.least(F.size(F.filter(xs, lambda x: x <= y)), n - 1), F.lit(1))  # the point at or before y, from 1
+    x0, x1, d0, d1 = F.get(xs, k - 1), F.get(xs, k), F.get(ds, k - 1), F.get(ds, k)
+    share = F.greatest(F.least((y - x0) / (x1 - x0), F.lit(1.0)), F.lit(0.0))
+    return F.when(y.isNotNull() & ~F.isnan(y), d0 + share * (d1 - d0))
+
+
+def log_score_on_grid(xs: Column, ds: Column, y: Column) -> Column:
+    f = density_at(xs, ds, y)
+    return F.when(f <= 0, float("-inf")).otherwise(F.log(f))
+
+
+def quantile_between(tau: float, stored: dict[float, str]) -> Column:
+    """The quantile of a level, linear between stored ones (level to column); beyond them that of the nearest."""
+    levels = sorted(stored)
+    if tau <= levels[0] or tau >= levels[-1]:
+        return F.col(stored[levels[0] if tau <= levels[0] else levels[-1]])
+    low = max(t for t in levels if t <= tau)
+    high = min(t for t in levels if t >= tau)
+    a, b = F.col(stored[low]), F.col(stored[high])
+    return a if low == high else a + (tau - low) / (high - low) * (b - a)
+
+
+def peaks(ds: Column) -> Column:
+    """Places (from 0) of the local maxima of an array, found in one fold: a flat top counts once, by its middle; ends never do."""
+    n = F.size(ds)
+    pairs = F.zip_with(F.slice(ds, 1, n - 1), F.slice(ds, 2, n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    steps = F.transform(pairs, lambda p, k: F.struct(p["a"].alias("a"), p["b"].alias("b"), (k + 1).alias("i")))
+    none = F.lit(None).cast("int")
+
+    def step(s: Column, p: Column) -> Column:
+        top = F.floor((s["start"] + p["i"] - 1) / 2).cast("int")
+        up = F.struct(p["i"].cast("int").alias("start"), s["found"].alias("found"))
+        down = F.struct(none.alias("start"), F.concat(s["found"], F.array(top)).alias("found"))
+        return F.when(p["b"] > p["a"], up).when((p["b"] < p["a"]) & s["start"].isNotNull(), down).otherwise(s)
+
+    start = F.struct(none.alias("start"), F.array().cast("array<int>").alias("found"))
+    return F.when(n < 3, F.array().cast("array<int>")).otherwise(F.aggregate(steps, start, step)["found"])
+
+
+def prominence(ds: Column, at: Column) -> Column:
+    """How far a peak stands above the higher of the two lowest points on the ways to higher ground, or to the ends."""
+    high = F.get(ds, at)
+
+    def low(way: Column) -> Column:
+        start = F.struct(high.alias("low"), F.lit(True).alias("open"))
+        step = lambda s, x: F.when(s["open"] & (x <= high), F.struct(F.least(s["low"], x).alias("low"), F.lit(True).alias("open"))).otherwise(F.struct(s["low"].alias("low"), F.lit(False).alias("open")))
+        return F.aggregate(way, start, step)["low"]
+
+    return high - F.greatest(low(F.reverse(F.slice(ds, F.lit(1), at))), low(F.slice(ds, at + 2, F.size(ds))))
+
+
+def modes(arrays: DataFrame, least: float = 0.10) -> DataFrame:
+    """arrays (xs, ds) with n_peaks, mode1_x, mode2_x, separation and balance: the peaks of a prominence of `least` of the
+    highest density or more, and of the two most prominent ones their places, distance and ratio; null with fewer than two."""
+    df = arrays.withColumn("__p", F.transform(peaks(F.col("ds")), lambda k: F.struct(prominence(F.col("ds"), k).alias("prom"), k.alias("at"))))
+    df = df.withColumn("__p", F.array_sort(F.filter("__p", lambda p: (p["prom"] >= least * F.array_max("ds")) & (F.array_max("ds") > 0))))
+    df = df.withColumns({"n_peaks": F.size("__p"), "__a": F.try_element_at("__p", F.lit(-1)), "__b": F.try_element_at("__p", F.lit(-2))})
+    x = lambda p: F.get("xs", p)
+    first, second = F.least("__a.at", "__b.at"), F.greatest("__a.at", "__b.at")
+    two = F.col("n_peaks") >= 2
+    df = df.withColumns({"mode1_x": F.when(two, x(first)), "mode2_x": F.when(two, x(second))})
+    return df.withColumns({"separation": F.abs(F.col("mode2_x") - F.col("mode1_x")), "balance": F.when(two, F.col("__b.prom") / F.col("__a.prom"))}).drop("__p", "__a", "__b")
+
+
+def kernels(parts: DataFrame, key: str, low: float, high: float, n: int) -> DataFrame:
+    """(key, i, x, dens) of sums of normal kernels given as rows (key, mu, sigma, w), on one grid for all keys.
+
+    Weights aren't scaled. A key's kernels meet in one row and are summed in Arrow batches; they should be a bounded number.
+    """
+    xs = np.linspace(low, high, n)
+
+    @F.pandas_udf("array<double>")
+    def summed(mu: pd.Series, sigma: pd.Series, w: pd.Series) -> pd.Series:
+        out = []
+        for m, s, v in zip(mu, sigma, w, strict=True):
+            m, s, v = (np.asarray(a, float) for a in (m, s, v))
+            out.append((v / (s * np.sqrt(2 * np.pi)) * np.exp(-0.5 * ((xs[:, None] - m) / s) ** 2)).sum(1))
+        return pd.Series(out)
+
+    g = parts.groupBy(key).agg(F.collect_list(F.struct("mu", "sigma", "w")).alias("p"))
+    g = g.select(key, F.posexplode(summed("p.mu", "p.sigma", "p.w")).alias("i", "dens"))
+    return g.select(key, "i", (low + F.col("i") * ((high - low) / (n - 1))).alias("x"), "dens")

@@ -56,14 +56,20 @@ def asof_nearest_tol(spark, sf):
     return asof.asof(asks, views.prices(spark, sf).withColumnRenamed("d", "price_day"), "ask", "price_day", "px", "nearest", 5).select("event_id", "d", "price_day", "px")
 
 
-def forward(spark, sf, horizons, events=None):
-    """(event_id, horizon, r): percent from the price nearest to the event (5 days) to that nearest to the horizon (10)."""
-    px = views.prices(spark, sf)
-    base = events if events is not None else asked(spark, sf)
-    start = asof.asof(base.select("event_id", "d"), px.select(F.col("d").alias("d0"), F.col("px").alias("p0")), "d", "d0", "p0", "nearest", 5)
-    asks = start.withColumn("horizon", F.explode(F.array(*(F.lit(h) for h in horizons)))).withColumn("ask", F.date_add("d", F.col("horizon")))
-    both = asof.asof(asks, px.select(F.col("d").alias("d1"), F.col("px").alias("p1")), "ask", "d1", "p1", "nearest", 10, by=["event_id", "horizon", "ask"])
-    return both.select("event_id", "d", "horizon", (100 * (F.col("p1") - F.col("p0")) / F.abs("p0")).alias("r"))
+def forward(spark, sf, horizons, events=None, px=None):
+    """(event_id, d, horizon, r): percent from the price nearest to the event (5 days) to that nearest to the horizon (10).
+
+    Returns depend on the day alone, so they are worked out once a day; a table of days is as long as the calendar.
+    """
+    px = px if px is not None else views.prices(spark, sf)
+    base = (events if events is not None else asked(spark, sf)).select("event_id", "d")
+    each = F.explode(F.array(*(F.lit(h) for h in horizons)))
+    days = base.select("d").where("d is not null").distinct()
+    start = asof.asof(days, px.select(F.col("d").alias("d0"), F.col("px").alias("p0")), "d", "d0", "p0", "nearest", 5)
+    asks = start.withColumn("horizon", each).withColumn("ask", F.date_add("d", F.col("horizon")))
+    both = asof.asof(asks, px.select(F.col("d").alias("d1"), F.col("px").alias("p1")), "ask", "d1", "p1", "nearest", 10, by=["d", "horizon", "ask"])
+    r = both.select("d", "horizon", (100 * (F.col("p1") - F.col("p0")) / F.abs("p0")).alias("r"))
+    return base.withColumn("horizon", each).join(F.broadcast(r), ["d", "horizon"], "left").select("event_id", "d", "horizon", "r")
 
 
 FORWARD_SQL = f"""select m.event_id, m.d, k.horizon, 100 * (b.px - a.px) / abs(a.px) as r

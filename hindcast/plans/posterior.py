@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hindcast.operators import asof, forecast, retrieval, series
 from hindcast.plans.analogues import RETRIEVED, RETURNS, retrieved
 from hindcast.plans.market import NEAREST, asked, forward, r6
-from hindcast.sources import views
+from hindcast.sources import shared, views
 from hindcast.sources.views import with_views
 
 QUERIES: dict = {}
@@ -33,31 +33,44 @@ def query(sql: str = ""):
     return add
 
 
-def percentiles(spark, sf) -> DataFrame:
-    """(event_id, pct): the rank of the price at each event in the five years before it; null with too few days."""
-    px = views.prices(spark, sf)
-    now = asof.asof(asked(spark, sf), px.select(F.col("d").alias("d0"), F.col("px").alias("p0")), "d", "d0", "p0", "nearest", 5)
-    rank = series.percentile_rank(now.where("p0 is not null").select("event_id", "d", "p0"), px, "d", "p0", keys=["event_id"])
+def percentiles(spark, sf, px: DataFrame | None = None) -> DataFrame:
+    """(d, pct): the rank of the price at each day with an event in the five years before it; null with too few days."""
+    px = px if px is not None else views.prices(spark, sf)
+    days = asked(spark, sf).select("d").where("d is not null").distinct()
+    now = asof.asof(days, px.select(F.col("d").alias("d0"), F.col("px").alias("p0")), "d", "d0", "p0", "nearest", 5)
+    rank = series.percentile_rank(now.where("p0 is not null").select("d", "p0"), px, "d", "p0", keys=["d"])
     return rank.withColumnRenamed("rank_pct", "pct")
 
 
-def paths(spark, sf) -> DataFrame:
-    """(event_id, path, sigma): prices of the 15 days up to each event in percent of the first, and the spread of their steps."""
-    p = asof.band_join(asked(spark, sf).withColumnRenamed("d", "ed"), views.prices(spark, sf), "ed", "d", 15, 0)
+def paths(spark, sf, px: DataFrame | None = None) -> DataFrame:
+    """(d, path, sigma): prices of the 15 days up to each day with an event in percent of the first, and the spread of their steps."""
+    px = px if px is not None else views.prices(spark, sf)
+    days = asked(spark, sf).select(F.col("d").alias("ed")).where("ed is not null").distinct()
+    p = asof.band_join(days, px, "ed", "d", 15, 0)
     path = F.transform(F.array_sort(F.collect_list(F.struct("d", "px"))), lambda x: x["px"])
-    p = p.groupBy("event_id").agg(path.alias("px")).select("event_id", F.transform("px", lambda x: 100 * (x / F.col("px")[0] - 1)).alias("path"))
+    p = p.groupBy("ed").agg(path.alias("px")).select(F.col("ed").alias("d"), F.transform("px", lambda x: 100 * (x / F.col("px")[0] - 1)).alias("path"))
     return p.withColumn("sigma", forecast.prior_spread(F.col("path")))
 
 
-def parts(spark, sf, near_paths: bool = False) -> DataFrame:
+def prices(spark, sf) -> DataFrame:
+    """The price of every day, summed once from the orders for all that reads it."""
+    return shared.checkpointed(views.prices(spark, sf))
+
+
+def parts(spark, sf, near_paths: bool = False, px: DataFrame | None = None) -> DataFrame:
     """(base_id, event_id, sim, mu, sigma, w): the weighted normal distributions of each test event with FEWEST analogues or more."""
-    ret = forward(spark, sf, (15,)).where("r is not null").select("event_id", F.col("r").alias("mu"))
-    pct, path = percentiles(spark, sf), paths(spark, sf)
-    a = retrieved(spark, sf).join(ret, "event_id").join(pct, "event_id", "left").join(path, "event_id", "left")
-    a = a.join(pct.select(F.col("event_id").alias("base_id"), F.col("pct").alias("base_pct")), "base_id", "left")
+    px = px if px is not None else prices(spark, sf)
+    ret = forward(spark, sf, (15,), px=px).where("r is not null").select("event_id", "d", F.col("r").alias("mu"))
+    # what depends on the day is joined by day, from tables as long as the calendar
+    pct, path = percentiles(spark, sf, px), paths(spark, sf, px)
+    of_day = path.join(pct, "d", "full") if near_paths else path.select("d", "sigma").join(pct, "d", "full")
+    of_day = shared.checkpointed(of_day)
+    a = retrieved(spark, sf).join(ret, "event_id").join(F.broadcast(of_day), "d", "left")
+    a = a.join(asked(spark, sf).select(F.col("event_id").alias("base_id"), F.col("d").alias("bd")), "base_id")
+    base = of_day.select(F.col("d").alias("bd"), F.col("pct").alias("base_pct"), *([F.col("path").alias("base_path")] if near_paths else []))
+    a = a.join(F.broadcast(base), "bd", "left")
     per_base = Window.partitionBy("base_id")
     if near_paths:
-        a = a.join(path.select(F.col("event_id").alias("base_id"), F.col("path").alias("base_path")), "base_id", "left")
         a = retrieval.with_dtw(a, "base_path", "path")
         far, median = F.coalesce("dtw", F.lit(0.0)), F.coalesce(F.median("dtw").over(per_base), F.lit(1.0))
     else:
@@ -73,9 +86,11 @@ def posterior(p: DataFrame, grid: int = GRID) -> DataFrame:
     return forecast.statistics(forecast.mixture(p.withColumn("w", F.when(even, 1.0).otherwise(F.col("w"))), "base_id", grid), "base_id")
 
 
-def judged(spark, sf, p: DataFrame) -> DataFrame:
+def judged(spark, sf, near_paths: bool = False) -> DataFrame:
     """Statistics with the realised return, coverage of 90 and 50 percent, red flag and signal."""
-    ret = forward(spark, sf, (15,)).where("r is not null").select(F.col("event_id").alias("base_id"), F.col("r").alias("realised"))
+    px = prices(spark, sf)
+    p = parts(spark, sf, near_paths, px)
+    ret = forward(spark, sf, (15,), px=px).where("r is not null").select(F.col("event_id").alias("base_id"), F.col("r").alias("realised"))
     inside = lambda a, b: F.col("realised").between(F.col(a), F.col(b)).cast("int")
     out = posterior(p).join(ret, "base_id")
     return out.withColumns({"covers_90": inside("p5", "p95"), "covers_50": inside("p25", "p75"), "red_flag": (F.col("p_down10") > FLAG).cast("int"), "signal": forecast.signal(F.col("median"), F.col("p5"), F.col("p95"), 2.0, 60.0)})
@@ -125,14 +140,14 @@ SIGNAL = "case when median > 2 and p5 > -60 then 'LONG' when median < -2 and p95
 )
 def posterior_signals(spark, sf):
     """From analogues to coverage: percentiles, flags and signals are read from the density, not from the sample."""
-    f = judged(spark, sf, parts(spark, sf))
+    f = judged(spark, sf)
     return f.select("base_id", *(F.round(c, 4).alias(c) for c in SHOWN), r6("realised", "realised"), "covers_90", "covers_50", "red_flag", "signal")
 
 
 @query()
 def posterior_with_paths(spark, sf):
     """posterior_signals with all three ranks; the warping has no SQL."""
-    f = judged(spark, sf, parts(spark, sf, True))
+    f = judged(spark, sf, True)
     return f.select("base_id", *(F.round(c, 4).alias(c) for c in SHOWN), r6("realised", "realised"), "covers_90", "covers_50", "red_flag", "signal")
 
 

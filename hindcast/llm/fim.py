@@ -64,12 +64,13 @@ def transformed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text is empty and plain. Rows of one id are cut alike if their texts are equal, each by its own units if not; a null
     id draws as an empty one. Positions count code points. An empty table gives an empty result.
     """
-    docs = docs.drop("n", "form", "prefix_chars", "middle_chars", "output")
+    others = [c for c in docs.columns if c not in (id_col, text_col, "n", "form", "prefix_chars", "middle_chars", "output")]
+    # other columns travel as one, so that no name of theirs meets one used here
+    docs = docs.select(id_col, text_col, *([F.struct(*(F.col(f"`{c}`") for c in others)).alias("__others")] if others else []))
     surrogate = F.coalesce(F.col(id_col), F.lit(0).cast(docs.schema[id_col].dataType))
     docs = docs.withColumns({text_col: F.coalesce(text_col, F.lit("")), "__id": surrogate})
     # the id travels as __id alone, which joins need not to be null; __hash tells whether it was
     docs = docs.withColumn("__hash", F.xxhash64(F.col(id_col).isNull(), "__id", text_col))
-    names = [c for c in docs.columns if c not in KEYS]
     keyed = docs.drop(id_col).repartition(*KEYS)
     text = F.col(text_col)
     doc_id = F.when(F.col("__hash") == F.xxhash64(F.lit(False), "__id", text_col), F.col("__id"))
@@ -82,7 +83,7 @@ def transformed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     psm = F.concat(F.lit(PREFIX), prefix, F.lit(SUFFIX), suffix, F.lit(MIDDLE), middle)
     out = out.withColumn("output", F.when(F.col("form") == "plain", text).when(F.col("form") == "spm", spm).otherwise(psm))
     chars = lambda c: F.when(F.col("form") != "plain", c.cast("long"))
-    return out.select(*names, "n", "form", chars(F.col("__p")).alias("prefix_chars"), chars(F.col("__q") - F.col("__p")).alias("middle_chars"), "output")
+    return out.select(id_col, text_col, *(["__others.*"] if others else []), "n", "form", chars(F.col("__p")).alias("prefix_chars"), chars(F.col("__q") - F.col("__p")).alias("middle_chars"), "output")
 
 
 def restored(output: Column, form: Column) -> Column:

@@ -275,3 +275,42 @@ def signed_ranks(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24.0 - F.col("__ties") / 48.0
     z = (F.col("w_plus") - F.col("n") * (F.col("n") + 1) / 4.0) / F.sqrt(F.nullif(var, F.lit(0.0)))
     return s.withColumn("z", z).withColumn("p", 2 * (1 - normal_cdf(F.abs("z")))).select(key, "n", "w_plus", "w_minus", "z", "p")
+
+
+def roc(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, x, p, q, tp, fp, np, nq) of each distinct score x: the ones and zeros at it, at it or above it, and in all.
+
+    df is (by, x, y) with few values of `by`. Scores are counted first, then summed in stretches between approximate
+    quantiles, so no task orders all of them.
+    """
+    c = stretched(df.where("x is not null and y is not null").groupBy(*by, "x").agg(F.sum("y").alias("p"), F.count_if(F.col("y") == 0).alias("q")), "x")
+    sums = c.groupBy(*by, "__at").agg(F.sum("p").alias("__p"), F.sum("q").alias("__q"))
+    above = Window.partitionBy(*by).orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*by)
+    none = lambda x: F.coalesce(x, F.lit(0))
+    sums = sums.select(*by, "__at", none(F.sum("__p").over(above)).alias("__pa"), none(F.sum("__q").over(above)).alias("__qa"), F.sum("__p").over(every).alias("np"), F.sum("__q").over(every).alias("nq"))
+    down = Window.partitionBy(*by, "__at").orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, 0)
+    both = c.join(F.broadcast(sums), [*by, "__at"])
+    return both.select(*by, "x", "p", "q", (F.col("__pa") + F.sum("p").over(down)).alias("tp"), (F.col("__qa") + F.sum("q").over(down)).alias("fp"), "np", "nq")
+
+
+def auc_by(curve: DataFrame, by: list[str]) -> DataFrame:
+    """(by, auc) from roc(): the chance that a one has the higher score, ties count a half; null without ones or zeros."""
+    won = F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2))
+    return curve.groupBy(*by).agg((won / F.nullif(F.first("np") * F.first("nq"), F.lit(0))).alias("auc"))
+
+
+def best_cut(curve: DataFrame, by: list[str]) -> DataFrame:
+    """(by, threshold, j) from roc(): the highest score whose share of ones less that of zeros, at it or above, is largest."""
+    j = F.col("tp") / F.nullif("np", F.lit(0)) - F.col("fp") / F.nullif("nq", F.lit(0))
+    best = F.max(F.struct(j.alias("j"), F.col("x").alias("threshold"))).alias("b")
+    return curve.where("np > 0 and nq > 0").groupBy(*by).agg(best).select(*by, "b.threshold", "b.j")
+
+
+def folded(df: DataFrame, key: str, y: str, folds: int, seed: int) -> DataFrame:
+    """df with fold, 1 to folds: rows of each outcome are dealt out in turn in the order of a hash of seed and key, so every
+    fold has the same share of ones, whatever the partitions. Null outcomes are left out."""
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    df = df.withColumn("__h", h)
+    parts = [numbered(df.where(F.col(y) == v), ["__h", key]).withColumn("fold", ((F.col("k") - 1) % folds + 1).cast("int")) for v in (0, 1)]
+    return parts[0].unionByName(parts[1]).drop("__h", "k", "__at", "__n")

@@ -57,10 +57,10 @@ def prices(spark, sf) -> DataFrame:
     return shared.checkpointed(views.prices(spark, sf))
 
 
-def parts(spark, sf, near_paths: bool = False, px: DataFrame | None = None) -> DataFrame:
-    """(base_id, event_id, sim, mu, sigma, w): the weighted normal distributions of each test event with FEWEST analogues or more."""
+def parts(spark, sf, near_paths: bool = False, px: DataFrame | None = None, horizons: tuple[int, ...] = (15,)) -> DataFrame:
+    """(base_id, horizon, event_id, sim, mu, sigma, w): the weighted normal distributions of each test event with FEWEST analogues or more."""
     px = px if px is not None else prices(spark, sf)
-    ret = forward(spark, sf, (15,), px=px).where("r is not null").select("event_id", "d", F.col("r").alias("mu"))
+    ret = forward(spark, sf, horizons, px=px).where("r is not null").select("event_id", "d", "horizon", F.col("r").alias("mu"))
     # what depends on the day is joined by day, from tables as long as the calendar
     pct, path = percentiles(spark, sf, px), paths(spark, sf, px)
     of_day = path.join(pct, "d", "full") if near_paths else path.select("d", "sigma").join(pct, "d", "full")
@@ -69,7 +69,7 @@ def parts(spark, sf, near_paths: bool = False, px: DataFrame | None = None) -> D
     a = a.join(asked(spark, sf).select(F.col("event_id").alias("base_id"), F.col("d").alias("bd")), "base_id")
     base = of_day.select(F.col("d").alias("bd"), F.col("pct").alias("base_pct"), *([F.col("path").alias("base_path")] if near_paths else []))
     a = a.join(F.broadcast(base), "bd", "left")
-    per_base = Window.partitionBy("base_id")
+    per_base = Window.partitionBy("base_id", "horizon")
     if near_paths:
         a = retrieval.with_dtw(a, "base_path", "path")
         far, median = F.coalesce("dtw", F.lit(0.0)), F.coalesce(F.median("dtw").over(per_base), F.lit(1.0))
@@ -77,7 +77,7 @@ def parts(spark, sf, near_paths: bool = False, px: DataFrame | None = None) -> D
         far = median = F.lit(0.0)
     a = a.withColumn("w", forecast.three_rank_weight(F.col("sim"), F.col("base_pct"), F.col("pct"), far, median))
     a = a.withColumn("n", F.count(F.lit(1)).over(per_base)).where(f"n >= {FEWEST}")
-    return a.select("base_id", "event_id", "sim", "mu", F.coalesce("sigma", F.lit(1.0)).alias("sigma"), "w")
+    return a.select("base_id", "horizon", "event_id", "sim", "mu", F.coalesce("sigma", F.lit(1.0)).alias("sigma"), "w")
 
 
 def posterior(p: DataFrame, grid: int = GRID) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.plans import analogues, cascades, densities, extras, market, measures, posterior, text
+from hindcast.plans import analogues, cascades, densities, extras, inference, market, measures, posterior, text
 
-MODULES = (market, text, analogues, posterior, measures, extras, cascades, densities)
+MODULES = (market, text, analogues, posterior, measures, extras, cascades, densities, inference)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

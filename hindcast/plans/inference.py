@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.operators import forecast, inference, statistics
+from hindcast.operators import forecast, inference, statistics, volatility
 from hindcast.plans import posterior
 from hindcast.plans.analogues import FORECAST, forecasts
 from hindcast.plans.analogues import VIEWS as SAMPLED
@@ -197,3 +197,36 @@ def warning_tradeoff(spark, sf):
     flag, one = F.col("x") >= F.col("threshold"), F.col("y") == 1
     s = w.join(F.broadcast(t), "score").groupBy("score", "percentile", "threshold").agg(F.count_if(flag).alias("n_flagged"), (F.count_if(flag & one) / F.nullif(F.count_if(flag), F.lit(0))).alias("precision_"), (F.count_if(flag & one) / F.nullif(F.count_if(one), F.lit(0))).alias("recall"))
     return s.select("score", "percentile", F.round("threshold", 6).alias("threshold"), "n_flagged", F.round("precision_", 6).alias("precision_"), F.round("recall", 6).alias("recall"))
+
+
+# Benchmarks: what a series alone says about the next days.
+
+
+def benchmarked(spark, sf) -> DataFrame:
+    """The intervals of all benchmarks at each day with a test event, over the price itself; written."""
+    px = posterior.prices(spark, sf).withColumn("series", F.lit("price"))
+    asks = views.test(spark, sf).select(F.lit("price").alias("series"), "d").distinct()
+    return shared.checkpointed(volatility.benchmarks(asks, px, "series"))
+
+
+@query()
+def volatility_benchmarks(spark, sf):
+    """Intervals of the 15-day return from the GARCH family, filtered history and plain densities, at each day with a test event."""
+    b = benchmarked(spark, sf)
+    return b.select("d", "model", *(F.round(c, 4).alias(c) for c in ("sigma", "p5", "p95", "p_down10", "p_up10")))
+
+
+@query()
+def benchmark_scores(spark, sf):
+    """How the benchmarks and the posterior did on all test events: coverage of 90 percent, width, and loss at both ends."""
+    px = posterior.prices(spark, sf)
+    came = forward(spark, sf, (15,), px=px).where("r is not null").select(F.col("event_id").alias("base_id"), "d", F.col("r").alias("y"))
+    own = posterior.posterior(posterior.parts(spark, sf, px=px)).select("base_id", F.lit("posterior").alias("model"), "p5", "p95").join(came, "base_id")
+    asked = views.test(spark, sf).select(F.col("event_id").alias("base_id")).join(came, "base_id")
+    # a table of days and models is as long as the calendar
+    other = asked.join(F.broadcast(benchmarked(spark, sf).select("d", "model", "p5", "p95")), "d")
+    every = own.select("model", "p5", "p95", "y").unionByName(other.select("model", "p5", "p95", "y"))
+    y = F.col("y")
+    loss = forecast.pinball(y, F.col("p5"), 0.05) + forecast.pinball(y, F.col("p95"), 0.95)
+    s = every.where("p5 is not null").groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg(y.between(F.col("p5"), F.col("p95")).cast("int")).alias("coverage"), F.avg(F.col("p95") - F.col("p5")).alias("width"), F.avg(loss / 2).alias("loss"))
+    return s.select("model", "n", *(F.round(c, 4).alias(c) for c in ("coverage", "width", "loss")))

@@ -167,9 +167,17 @@ def kelly_backtest(forecasts: DataFrame, book: str, cooldown: int = 15, band: fl
 def density_clusters(d: np.ndarray, least: int) -> np.ndarray:
     """Labels of density clusters of a distance matrix, -1 for noise: single linkage, condensed to clusters of at least
     `least` points, chosen by excess of mass; one cluster of everything is allowed."""
+    return density_tree(d, least)[0]
+
+
+def density_tree(d: np.ndarray, least: int, leaves: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, reach) as in density_clusters(), or with `leaves` of the clusters that split no further; reach is the
+    distance at which each cluster parted from its sibling, infinite for one cluster of everything."""
     n = len(d)
     if n < least:
-        return np.full(n, -1)
+        return np.full(n, -1), np.zeros(0)
+    if n == 1:
+        return np.zeros(1, int), np.full(1, np.inf)
     # minimum spanning tree
     near, frm, inside, edges = d[0].copy(), np.zeros(n, int), np.zeros(n, bool), []
     inside[0] = True
@@ -222,10 +230,10 @@ def density_clusters(d: np.ndarray, least: int) -> np.ndarray:
         total = sum(m for m, _ in below)
         return (mass[c], [c]) if not below or mass[c] >= total else (total, [x for _, xs in below for x in xs])
 
-    chosen = best(top - 1)[1]
-    for k, c in enumerate(sorted(chosen, key=lambda c: min(members[c]))):
+    chosen = sorted([c for c in children if not children[c]] if leaves else best(top - 1)[1], key=lambda c: min(members[c]))
+    for k, c in enumerate(chosen):
         labels[members[c]] = k
-    return labels
+    return labels, np.array([1 / birth[c] if birth[c] else np.inf for c in chosen])
 
 
 def local_clusters(pairs: DataFrame, events: DataFrame, least: int = 3) -> DataFrame:

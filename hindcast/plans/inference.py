@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.operators import forecast, inference, statistics, volatility
+from hindcast.operators import forecast, inference, statistics, topics, volatility
 from hindcast.plans import posterior
 from hindcast.plans.analogues import FORECAST, forecasts
 from hindcast.plans.analogues import VIEWS as SAMPLED
@@ -230,3 +230,9 @@ def benchmark_scores(spark, sf):
     loss = forecast.pinball(y, F.col("p5"), 0.05) + forecast.pinball(y, F.col("p95"), 0.95)
     s = every.where("p5 is not null").groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg(y.between(F.col("p5"), F.col("p95")).cast("int")).alias("coverage"), F.avg(F.col("p95") - F.col("p5")).alias("width"), F.avg(loss / 2).alias("loss"))
     return s.select("model", "n", *(F.round(c, 4).alias(c) for c in ("coverage", "width", "loss")))
+
+
+@query()
+def density_topics(spark, sf):
+    """Topics of all documents: term weights, decomposition, density clusters, labels of their own words, like ones merged."""
+    return topics.topics(views.table(spark, sf, "documents").select("doc_id", "text"))

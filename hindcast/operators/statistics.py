@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.functions.numbers import normal_cdf
@@ -18,7 +18,15 @@ def stretched(df: DataFrame, first: str) -> DataFrame:
     v = (F.unix_date(first) if df.schema[first].dataType.typeName() == "date" else F.col(first)).cast("double")
     cuts = df.agg(F.percentile_approx(v, F.array(*(F.lit(k / STRETCHES) for k in range(1, STRETCHES))))).first()[0]
     cuts = sorted(set(cuts or []))
-    return df.withColumn("__at", F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < v)), F.lit(0)) if cuts else F.lit(0))
+
+    def below(low: int, high: int) -> Column:
+        """How many cuts are below v, of which `low` are known to be and the rest from `high` on are not: a search by halves."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(v <= cuts[mid], below(low, mid)).otherwise(below(mid + 1, high))
+
+    return df.withColumn("__at", F.when(v.isNull(), 0).otherwise(below(0, len(cuts))))
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
@@ -291,7 +299,7 @@ def roc(df: DataFrame, by: list[str]) -> DataFrame:
     df is (by, x, y) with few values of `by`. Scores are counted first, then summed in stretches between approximate
     quantiles, so no task orders all of them.
     """
-    c = stretched(df.where("x is not null and y is not null").groupBy(*by, "x").agg(F.sum("y").alias("p"), F.count_if(F.col("y") == 0).alias("q")), "x")
+    c = stretched(df.where("x is not null and y is not null"), "x").groupBy(*by, "__at", "x").agg(F.sum("y").alias("p"), F.count_if(F.col("y") == 0).alias("q"))
     sums = c.groupBy(*by, "__at").agg(F.sum("p").alias("__p"), F.sum("q").alias("__q"))
     above = Window.partitionBy(*by).orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*by)
@@ -317,7 +325,7 @@ def best_cut(curve: DataFrame, by: list[str]) -> DataFrame:
 
 def folded(df: DataFrame, key: str, y: str, folds: int, seed: int) -> DataFrame:
     """df with fold, 1 to folds: rows of each outcome are dealt out in turn in the order of a hash of seed and key, so every
-    fold has the same share of ones, whatever the partitions. Null outcomes are left out."""
+    fold has the same share of ones, whatever the partitions. Null outcomes are left out; a column named k goes."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
     df = df.withColumn("__h", h)
     parts = [numbered(df.where(F.col(y) == v), ["__h", key]).withColumn("fold", ((F.col("k") - 1) % folds + 1).cast("int")) for v in (0, 1)]

@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from hindcast.functions.numbers import normal_pdf
 
 
-def three_rank_weight(sim: Column, base_pct: Column, pct: Column, far: Column, median_far: Column) -> Column:
+def ranks(sim: Column, base_pct: Column, pct: Column, far: Column, median_far: Column) -> tuple[Column, Column, Column]:
     """Similarity, closeness of the price percentiles, and closeness of the paths; a missing percentile counts a half."""
     near = F.coalesce(F.exp(-0.5 * ((base_pct - pct) / 20) ** 2), F.lit(0.5))
     path = F.exp(-far / F.when(median_far < 1e-6, 1.0).otherwise(median_far))
-    return F.pow(F.greatest(sim, F.lit(0.0)), F.lit(0.5)) * F.pow(near, F.lit(0.2)) * F.pow(path, F.lit(0.3))
+    return F.pow(F.greatest(sim, F.lit(0.0)), F.lit(0.5)), F.pow(near, F.lit(0.2)), F.pow(path, F.lit(0.3))
+
+
+def three_rank_weight(sim: Column, base_pct: Column, pct: Column, far: Column, median_far: Column) -> Column:
+    """The product of the three ranks."""
+    a, b, c = ranks(sim, base_pct, pct, far, median_far)
+    return a * b * c
 
 
 def prior_spread(path: Column) -> Column:
@@ -202,3 +208,31 @@ def kernels(parts: DataFrame, key: str, low: float, high: float, n: int) -> Data
     g = parts.groupBy(key).agg(F.collect_list(F.struct("mu", "sigma", "w")).alias("p"))
     g = g.select(key, F.posexplode(summed("p.mu", "p.sigma", "p.w")).alias("i", "dens"))
     return g.select(key, "i", (low + F.col("i") * ((high - low) / (n - 1))).alias("x"), "dens")
+
+
+def quantiles_of_parts(parts: DataFrame, key: str, grid: int = 1000, far: float = 10.0) -> DataFrame:
+    """(key, n, p5, p25, median, p75, p95, p_down10, p_up10, n_peaks) of Gaussian mixtures given as rows (key, mu, sigma, w).
+
+    The same grid and levels as mixture() and statistics(), summed in Arrow batches where there are too many mixtures to have
+    a row for each grid point; tails are trapezoids beyond `far`, peaks stand out by a tenth of the highest density. A key's
+    parts should be a bounded number; keys whose weights add up to nothing have no row.
+    """
+    names = ["p5", "p25", "median", "p75", "p95", "p_down10", "p_up10"]
+
+    def area(d: np.ndarray, x: np.ndarray) -> float:
+        return float((0.5 * (d[1:] + d[:-1]) * np.diff(x)).sum()) if len(x) > 1 else 0.0
+
+    @F.pandas_udf(", ".join(f"{c} double" for c in names) + ", xs array<double>, ds array<double>")
+    def summed(mu: pd.Series, sigma: pd.Series, w: pd.Series) -> pd.DataFrame:
+        out = []
+        for m, s, v in zip(mu, sigma, w, strict=True):
+            m, s, v = (np.asarray(a, float) for a in (m, s, v))
+            x = np.linspace((m - 3 * s).min() - 5, (m + 3 * s).max() + 5, grid)
+            d = (v / v.sum() / (s * np.sqrt(2 * np.pi)) * np.exp(-0.5 * ((x[:, None] - m) / s) ** 2)).sum(1)
+            cdf = np.cumsum(d) / d.sum()
+            out.append((*(float(x[min(np.searchsorted(cdf, q), grid - 1)]) for q in (0.05, 0.25, 0.5, 0.75, 0.95)), area(d[x <= -far], x[x <= -far]), area(d[x >= far], x[x >= far]), x.tolist(), d.tolist()))
+        return pd.DataFrame(out, columns=[*names, "xs", "ds"])
+
+    g = parts.groupBy(key).agg(F.collect_list(F.struct("mu", "sigma", "w")).alias("p"), F.sum("w").alias("__sum")).where("__sum > 0")
+    g = g.select(key, F.size("p").cast("long").alias("n"), summed("p.mu", "p.sigma", "p.w").alias("q")).select(key, "n", "q.*")
+    return modes(g).select(key, "n", *names, "n_peaks")

@@ -308,6 +308,61 @@ def faded(base: DataFrame, corpus: DataFrame, k: int, tau: float, fade: float |
     return out.withColumn("__k", place).where(F.col("__k") <= k).drop("__k")
 
 
+def blended(base: DataFrame, corpus: DataFrame, k: int, tau: float, weights: tuple[float, float, float] = (0.60, 0.25, 0.15), earlier: bool = True) -> DataFrame:
+    """(base_id, event_id, sim, jaccard, same, score): of the corpus events of a similarity of tau or more, the k of the best
+    blend of similarity, shared words and equal type. Ties go to the smaller event_id.
+
+    base is (base_id, d, emb, kind, bag), corpus (event_id, d, emb, kind, bag): a whole number and an array of different
+    words. Both parts are worked out inside the task that reads an event, which keeps k of each query; two empty bags share
+    nothing.
+    """
+    out = None
+    for ids, days, vectors, kinds, bags in _blocks(base, "kind", "bag"):
+        words: dict = {}
+        for q, bag in enumerate(bags.to_pylist()):
+            for w in bag:
+                words.setdefault(w, []).append(q)
+        block = ids, days, vectors, kinds.to_numpy(), np.array([len(b) for b in bags.to_pylist()]), {w: np.array(q) for w, q in words.items()}
+        shared = base.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            ids, days, vectors, kinds, sizes, words = shared.value
+            held = tuple(np.zeros(0, t) for t in (int, np.int64, float, float, int, float))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                events, sims = batch.column(0).to_numpy(), vectors @ _matrix(batch.column(2)).T
+                both = np.zeros(sims.shape)
+                own = batch.column(4).to_pylist()
+                for c, bag in enumerate(own):
+                    for w in bag:
+                        if w in words:
+                            both[words[w], c] += 1
+                either = sizes[:, None] + np.array([len(b) for b in own])[None] - both
+                jaccard = both / np.maximum(either, 1)
+                same = (kinds[:, None] == batch.column(3).to_numpy()[None]).astype(int)
+                near = sims >= tau
+                if earlier:
+                    near &= _days(batch.column(1))[None] < days[:, None]
+                score = weights[0] * sims + weights[1] * jaccard + weights[2] * same
+                at, c = np.nonzero(near)
+                q, e, s, j, t, b = (np.concatenate(x) for x in zip(held, (at, events[c], sims[at, c], jaccard[at, c], same[at, c], score[at, c]), strict=True))
+                order = np.lexsort((e, -b, q))
+                q, e, s, j, t, b = (x[order] for x in (q, e, s, j, t, b))
+                best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                held = tuple(x[best] for x in (q, e, s, j, t, b))
+            q, e, s, j, t, b = held
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(e), pa.array(s), pa.array(j), pa.array(t.astype(np.int32)), pa.array(b)], names=["base_id", "event_id", "sim", "jaccard", "same", "score"])
+
+        known = corpus.where("event_id is not null and d is not null and emb is not null and kind is not null and bag is not null")
+        found = known.select("event_id", "d", "emb", "kind", "bag").mapInArrow(run, "base_id long, event_id long, sim double, jaccard double, same int, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return base.sparkSession.createDataFrame([], "base_id long, event_id long, sim double, jaccard double, same int, score double")
+    place = F.row_number().over(Window.partitionBy("base_id").orderBy(F.desc("score"), "event_id"))
+    return out.withColumn("rank", place).where(F.col("rank") <= k)
+
+
 def dtw(a: np.ndarray, b: np.ndarray, band: int | None = 2, squared: bool = True) -> np.ndarray:
     """Dynamic time warping of each row of a with the same row of b: squared costs and a root, or absolute costs."""
     n, m = a.shape[1], b.shape[1]

@@ -58,7 +58,8 @@ def prices(spark, sf) -> DataFrame:
 
 
 def parts(spark, sf, near_paths: bool = False, px: DataFrame | None = None, horizons: tuple[int, ...] = (15,)) -> DataFrame:
-    """(base_id, horizon, event_id, sim, mu, sigma, w): the weighted normal distributions of each test event with FEWEST analogues or more."""
+    """(base_id, horizon, event_id, d, sim, mu, sigma, w, w_sim, w_pct, w_path): the weighted normal distributions of each test
+    event with FEWEST analogues or more; w is the product of the three ranks, of which w_path is 1 without near_paths."""
     px = px if px is not None else prices(spark, sf)
     ret = forward(spark, sf, horizons, px=px).where("r is not null").select("event_id", "d", "horizon", F.col("r").alias("mu"))
     # what depends on the day is joined by day, from tables as long as the calendar
@@ -75,9 +76,10 @@ def parts(spark, sf, near_paths: bool = False, px: DataFrame | None = None, hori
         far, median = F.coalesce("dtw", F.lit(0.0)), F.coalesce(F.median("dtw").over(per_base), F.lit(1.0))
     else:
         far = median = F.lit(0.0)
-    a = a.withColumn("w", forecast.three_rank_weight(F.col("sim"), F.col("base_pct"), F.col("pct"), far, median))
+    ranks = forecast.ranks(F.col("sim"), F.col("base_pct"), F.col("pct"), far, median)
+    a = a.withColumns({"w": ranks[0] * ranks[1] * ranks[2], "w_sim": ranks[0], "w_pct": ranks[1], "w_path": ranks[2]})
     a = a.withColumn("n", F.count(F.lit(1)).over(per_base)).where(f"n >= {FEWEST}")
-    return a.select("base_id", "horizon", "event_id", "sim", "mu", F.coalesce("sigma", F.lit(1.0)).alias("sigma"), "w")
+    return a.select("base_id", "horizon", "event_id", "d", "sim", "mu", F.coalesce("sigma", F.lit(1.0)).alias("sigma"), "w", "w_sim", "w_pct", "w_path")
 
 
 def posterior(p: DataFrame, grid: int = GRID) -> DataFrame:

@@ -7,9 +7,10 @@ code, and the bits of all filters make one packed 32-bit integer for each place.
 frequent offset of equal integers, all of which vote, and their distance there is the share of bits that differ in the
 overlap.
 
-The search looks up the KEYS rarest runs of RUN integers that a query shares with any other recording, and aligns the query
-with those that share SHARED of them or more; a query of fewer such runs must share them all. Recordings of equal fingerprints
-are one in the search, so that copies don't meet copies.
+The search looks up every integer of every recording among those of the stated queries, in blocks; no integer is too common
+and no recording has too few. Equal integers vote for offsets as in an alignment, and a query matches what overlaps it by
+LEAST places or more at the winning offset with few differing bits. Recordings of equal fingerprints, of any length, are one
+in the search, so that copies don't meet copies.
 
 Null and empty recordings have no integers, and an error of 1 to others and 0 to each other. One shorter than a frame is
 one frame with silence. Rows of one id are recordings of their own; a null id is in no search.
@@ -22,7 +23,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField
 
@@ -37,9 +38,11 @@ FILTERS = [(k % 4, 3 * k % 9, 2 + k % 3 if k % 4 else 1 + k % 3, 4 + 2 * (k % 5)
 WIDEST = max(f[3] for f in FILTERS)
 STEP = 0.15
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-#: Integers of a key, keys of a query that are looked up, those that a candidate must share, and the error up to which it is a match.
-RUN, KEYS, SHARED, MOST_ERROR = 3, 24, 2, 0.15
-MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Places that a match overlaps at least, and the error up to which it is one.
+LEAST, MOST_ERROR = 8, 0.15
+#: Integers of the queries that are looked up at once; votes that are counted at once, and those of one recording beyond which
+#: its alignments are made one by one.
+BLOCK, VOTES, MANY = 1 << 22, 1 << 20, 1 << 23
 
 
 @dataclass(frozen=True)
@@ -178,31 +181,126 @@ def aligned(df: DataFrame, pairs: list[tuple[str, str, str, str]]) -> DataFrame:
     return with_arrow(df, run, [f for *_, offset, error in pairs for f in (StructField(offset, LongType()), StructField(error, DoubleType()))])
 
 
-def keys_of(prints: DataFrame, id_col: str) -> DataFrame:
-    """(id, key): the different runs of RUN integers of each recording, hashed; the whole sequence if there are fewer."""
-
-    def run(batches):
-        for batch in batches:
-            found = []
-            for x in batch.column(1).to_pylist():
-                v = np.frombuffer(x or b"", np.uint32).astype(np.uint64)
-                n, mixed = min(RUN, len(v)), np.full(max(len(v) - RUN + 1, min(len(v), 1)), len(v) < RUN, np.uint64)
-                for k in range(n):
-                    mixed = (mixed ^ (mixed >> np.uint64(29))) * MIX + v[k : k + len(mixed)]
-                mixed = (mixed ^ (mixed >> np.uint64(32))) * MIX
-                found.append(np.unique(mixed).view(np.int64))
-            rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["id", "key"])
-
-    return prints.select(F.col(id_col).cast("long").alias("id"), "fingerprint").mapInArrow(run, "id long, key long")
+@dataclass(frozen=True)
+class Block:
+    """Queries that are searched for at once: their integers in order of value, with query and place, and their whole prints."""
+
+    names: np.ndarray
+    prints: np.ndarray
+    begins: np.ndarray
+    values: np.ndarray
+    of: np.ndarray
+    place: np.ndarray
+
+    @classmethod
+    def made(cls, names: list[int], prints: list[bytes]) -> Block:
+        lengths = np.array([len(p) // 4 for p in prints], np.int64)
+        begins = np.concatenate([[0], np.cumsum(lengths)])
+        every = np.frombuffer(b"".join(prints), np.uint32)
+        order = np.argsort(every, kind="stable")
+        of = np.repeat(np.arange(len(prints), dtype=np.int64), lengths)
+        place = np.arange(len(every), dtype=np.int64) - begins[of]
+        return cls(np.array(names, np.int64), every, begins, every[order], of[order], place[order])
+
+    def one(self, q: int) -> np.ndarray:
+        return self.prints[self.begins[q] : self.begins[q + 1]]
+
+
+def voted(block: Block, values: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, offset) of each pair of a row and a query that share an integer, at the offset that align() would choose."""
+    low, high = np.searchsorted(block.values, values), np.searchsorted(block.values, values, "right")
+    n = high - low
+    at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+    rows, q, offset = np.repeat(row, n), block.of[at], block.place[at] - np.repeat(place, n)
+    order = np.lexsort((offset, q, rows))
+    rows, q, offset = rows[order], q[order], offset[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (q[1:] != q[:-1]) | (offset[1:] != offset[:-1])
+    heads = np.flatnonzero(new)
+    count = np.diff(np.append(heads, len(rows)))
+    rows, q, offset = rows[heads], q[heads], offset[heads]
+    best = np.lexsort((offset, np.abs(offset), -count, q, rows))
+    rows, q, offset = rows[best], q[best], offset[best]
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows[1:] != rows[:-1]) | (q[1:] != q[:-1])
+    return rows[first], q[first], offset[first]
+
+
+def found_in(block: Block, prints: list[bytes], least: int, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, offset, error) of the matches of a block's queries with the recordings of a batch."""
+    lengths = np.array([len(p) // 4 for p in prints], np.int64)
+    begins = np.concatenate([[0], np.cumsum(lengths)])
+    every = np.frombuffer(b"".join(prints), np.uint32)
+    row = np.repeat(np.arange(len(prints)), lengths)
+    place = np.arange(len(every)) - begins[row]
+    hits = np.searchsorted(block.values, every, "right") - np.searchsorted(block.values, every)
+    per_row = np.bincount(row, hits, len(prints)).astype(np.int64)
+    out: list[tuple] = []
+
+    def judged(r: np.ndarray, q: np.ndarray, offset: np.ndarray) -> None:
+        """Keeps the pairs that overlap enough and differ little; their overlaps are compared end to end."""
+        size = np.diff(block.begins)[q]
+        a, b = np.maximum(offset, 0), np.maximum(-offset, 0)
+        n = np.minimum(size - a, lengths[r] - b)
+        r, q, offset, a, b, n = (x[n >= least] for x in (r, q, offset, a, b, n))
+        for part in np.array_split(np.arange(len(r)), 1 + int(n.sum()) // VOTES):
+            if len(part):
+                m = n[part]
+                step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                x = block.prints[np.repeat(block.begins[q[part]] + a[part], m) + step] ^ every[np.repeat(begins[r[part]] + b[part], m) + step]
+                error = np.add.reduceat(np.bitwise_count(x).astype(np.int64), np.cumsum(m) - m) / (32 * m)
+                close = error <= most
+                out.append((r[part][close], q[part][close], offset[part][close], error[close]))
+
+    for r in np.flatnonzero(per_row > MANY):  # sound that is the same for long: pair by pair, by correlation
+        mine = every[begins[r] : begins[r + 1]]
+        low, high = np.searchsorted(block.values, np.unique(mine)), np.searchsorted(block.values, np.unique(mine), "right")
+        for q in np.unique(np.concatenate([block.of[i:j] for i, j in zip(low, high, strict=True)])):
+            judged(np.array([r]), np.array([q]), np.array([align(block.one(q), mine)[0]]))
+    some = np.flatnonzero((per_row > 0) & (per_row <= MANY))
+    cuts = np.flatnonzero(np.diff(np.cumsum(per_row[some]) // VOTES)) + 1
+    for part in np.split(some, cuts):
+        if len(part):
+            own = np.isin(row, part)
+            judged(*voted(block, every[own], row[own], place[own]))
+    empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else empty
+
+
+def searched(one: DataFrame, asked: DataFrame, least: int = LEAST, most: float = MOST_ERROR) -> DataFrame:
+    """(mine, id, offset, error, copies): what each asked place of `one` (place, id, copies, fingerprint) matches but itself.
+
+    Queries are broadcast in blocks of about BLOCK integers, and every recording is held against a block where it lies:
+    nothing is shuffled but the matches. The number of blocks grows with the queries, which are a stated part of all rows.
+    """
+    queries = one.join(asked.select(F.col("mine").alias("place")).distinct(), "place", "left_semi").where("length(fingerprint) > 0").select("place", "fingerprint")
+    total = queries.agg(F.sum(F.length("fingerprint") / 4)).first()[0] or 0
+    blocks, out = max(1, -(-int(total) // BLOCK)), None
+    for k in range(blocks):
+        t = (queries.where(F.pmod(F.xxhash64("place"), F.lit(blocks)) == k) if blocks > 1 else queries).toArrow()
+        if not t.num_rows:
+            continue
+        shared = one.sparkSession.sparkContext.broadcast(Block.made(t["place"].to_pylist(), t["fingerprint"].to_pylist()))
+
+        def run(batches, shared=shared):
+            block = shared.value
+            for batch in batches:
+                if batch.num_rows:
+                    r, q, offset, error = found_in(block, [x or b"" for x in batch.column(3).to_pylist()], least, most)
+                    other = batch.column(0).to_numpy()[r] != block.names[q]
+                    r, q, offset, error = r[other], q[other], offset[other], error[other]
+                    yield pa.RecordBatch.from_arrays([pa.array(block.names[q]), batch.column(1).take(pa.array(r)), pa.array(offset), pa.array(error), batch.column(2).take(pa.array(r))], names=["mine", "id", "offset", "error", "copies"])
+
+        found = one.select("place", "id", "copies", "fingerprint").mapInArrow(run, "mine long, id long, offset long, error double, copies long")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else one.sparkSession.createDataFrame([], "mine long, id long, offset long, error double, copies long")
 
 
 def matches(prints: DataFrame, queries: DataFrame, id_col: str = "doc_id", root: str | None = None) -> DataFrame:
     """(query, id, offset, error, copies): for each query the recordings that it matches; id begins at place offset of query.
 
     Both tables have an id and a column fingerprint. Recordings of equal fingerprints are one, named by the least id; copies
-    is their number. Partial sums count how often a key is held; the rarest ones that a query shares are what is joined, so a
-    key that most recordings have is looked up only by queries that have no other.
+    is their number. Every match by the definition of searched() is found.
     """
     root = root or shared_dir(prints.sparkSession)
     mark = [F.xxhash64("fingerprint").alias("p"), F.xxhash64("fingerprint", F.lit(1)).alias("q")]
@@ -212,15 +310,7 @@ def matches(prints: DataFrame, queries: DataFrame, id_col: str = "doc_id", root:
     one = written(one.withColumn("place", F.monotonically_increasing_id()), root, "different")
     asked = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("query"), *mark).distinct().join(one.select("p", "q", F.col("place").alias("mine")), ["p", "q"])
     asked = written(asked.select("query", "mine"), root, "asked")
-    held = keys_of(one.select("place", "fingerprint"), "place").withColumnRenamed("id", "place")
-    often = held.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
-    rarest = F.row_number().over(Window.partitionBy("mine").orderBy("often", "key"))
-    keys = held.withColumnRenamed("place", "mine").join(asked.select("mine").distinct(), "mine", "left_semi").join(often.where("often > 1"), "key").withColumn("k", rarest).where(f"k <= {KEYS}")
-    least = keys.groupBy("mine").agg(F.least(F.count(F.lit(1)), F.lit(SHARED)).alias("least"))
-    shared = keys.select("mine", "key").join(held, "key").where("mine <> place").groupBy("mine", "place").agg(F.count(F.lit(1)).alias("n"))
-    pairs = shared.join(least, "mine").where("n >= least").select("mine", "place")
-    pairs = pairs.join(one.select(F.col("place").alias("mine"), F.col("fingerprint").alias("__a")), "mine").join(one.select("place", "id", "copies", F.col("fingerprint").alias("__b")), "place")
-    far = aligned(pairs.select("mine", "id", "copies", "__a", "__b"), [("__a", "__b", "offset", "error")]).where(f"error <= {MOST_ERROR}").select("mine", "id", "offset", "error", "copies")
+    far = searched(one, asked)
     # the others of a query's own class are its exact copies
     same = one.where("copies > 1").select(F.col("place").alias("mine"), "id", F.lit(0).cast("long").alias("offset"), F.lit(0.0).alias("error"), (F.col("copies") - 1).alias("copies"))
     return asked.join(far.unionByName(same), "mine").select("query", "id", "offset", "error", "copies")

@@ -731,14 +731,59 @@ def test_audio_search_finds_excerpts(spark):
     prints = audio.with_fingerprints(table, "audio")
     got = {(r["query"], r["id"]): (r["offset"], r["error"]) for r in audio.matches(prints, prints.where("doc_id % 50 = 0 and doc_id < 9000")).collect()}
     held = {r["doc_id"]: np.frombuffer(r["fingerprint"], np.uint32) for r in prints.collect()}
-    want = {}
+    want = searched_by_brute_force(held, list(queries))
+    assert got == want and all((50 * k, k) in got for k in range(1, 9))
+    assert {want[50 * k, k][0] for k in range(1, 9)} == {-16}
+
+
+def overlap(a, b, offset):
+    return min(len(a) - max(offset, 0), len(b) - max(-offset, 0))
+
+
+def searched_by_brute_force(held, queries):
+    """All matches: an equal integer at the offset that an alignment chooses, LEAST places or more, few differing bits."""
+    out = {}
     for q in queries:
         for k, b in held.items():
-            if k != q and (pair := audio.align(held[q], b))[1] <= audio.MOST_ERROR:
-                want[q, k] = pair
-    assert all((50 * k, k) in want for k in range(1, 9)) and all(want[p] == v for p, v in got.items())
-    assert len(got) >= 0.9 * len(want) and all((50 * k, k) in got for k in range(1, 9))
-    assert {want[50 * k, k][0] for k in range(1, 9)} == {-16}
+            if k != q and len(held[q]) and len(b):
+                offset, error = audio.align(held[q], b)
+                same = len(held[q]) == len(b) and (held[q] == b).all()
+                if same or (audio.votes(held[q], b).max() and error <= audio.MOST_ERROR and overlap(held[q], b, offset) >= audio.LEAST):
+                    out[q, k] = (offset, error)
+    return out
+
+
+def test_audio_search_is_whole_on_documents(spark):
+    """Recall against all pairs is 1, by every class of overlap: the search is exact."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("audio"))
+    prints = audio.with_fingerprints(docs, "audio", pitch=audio.SHORT).drop("audio").cache()
+    held = {r["doc_id"]: np.frombuffer(r["fingerprint"], np.uint32) for r in prints.collect()}
+    want = searched_by_brute_force(held, [k for k in held if k % 50 == 0])
+    first = {}
+    for k in sorted(held):
+        first.setdefault(held[k].tobytes(), k)
+    got = {(r["query"], r["id"]): (r["offset"], r["error"]) for r in audio.matches(prints, prints.where("doc_id % 50 = 0")).collect() if len(held[r["query"]])}
+    # copies are one, by the least id; a query's own class has the query itself in it
+    classes = {(q, first[held[k].tobytes()]): v for (q, k), v in want.items()}
+    assert {p: v for p, v in got.items() if p[0] != p[1]} == {p: v for p, v in classes.items() if p[0] != p[1]} and len(classes) > 3
+
+
+@pytest.mark.parametrize("votes, many", [(1 << 20, 1 << 23), (50, 1 << 23), (50, 30)])
+def test_audio_blocks(monkeypatch, votes, many):
+    monkeypatch.setattr(audio, "VOTES", votes)
+    monkeypatch.setattr(audio, "MANY", many)
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 32, 300).astype(np.uint32)
+    held = {k: base[10 * k : 10 * k + 40].copy() for k in range(20)} | {30: np.zeros(60, np.uint32), 31: np.zeros(45, np.uint32), 32: np.zeros(0, np.uint32), 33: base[:3], 34: rng.integers(0, 3, 50).astype(np.uint32), 35: rng.integers(0, 3, 70).astype(np.uint32)}
+    for k in range(0, 20, 3):
+        held[k][::2] ^= np.uint32(1 << (k % 32))
+    queries = [0, 7, 15, 30, 32, 33, 34]
+    names = list(held)
+    block = audio.Block.made(queries, [held[q].tobytes() for q in queries])
+    got = {(queries[q], names[r]): (offset, error) for r, q, offset, error in zip(*(x.tolist() for x in audio.found_in(block, [held[k].tobytes() for k in names], audio.LEAST, audio.MOST_ERROR)), strict=True)}
+    want = searched_by_brute_force(held, queries)
+    assert {p: v for p, v in got.items() if p[0] != p[1]} == {p: v for p, v in want.items() if overlap(held[p[0]], held[p[1]], v[0]) >= audio.LEAST} and len(want) > 10
+    assert not audio.found_in(audio.Block.made([], []), [held[0].tobytes()], 8, 0.15)[0].size
 
 
 @pytest.mark.parametrize("name", sorted(registered.oracle_sql()))

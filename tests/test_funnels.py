@@ -414,3 +414,55 @@ def test_clusters_reach_texts_that_were_not_fitted(spark):
         assert sum(few[k] >= 0 for k in range(c, 200, 2)) >= 50
     pairs = [(few[a], few[b]) for a, b in itertools.combinations(range(200), 2) if few[a] >= 0 and few[b] >= 0 and a % 2 != b % 2]
     assert all(a != b for a, b in pairs)
+
+
+def test_quantiles_of_parts_are_those_of_the_grid(spark):
+    parts = [(1, 0.0, 1.0, 2.0), (1, 30.0, 2.0, 1.0), (2, -15.0, 3.0, 0.5), (3, 1.0, 1.0, 0.0), (4, 5.0, 1.0, 1e-3)]
+    df = spark.createDataFrame(parts, "key long, mu double, sigma double, w double")
+    got = {r["key"]: r for r in forecast.quantiles_of_parts(df, "key").collect()}
+    want = {r["key"]: r for r in forecast.statistics(forecast.mixture(df.where("w > 0"), "key", 1000), "key").collect()}
+    assert set(got) == {1, 2, 4} and (got[1]["n"], got[1]["n_peaks"], got[2]["n_peaks"]) == (2, 2, 1)
+    for k, g in got.items():
+        # a level that lies on a grid point may fall to either side of it by rounding
+        assert all(abs(g[c] - want[k][c]) < 0.06 for c in ("p5", "p25", "median", "p75", "p95"))
+        assert all(abs(g[c] - want[k][c]) < 5e-3 for c in ("p_down10", "p_up10"))
+
+
+@pytest.mark.parametrize("block", [20_000, 2])
+def test_blended_retrieval(spark, world, monkeypatch, block):
+    monkeypatch.setattr(retrieval, "BLOCK", block)
+    r, w = np.random.default_rng(8), world
+    bag = lambda: sorted(set(r.choice(list("abcdef"), int(r.integers(0, 5))).tolist()))
+    qs = [(k, day(w["qd"][k]), w["q"][k].tolist(), int(k % 2), bag()) for k in range(7)]
+    es = [(k, day(w["ed"][k]), w["e"][k].tolist(), int(k % 3), bag()) for k in range(60)]
+    base = spark.createDataFrame([*qs, (80, day(900), [1.0] * 4, 0, None)], "base_id long, d date, emb array<double>, kind long, bag array<string>")
+    corpus = spark.createDataFrame([*es, (98, day(1), None, 0, []), (99, day(1), [1.0] * 4, None, [])], "event_id long, d date, emb array<double>, kind long, bag array<string>").repartition(3)
+    got = retrieval.blended(base, corpus, 4, 0.1).collect()
+    sim = w["q"] @ w["e"].T
+    for k, d, _, kind, own in qs:
+        score = {}
+        for j, ed, _, other, theirs in es:
+            if ed < d and sim[k, j] >= 0.1:
+                either = set(own) | set(theirs)
+                score[j] = 0.6 * sim[k, j] + 0.25 * (len(set(own) & set(theirs)) / len(either) if either else 0) + 0.15 * (kind == other)
+        want = sorted(score, key=lambda j: (round(-score[j], 12), j))[:4]
+        assert [r["event_id"] for r in sorted((r for r in got if r["base_id"] == k), key=lambda r: r["rank"])] == want
+    assert retrieval.blended(base.where("1 = 0"), corpus, 4, 0.1).count() == 0
+
+
+def test_leg_moves(spark):
+    from hindcast.plans import cones
+
+    prices = {("a", k): 100.0 + k * k for k in range(0, 40) if k % 4 != 1} | {("b", k): 50.0 - k for k in range(10, 20)}
+    legs = spark.createDataFrame([(leg, day(k), p) for (leg, k), p in prices.items()], "leg string, d date, px double")
+    asked = [12, 13, 30]
+    events = spark.createDataFrame([(day(k),) for k in [*asked, *asked]] + [(None,)], "d date")
+    got = {((r["d"] - DAY).days, r["leg"], r["day"]): (r["r"], r["sigma"]) for r in cones.leg_moves(events, legs).collect()}
+    want = {}
+    for d, leg in itertools.product(asked, "ab"):
+        if (leg, d) in prices:
+            own = {k - d: 100 * (p - prices[leg, d]) / prices[leg, d] for (x, k), p in prices.items() if x == leg and abs(k - d) <= 15}
+            before = [own[k] for k in sorted(own) if k <= 0]
+            sigma = max(float(np.std(np.diff(before))), 1.0) if len(before) > 1 else 1.0
+            want |= {(d, leg, k): (r, sigma) for k, r in own.items()}
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)

@@ -70,6 +70,7 @@ def year_bands(series: DataFrame) -> DataFrame:
     return series.groupBy(F.year("d").alias("yr")).agg(q.alias("q")).select("yr", *(F.col("q")[k].alias(f"q{c}") for k, c in enumerate(cuts)))
 
 
+#: Labels of a price band within its year.
 BANDS = ("0%-5%", "5%-20%", "20%-30%", "30%-40%", "40%-60%", "60%-80%", "80%-90%", "90%-100%")
 
 

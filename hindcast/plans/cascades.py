@@ -31,8 +31,9 @@ def query(sql: str = "", *names: str, recursive: bool = False):
     return add
 
 
-def warping_sql(source: str, a: str, b: str, n: int, band: int | None = None, out: str = "warped") -> str:
-    """CTEs from `source` to `out`, which has dtw besides: squared costs between lists a and b of length n, row after row."""
+def warping_sql(source: str, a: str, b: str, n: int, band: int | None = None, out: str = "warped", plain: bool = False) -> str:
+    """CTEs from `source` to `out`, which has dtw besides: squared costs between lists a and b of length n, row after row, and
+    a root of their sum; with `plain`, absolute costs and no root."""
     cell = lambda i, j: "0.0" if i == j == 0 else f"c{i}_{j}" if i and j and (band is None or abs(i - j) <= band) else None
     steps, last = [], source
     for i in range(1, n + 1):
@@ -40,10 +41,11 @@ def warping_sql(source: str, a: str, b: str, n: int, band: int | None = None, ou
         for j in range(1, n + 1):
             if own := cell(i, j):
                 from_ = [c for c in (cell(i - 1, j), cell(i, j - 1), cell(i - 1, j - 1)) if c]
-                cells.append(f"({a}[{i}] - {b}[{j}]) * ({a}[{i}] - {b}[{j}]) + least({', '.join(from_)}) as {own}")
+                cost = f"abs({a}[{i}] - {b}[{j}])" if plain else f"({a}[{i}] - {b}[{j}]) * ({a}[{i}] - {b}[{j}])"
+                cells.append(f"{cost} + least({', '.join(from_)}) as {own}")
         steps.append(f"{out}{i} as (select *{f' exclude ({chr(44).join(before)})' if before else ''}, {', '.join(cells)} from {last})")
         last = f"{out}{i}"
-    return ", ".join(steps) + f", {out} as (select *, sqrt(c{n}_{n}) as dtw from {last})"
+    return ", ".join(steps) + f", {out} as (select *, {f'c{n}_{n}' if plain else f'sqrt(c{n}_{n})'} as dtw from {last})"
 
 
 # Events: similar enough, then by path, then by how long the first move held.
@@ -62,7 +64,7 @@ def node_paths(spark, sf) -> DataFrame:
     near = asof.asof(asks, px, "ask", "d1", "px", "nearest", 10, by=["d", "node", "ask"])
     near = near.withColumn("px", F.when((F.col("node") != 0) | (F.abs(F.datediff("d1", "ask")) <= 5), F.col("px")))
     p = near.groupBy("d").agg(F.max(F.when(F.col("node") == 0, F.col("px"))).alias("p0"), F.array_sort(F.collect_list(F.struct("node", "px"))).alias("x"))
-    return p.select("d", F.transform("x", lambda x: F.coalesce(100 * (x["px"] - F.col("p0")) / F.abs("p0"), F.lit(0.0))).alias("path"))
+    return p.select("d", F.transform("x", lambda x: F.coalesce(100 * (x["px"] - F.col("p0")) / F.nullif(F.abs("p0"), F.lit(0.0)), F.lit(0.0))).alias("path"))
 
 
 def with_paths(events: DataFrame, paths: DataFrame) -> DataFrame:

@@ -37,15 +37,15 @@ AROUND, SHAPE, FEWEST, TAIL = 15, 15, 3, 10.0
 def leg_moves(events: DataFrame, legs: DataFrame) -> DataFrame:
     """(d, leg, day, r, sigma): the return of each leg on the days around each event day, from the leg's price on that day.
 
-    sigma is the spread of the steps of the days up to it, one percent at least. A leg without a price on the event day, or
-    on a day around it, has no row. Event days are told apart, not events: the table is as long as the calendar and the legs.
+    sigma is the spread of the steps of the days up to it, one percent at least. A leg without a price on the event day (or
+    one of zero), or on a day around it, has no row. Event days are told apart, not events: the table is as long as the calendar and the legs.
     """
     days = events.select(F.col("d").alias("ed")).where("ed is not null").distinct()
     near = asof.band_join(days, legs.select("leg", F.col("d").alias("pd"), "px"), "ed", "pd", AROUND, AROUND)
     near = near.withColumn("day", F.datediff("pd", "ed"))
     of = Window.partitionBy("ed", "leg")
     p0 = F.max(F.when(F.col("day") == 0, F.col("px"))).over(of)
-    near = near.withColumn("p0", p0).where("p0 is not null").withColumn("r", 100 * (F.col("px") - F.col("p0")) / F.abs("p0"))
+    near = near.withColumn("p0", p0).where("p0 <> 0").withColumn("r", 100 * (F.col("px") - F.col("p0")) / F.abs("p0"))
     step = F.when(F.col("day") <= 0, F.col("r") - F.lag("r").over(of.orderBy("day")))
     near = near.withColumn("step", step)
     return near.withColumn("sigma", F.greatest(F.coalesce(F.stddev_pop("step").over(of), F.lit(1.0)), F.lit(1.0))).select(F.col("ed").alias("d"), "leg", "day", "r", "sigma")

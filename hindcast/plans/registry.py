@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.plans import analogues, cascades, cones, densities, extras, headlines, inference, market, measures, posterior, text
+from hindcast.plans import analogues, cascades, comparisons, cones, densities, extras, headlines, inference, market, measures, posterior, text
 
-MODULES = (market, text, analogues, posterior, measures, extras, cascades, densities, inference, cones, headlines)
+MODULES = (market, text, analogues, posterior, measures, extras, cascades, densities, inference, cones, headlines, comparisons)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

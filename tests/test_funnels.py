@@ -466,3 +466,35 @@ def test_leg_moves(spark):
             sigma = max(float(np.std(np.diff(before))), 1.0) if len(before) > 1 else 1.0
             want |= {(d, leg, k): (r, sigma) for k, r in own.items()}
     assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_calibration_bins_and_width_ratios(spark):
+    from hindcast.plans import comparisons
+
+    r = np.random.default_rng(11)
+    p, y = np.round(r.random(80), 1), r.integers(0, 2, 80)
+    for stated in (p, np.full(80, 0.5)):
+        df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(stated, y, strict=True)], "p double, y int")
+        got = {r["bin"]: r for r in comparisons.binned(df, "p", "y", 5).collect()}
+        edges = np.unique(np.percentile(stated, [0, 20, 40, 60, 80, 100]))
+        at = np.maximum(np.searchsorted(edges, stated, "left"), 1)
+        assert set(got) == set(at.tolist())
+        for k, g in got.items():
+            own = at == k
+            assert g["n"] == own.sum() and abs(g["stated"] - stated[own].mean()) < 1e-9 and abs(g["seen"] - y[own].mean()) < 1e-9
+    w = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, 3.0), ("a", 0.0, 9.0), ("a", 1.0, None), ("b", 2.0, 1.0)], "m string, own double, other double")
+    got = {r["m"]: r for r in comparisons.width_ratios(w, "m", "own", "other").collect()}
+    assert (got["a"]["n"], got["a"]["ratio_of_means"], got["a"]["mean_of_ratios"], got["b"]["wider"]) == (2, 1.25, 1.5, -50.0)
+
+
+def test_comparison_of_methods(spark):
+    from hindcast.plans import comparisons
+
+    lists = {"x": [(1, 10), (1, 11), (2, 10)], "y": [(1, 11), (1, 12)], "z": [(1, 10), (1, 11)]}
+    paths = spark.createDataFrame([(10, [0.0, 1.0, 2.0]), (11, [0.0, 0.0, 0.0]), (12, [0.0, 5.0, 9.0])], "event_id long, path array<double>")
+    base = spark.createDataFrame([(1, [0.0, 1.0, 2.0]), (2, [0.0, 0.0, 1.0])], "base_id long, base_path array<double>")
+    got = {r["base_id"]: r for r in comparisons.compared({m: spark.createDataFrame(rows, "base_id long, event_id long") for m, rows in lists.items()}, paths, base).collect()}
+    one = got[1]
+    assert (one["n_x"], one["n_y"], one["n_z"], one["overlap_x_z"], one["winner"]) == (2, 2, 2, 1.0, "x") and abs(one["overlap_x_y"] - 1 / 3) < 1e-12
+    assert one["dtw_x"] == (0 + 3) / 2 and one["dtw_y"] == (3 + 11) / 2
+    assert got[2]["n_y"] == 0 and got[2]["dtw_y"] is None and got[2]["winner"] == "x"

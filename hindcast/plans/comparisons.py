@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions import vectors as V
-from hindcast.operators import asof, retrieval
+from hindcast.operators import asof, forecast, retrieval
 from hindcast.plans import cascades, cones, inference, posterior
 from hindcast.plans.analogues import FORECAST, PAIRS, forecasts
 from hindcast.plans.analogues import VIEWS as SAMPLED
@@ -182,3 +182,25 @@ def spread_regimes(spark, sf):
     e = views.memory(spark, sf).select("event_id", "d").join(F.broadcast(at), "d", "left")
     spread = F.coalesce(first, second)
     return e.select("event_id", F.round(spread, 4).alias("spread"), F.when(first.isNotNull(), "M1-M2").when(second.isNotNull(), "M3-M4").alias("legs_used"), regime(spread).alias("regime"))
+
+
+# Forecast efficiency: how far a benchmark's density is from what came, in units of the posterior's own distance.
+
+#: The least spread of what came, for the test tables, whose grids are wide.
+CAME = 5.0
+
+
+@query()
+def divergence_benchmarks(spark, sf):
+    """Mean forecast efficiency and share of wins of the posterior against each benchmark of the GARCH family, by type of event."""
+    px = posterior.prices(spark, sf)
+    grids = forecast.as_arrays(forecast.mixture(posterior.parts(spark, sf, px=px), "base_id", posterior.GRID), "base_id")
+    came = forward(spark, sf, (15,), px=px).where("r is not null").select(F.col("event_id").alias("base_id"), "d", F.col("r").alias("y"))
+    kinds = views.memory(spark, sf).select(F.col("event_id").alias("base_id"), "event_type")
+    sigmas = inference.benchmarked(spark, sf).where("sigma is not null").select("d", "model", "sigma")
+    e = grids.join(came, "base_id").join(kinds, "base_id").join(F.broadcast(sigmas), "d")
+    r = forecast.efficiencies(e.select("base_id", "event_type", "model", "xs", "ds", "y", "sigma"), CAME)
+    metrics = ("kl", "js", "w1")
+    known = lambda m: F.when(~F.isnan(f"fei_{m}"), F.col(f"fei_{m}"))
+    s = r.groupBy("event_type", "model").agg(F.count(F.lit(1)).alias("n"), *(F.avg(known(m)).alias(f"fei_{m}") for m in metrics), *(F.avg((known(m) > 1).cast("int")).alias(f"wins_{m}") for m in metrics))
+    return s.select("event_type", "model", "n", *(F.round(c, 4).alias(c) for c in s.columns[3:]))

@@ -498,3 +498,19 @@ def test_comparison_of_methods(spark):
     assert (one["n_x"], one["n_y"], one["n_z"], one["overlap_x_z"], one["winner"]) == (2, 2, 2, 1.0, "x") and abs(one["overlap_x_y"] - 1 / 3) < 1e-12
     assert one["dtw_x"] == (0 + 3) / 2 and one["dtw_y"] == (3 + 11) / 2
     assert got[2]["n_y"] == 0 and got[2]["dtw_y"] is None and got[2]["winner"] == "x"
+
+
+def test_forecast_efficiency(spark):
+    x = np.linspace(-40, 40, 401)
+    norm = lambda m, s: np.exp(-0.5 * ((x - m) / s) ** 2) / (s * math.sqrt(2 * math.pi))
+    rows = [(1, norm(5, 4), 6.0, 10.0), (2, norm(0, 8), 20.0, 3.0), (3, norm(0, 8), None, 3.0), (4, norm(0, 8), 1.0, None), (5, norm(0, 8), 1.0, 0.0), (6, norm(0, 8), 1.0, float("nan"))]
+    df = spark.createDataFrame([(k, x.tolist(), d.tolist(), y, s) for k, d, y, s in rows], "k long, xs array<double>, ds array<double>, y double, sigma double")
+    got = {r["k"]: r for r in forecast.efficiencies(df).collect()}
+    area = lambda v: sum((v[i] + v[i + 1]) / 2 * (x[i + 1] - x[i]) for i in range(400))
+    for k, d, y, s in rows[:2]:
+        came = norm(y, max(abs(y) * 0.05, 0.2))
+        came, other, own = came / area(came), norm(0, s) / area(norm(0, s)), d / area(d)
+        kl = lambda p: area([max(a, 1e-10) * math.log(max(a, 1e-10) / max(b, 1e-10)) for a, b in zip(p, came, strict=True)])  # noqa: B023, E731
+        w1 = lambda p: area(np.abs(np.clip(np.cumsum(p) * 0.2, 0, 1) - np.clip(np.cumsum(came) * 0.2, 0, 1)))  # noqa: B023, E731
+        assert abs(got[k]["fei_kl"] - kl(other) / kl(own)) < 1e-6 and abs(got[k]["fei_w1"] - w1(other) / w1(own)) < 1e-6
+    assert got[1]["fei_js"] > 1 and all(got[k][c] is None or math.isnan(got[k][c]) for k in (3, 4, 5, 6) for c in ("fei_kl", "fei_js", "fei_w1"))

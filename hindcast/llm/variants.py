@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import shared_dir, small_batches, written
+from hindcast.llm.common import forget, shared_dir, small_batches, written
 from hindcast.llm.urls import LOWER, UPPER
 
 LETTERS = r"A-Za-zÀ-ÿ"
@@ -188,12 +188,14 @@ def forms(vocabulary: DataFrame, ratio: int = RATIO, root: str | None = None) ->
     out = known.drop("h").join(found, "word", "left").withColumn("form_n", -F.col("best.less"))
     out = out.withColumn("form", F.when(F.col("form_n") >= ratio * F.col("n"), F.col("best.form")))
     out = written(out.select("word", "form", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("form").isNotNull(), F.col("form_n")).alias("form_n")), root, "forms")
+    forget(spark, root, "words", "near")
     least, most = out.agg(F.min("n"), F.max("n")).first()
     steps = math.floor(math.log(most / least, ratio) + 1e-9) if least else 0
     up = out.where("form is not null").select("word", F.col("form").alias("root"))
     for k in range(math.ceil(math.log2(steps)) if steps > 1 else 0):
         further = up.select(F.col("word").alias("root"), F.col("root").alias("further"))
         up = written(up.join(further, "root", "left").select("word", F.coalesce("further", "root").alias("root")), root, f"roots-{k}")
+        forget(spark, root, f"roots-{k - 1}")
     return out.join(up, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import shared_dir, small_batches, written
+from hindcast.llm.common import forget, shared_dir, small_batches, written
 
 VERSION, BREAK, PART = "WARC/1.1", "\r\n", "\r\n\r\n"
 #: The profile of a revisit record, and the digits of base 32 as SQL's conv and as WARC write them.
@@ -264,6 +264,7 @@ def archived(pages: DataFrame, least: int = 0) -> DataFrame:
     root = shared_dir(spark)
     write(records(pages), f"{root}/raw")
     deduplicated(spark, f"{root}/raw", f"{root}/archives", root, least)
+    forget(spark, root, "raw", "headers", "revisits")
     return resolved(spark, f"{root}/archives", root)
 
 

@@ -9,7 +9,9 @@ Bit predictors look up hashed contexts. In the word tree these are the node itse
 the two previous words, whose commonest successor predicts the decisions on its path; in a spelled word the last one to
 four bytes and the whole word so far. Their predictions, in the logistic domain, are combined by weights that a gate
 chooses: how sure the two previous words are of their successor, and in a spelled word how often the word so far was
-seen. The weights are learned from training texts, each predictor without what that text itself added to its counts.
+seen. The weights are learned from all training texts, each predictor without what a decision itself added to its counts:
+Spark counts the decisions in the tree by their gate, bit and rounded inputs, and each Newton step sums over these counts
+and over the decisions of all spelled words, each word as often as it occurs.
 While a text is scored the mix is refined over the whole of it: a hashed predictor of how far the text's own decisions
 are from the mix, a weight for each kind of gate and one for the own predictor take Newton steps after each block of words
 was predicted, so that the result stays the log probability of the text. Blocks grow with the words before them.
@@ -29,6 +31,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -65,8 +68,10 @@ WEIGHTS = np.array([[0.13, 0.16, 0.64, 0.57, 0.0], [0.21, 0.20, 0.42, 0.34, 0.18
 TREE_GATES = 17
 #: Weights in the tree that the fit starts from: the node, the node after a word, the predicted word.
 TREE_WEIGHTS = np.array([[1.0, 0.0, 0.0]] + [[1.0, 0.0, 1.0]] * (TREE_GATES - 1), np.float32)
-#: The mixing weights are fitted on so many training documents at most (those of the least hash of their id), in so many Newton steps.
-SAMPLE, STEPS, PRIOR = 1000, 4, 20.0
+#: The mixing weights are fitted in so many Newton steps. Inputs in the tree, between -16 and 16, have so many bits of a cell's key.
+STEPS, PRIOR, CELL_BITS = 4, 20.0, 9
+#: Different cells that a task holds before it sends their counts.
+HELD_CELLS = 1 << 20
 #: The text's own predictor: bits of its table for the word tree's nodes and as many for spelled words, and how much must be seen before it counts.
 OWN_BITS, OWN_PRIOR = 11, 1.5
 #: The adaptive weights are those of the combined prediction, one for each of KINDS of gates (in the tree without and with a
@@ -275,6 +280,7 @@ def tables(vocab: DataFrame, kinds: int, code: tuple) -> list[np.ndarray]:
     out = [np.zeros((2, 1 << b), np.float16) for b in TABLES]
     for r in dealt.groupBy("k", "blob").applyInPandas(merge, "k long, blob long, data binary").toLocalIterator():
         put(out[r["k"]], r["blob"], np.frombuffer(r["data"], np.float16).reshape(2, -1))
+    shared.destroy()
     return out
 
 
@@ -322,6 +328,18 @@ class Model:
             self.tables = [(stretched(*t.astype(np.float32), d) * SCALE).astype(np.int16) for t, d in zip(self.spelled, DOUBT, strict=True)]
             self.seen = np.searchsorted(GATES, self.spelled[-1].astype(np.float32).sum(0), "right").astype(np.uint8)
 
+    @cached_property
+    def cells_of(self) -> tuple[np.ndarray, np.ndarray]:
+        """For the fit: the rounded predictions of the tree's rows, and after one word by slot and bit."""
+        return rounded(self.p), rounded(less_one(self.one, ONE_DOUBT))
+
+    @cached_property
+    def spelled_less(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """For the fit: the predictions in spelled words by table, slot and bit, and the gates."""
+        z, o = self.spelled[-1].astype(np.float32)
+        gate = np.searchsorted(GATES, np.stack([np.maximum(z - 1, 0) + o, z + np.maximum(o - 1, 0)], 1).ravel(), "right").astype(np.uint8)
+        return [(less_one(t, d) * SCALE).astype(np.int16) for t, d in zip(self.spelled, DOUBT, strict=True)], gate
+
     def contexts(self, ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the word before each token and of the two before; begins are the texts' first tokens."""
         others = np.fromiter(map(xxhash.xxh3_64_intdigest, self.ids.others), np.uint64, len(self.ids.others))
@@ -432,7 +450,7 @@ class Model:
                 x, y, s = combined[row], bits[row], off[slot] / sure[slot]
                 z = (x * w[gate] + s * v[of]) * y
                 e = np.exp(-np.clip(z, -30, 30, out=z))
-                total[:live] -= np.add.reduceat(np.log1p(e), heads)
+                total[:live] -= np.add.reduceat(np.log(e + np.float32(1)), heads)
                 p = e / (1 + e)
                 wrong, curve = y * p, p * (1 - p)
                 w_sure[: live * KINDS] += np.bincount(gate, x * x * curve, live * KINDS).astype(np.float32)
@@ -543,6 +561,7 @@ def context_tables(training: DataFrame, model: Model, tokens: int) -> tuple[np.n
             n = size >> lead
             part = slice(r["blob"] * n, (r["blob"] + 1) * n)
             check[part], code[part], leaf[part] = np.frombuffer(r["data"], np.uint8, n), np.frombuffer(r["data"], np.uint8, n, n), np.frombuffer(r["data"], np.int32, n, 2 * n)
+    shared.destroy()
     return one, (check, code, leaf)
 
 
@@ -572,63 +591,129 @@ def successors(keys: np.ndarray, counts: np.ndarray, bits: int, lead: int, shard
     return check, code, leaf
 
 
-def without_own(model: Model, ids: np.ndarray, ends: np.ndarray):
-    """(inputs, sign, gate) of the decisions in the tree, then in bytes, of training texts, without what they were counted for."""
+def rounded(x: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint((x + 16) * (1 << CELL_BITS - 5)), 0, (1 << CELL_BITS) - 1).astype(np.uint16)
+
+
+def less_one(table: np.ndarray, doubt: float) -> np.ndarray:
+    """The prediction of each slot for a decision that was a zero, then a one, without that decision."""
+    z, o = table.astype(np.float32)
+    return np.stack([stretched(np.maximum(z - 1, 0), o, doubt), stretched(z, np.maximum(o - 1, 0), doubt)], 1).ravel()
+
+
+def cells_in_tree(model: Model, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, counts) of the decisions of training texts in the tree, without what they were counted for.
+
+    A cell is the gate, the rounded predictions of the node and after one word, the guess and the bit.
+    """
     leaf, (one, two) = model.leaves(ids), model.contexts(ids, ends[:-1])
     of, row, heads = model.paths(leaf)
-    bit, slot = model.bit[row], model.one_slots(one, of, row)
-    after = stretched(np.maximum(model.one[0][slot] - ~bit, 0), np.maximum(model.one[1][slot] - bit, 0), ONE_DOUBT)
-    guessed, code = model.predicted(two)
-    n, m = (code & 15).astype(int), (code >> 4).astype(int)
-    right = guessed == leaf
+    bit, (guessed, code) = model.bit[row], model.predicted(two)
+    n, m, right = code & 15, code >> 4, guessed == leaf
     # a count of 15 stands for more, of which one is no loss
-    code = np.where(code == 0, 0, np.where(right, n - ((n > 0) & (n < 15)), n) | np.where(right, m, m - ((m > 0) & (m < 15))) << 4)
-    guess, gate = model.guesses(guessed, code, of, row, heads)
-    yield np.stack([model.p[row], after, guess], 1), model.sign[row], gate
-    bit_starts, bit, slots, _ = bit_rows(model.ids.others, model.code)
-    z, o = (np.stack([np.maximum(t[k].astype(np.float32)[s] - (bit == k), 0) for t, s in zip(model.spelled, slots, strict=True)], 1) for k in (0, 1))
-    x = np.stack([stretched(z[:, k], o[:, k], d) for k, d in enumerate(DOUBT)], 1)
-    yield x, signs(bit), np.searchsorted(GATES, z[:, -1] + o[:, -1], "right")
+    less = np.where(right, n - ((n > 0) & (n < 15)), n) | np.where(right, m, m - ((m > 0) & (m < 15))) << 4
+    guess, gate = model.guesses(guessed, np.where(code == 0, 0, less).astype(np.uint8), of, row, heads)
+    p, after = model.cells_of
+    cell = gate.astype(np.int64)
+    for x, bits in ((p[row], CELL_BITS), (after[model.one_slots(one, of, row) << 1 | bit], CELL_BITS), (guess.astype(np.int8) + 1, 2), (bit, 1)):
+        cell <<= bits
+        cell |= x
+    return np.unique(cell, return_counts=True)
 
 
-def fitted(sample: DataFrame, model: Model) -> None:
-    """Learns the mixing weights of each gate by Newton's method on the log loss of the sample's decisions.
+def inputs_of(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, sign, gate) of cells."""
+    p, after = ((cell >> 3 + k * CELL_BITS & (1 << CELL_BITS) - 1) / (1 << CELL_BITS - 5) - 16 for k in (1, 0))
+    return np.stack([p, after, (cell >> 1 & 3) - 1], 1), signs(cell & 1), cell >> 3 + 2 * CELL_BITS
+
+
+def decisions(training: DataFrame, model: Model, root: str) -> DataFrame:
+    """(cell, n): how many decisions of all training texts in the tree are in each cell; the model has no spelled words' tables yet."""
+    shared = training.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        of, held, size = shared.value, [], 0
+        of.grow()
+
+        def summed():
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+
+        def sent():
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["cell", "n"])
+
+        for batch in batches:
+            for _, ids, ends, _ in chunked(texts(batch), of.ids):
+                held.append(cells_in_tree(of, ids, ends))
+                size += len(held[-1][0])
+                if size >= HELD_CELLS:
+                    held = [summed()]
+                    size = len(held[0][0])
+                    if size >= HELD_CELLS // 2:
+                        yield sent()
+                        held, size = [], 0
+        if held:
+            held = [summed()]
+            yield sent()
+
+    found = training.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = written(found, root, "cells")
+    shared.destroy()
+    return found
+
+
+def slopes(x: np.ndarray, sign: np.ndarray, gate: np.ndarray, times: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """For each gate the slope of the log probability of so many decisions each by its weights w, and the curvature."""
+    sums = np.zeros((*w.shape, w.shape[1] + 1))
+    for g in np.unique(gate):
+        own = np.flatnonzero(gate == g)
+        u, s, t = x[own].astype(float), sign[own], times[own]
+        p = 1 / (1 + np.exp(np.clip(u @ w[g] * s, -30, 30)))
+        sums[g, :, 0] = (t * s * p) @ u
+        sums[g, :, 1:] = (u * (t * p * (1 - p))[:, None]).T @ u
+    return sums
+
+
+def fitted(cells: DataFrame, rare: DataFrame, model: Model) -> None:
+    """Learns the mixing weights of each gate by Newton's method on the log loss of the decisions of all training texts.
 
     PRIOR holds the weights of gates that are rarely met near where they start.
     """
-    model.tree_weights, model.byte_weights = TREE_WEIGHTS.astype(float), WEIGHTS.astype(float)
+    weights, starts = [TREE_WEIGHTS.astype(float), WEIGHTS.astype(float)], (TREE_WEIGHTS, WEIGHTS)
+    shared = cells.sparkSession.sparkContext.broadcast(Model([], np.zeros(0), model.code, model.spelled))
+
+    def row(k: int, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k]), pa.array([sums.tobytes()])], names=["part", "sums"])
+
     for _ in range(STEPS):
-        shared = sample.sparkSession.sparkContext.broadcast(model)
 
-        def run(batches, shared=shared):
-            of = shared.value
-            of.grow()
-            sums = [np.zeros((w.shape[0], w.shape[1], w.shape[1] + 1)) for w in (of.tree_weights, of.byte_weights)]
+        def in_tree(batches, w=weights[0]):
+            sums = np.zeros((*w.shape, w.shape[1] + 1))
             for batch in batches:
-                for _, ids, ends, _ in chunked(texts(batch), of.ids):
-                    for k, (x, sign, gate) in enumerate(without_own(of, ids, ends)):
-                        w = (of.tree_weights, of.byte_weights)[k]
-                        wrong = 1 / (1 + np.exp(np.clip((x * w[gate]).sum(1) * sign, -30, 30)))
-                        for g in np.unique(gate):
-                            own = gate == g
-                            u, p = x[own].astype(float), wrong[own]
-                            sums[k][g, :, 0] += (u * (sign[own] * p)[:, None]).sum(0)
-                            sums[k][g, :, 1:] += (u * (p * (1 - p))[:, None]).T @ u
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([x.ravel() for x in sums]).tobytes()])], names=["sums"])
-
-        rows = sample.select("text").mapInArrow(run, "sums binary").collect()
-        shared.destroy()
-        if not rows:
-            break
-        total, at = np.sum([np.frombuffer(r["sums"]) for r in rows], axis=0), 0
-        for w, start in ((model.tree_weights, TREE_WEIGHTS), (model.byte_weights, WEIGHTS)):
-            shape = (*w.shape, w.shape[1] + 1)
-            part = total[at : at + np.prod(shape)].reshape(shape)
-            at += int(np.prod(shape))
+                sums += slopes(*inputs_of(batch.column(0).to_numpy()), batch.column(1).to_numpy(), w)
+            yield row(0, sums)
+
+        def in_words(batches, w=weights[1]):
+            sums = np.zeros((*w.shape, w.shape[1] + 1))
+            for batch in batches:
+                of, words, times = shared.value, batch.column(0).to_pylist(), batch.column(1).to_numpy()
+                spelled, gate = of.spelled_less
+                for at in range(0, len(words), 5_000):
+                    begins, bit, slots, _ = bit_rows(words[at : at + 5_000], of.code)
+                    slots = [slot << 1 | bit for slot in slots]
+                    x = np.stack([t[slot] for t, slot in zip(spelled, slots, strict=True)], 1) * np.float32(1 / SCALE)
+                    sums += slopes(x, signs(bit), gate[slots[-1]], np.repeat(times[at : at + 5_000], np.diff(begins)), w)
+            yield row(1, sums)
+
+        kind, total = "part long, sums binary", [np.zeros((*w.shape, w.shape[1] + 1)) for w in weights]
+        for r in cells.mapInArrow(in_tree, kind).union(rare.select("word", "n").mapInArrow(in_words, kind)).collect():
+            total[r["part"]] += np.frombuffer(r["sums"]).reshape(total[r["part"]].shape)
+        for w, start, part in zip(weights, starts, total, strict=True):
             for g in range(len(w)):
                 step = np.linalg.solve(part[g, :, 1:] + PRIOR * np.eye(w.shape[1]), part[g, :, 0] - PRIOR * (w[g] - start[g]))
                 w[g] += np.clip(step, -1, 1)
-    model.tree_weights, model.byte_weights = model.tree_weights.astype(np.float32), model.byte_weights.astype(np.float32)
+    shared.destroy()
+    model.tree_weights, model.byte_weights = (w.astype(np.float32) for w in weights)
 
 
 def train(docs: DataFrame, root: str, group_col: str = "lang") -> tuple[Model, DataFrame, int, int]:
@@ -649,10 +734,10 @@ def train(docs: DataFrame, root: str, group_col: str = "lang") -> tuple[Model, D
         rare = rare.where((F.col("n") == 1) | (F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > F.lit(bytearray(last)))))
     model = Model(words, counts, huffman(byte_counts(rare)))
     one, two = context_tables(training, model, tokens)
-    model.spelled, model.one, model.two = tables(rare, kinds, model.code), one, two
-    chosen = training.where("doc_id is not null").select(F.col("doc_id").alias("__id")).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE)
-    sample = training.select("doc_id", "text").join(F.broadcast(chosen.distinct()), F.col("doc_id") == F.col("__id")).select("text")
-    fitted(written(sample.repartition(8), root, "sample"), model)
+    model.one, model.two = one, two
+    cells = decisions(training, model, root)
+    model.spelled = tables(rare, kinds, model.code)
+    fitted(cells, rare, model)
     return model, vocab, tokens, kinds
 
 

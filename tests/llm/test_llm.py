@@ -422,6 +422,59 @@ def test_mixlm_equals_its_definition(spark):
         assert math.isclose(got[k], log_probability_by_definition(model, t or "") / math.log(10), rel_tol=2e-4)
 
 
+def fitted_by_definition(model, texts):
+    """The weights of the tree's gates by Newton's method on the decisions of all texts, one after another and not rounded."""
+    model.prepare()
+    full, bits = (1 << 64) - 1, (len(model.two[0]) - 1).bit_length()
+    m1, m2, m3 = (int(x) for x in (mixlm._M1, mixlm._M2, mixlm._M3))
+    known = {w: k for k, w in enumerate(model.words)}
+    rows = []
+    for text in texts:
+        tokens = [known[w] for w in [*mixlm.words_of(text), mixlm.END]]
+        _, pairs = model.contexts(np.array(tokens), np.array([0]))
+        for leaf, before, pair in zip(tokens, [None, *tokens], pairs.tolist()):
+            check, code, guessed = (x[pair >> 64 - bits] for x in model.two)
+            code, guessed = int(code) if int(check) == pair >> 64 - bits - 8 & 255 else 0, int(guessed)
+            n, m = code & 15, code >> 4
+            if code and guessed == leaf:
+                n -= 0 < n < 15
+            elif code:
+                m -= 0 < m < 15
+            gate = int(mixlm.gate_of(np.array([n | m << 4]))[0])
+            other = [(int(model.node[r]), 1.0 if model.bit[r] else -1.0) for r in range(model.starts[guessed], model.starts[guessed + 1])]
+            for k, r in enumerate(range(model.starts[leaf], model.starts[leaf + 1])):
+                node, bit = int(model.node[r]), bool(model.bit[r])
+                one = 0 if before is None else (before + 1) * m2 * m2 & full
+                slot = (one + node * m3 & full) * m1 % (1 << 64) >> 64 - mixlm.ONE_BITS
+                z, o = (max(float(model.one[b][slot]) - (bit == b), 0) for b in (0, 1))
+                odds = math.log((o + 0.4) / (z + 0.4)) * (z + o) / max(z + o + mixlm.ONE_DOUBT, 1e-9)
+                on = gate > 0 and k < len(other) and other[k][0] == node
+                rows.append((gate if on else 0, float(model.p[r]), odds, other[k][1] if on else 0.0, 1.0 if bit else -1.0))
+    rows, want = np.array(rows), mixlm.TREE_WEIGHTS.astype(float)
+    for g in range(len(want)):
+        x, sign = rows[rows[:, 0] == g, 1:4], rows[rows[:, 0] == g, 4]
+        for _ in range(mixlm.STEPS):
+            p = 1 / (1 + np.exp(x @ want[g] * sign))
+            slope = x.T @ (sign * p) - mixlm.PRIOR * (want[g] - mixlm.TREE_WEIGHTS[g])
+            want[g] += np.clip(np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + mixlm.PRIOR * np.eye(3), slope), -1, 1)
+    return want
+
+
+def test_mixlm_weights_are_of_all_training_texts(spark):
+    """1,000 texts without order, those of the least hash of their id, and others that always go on alike."""
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(12)]
+    ids = [k for k in range(1, 2000) if zlib.crc32(str(k).encode()) % 7 != 2]
+    table = spark.createDataFrame([(k,) for k in ids], "doc_id long")
+    ids = [r["doc_id"] for r in table.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    texts = [" ".join(rng.choice(words, 6)) for _ in range(1000)] + [" ".join(words[j % 12] for j in range(k, k + 12)) for k in range(len(ids) - 1000)]
+    table = spark.createDataFrame(list(zip(ids, texts, ["x"] * len(ids))), "doc_id long, text string, lang string")
+    model, *_ = mixlm.train(table, common.shared_dir(spark))
+    want, some = fitted_by_definition(model, texts), fitted_by_definition(model, texts[:1000])
+    assert np.abs(want - some).max() > 0.5
+    assert np.abs(model.tree_weights - want).max() < 0.05
+
+
 def test_mixlm_successors_of_two_words():
     rng = np.random.default_rng(6)
     pair = rng.integers(0, 1 << 44, 60).astype(np.uint64) << np.uint64(20)

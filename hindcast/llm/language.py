@@ -12,8 +12,9 @@ cross-entropy is above what all but REJECTED of the language's texts have. Both
 CALIBRATION for each language, and at most a tenth of them, by models that were not trained on these texts.
 
 Counting is a Spark aggregation over all training texts. A symbol is the code point itself; those beyond 16 bits share
-SPARE symbols by their last bits. What is collected are the different n-grams of the highest order: those that occur least
-are left out where there are more than MOST_GRAMS of them, as a limit of the model's size.
+SPARE symbols by their last bits. Up to MOST_GRAMS different n-grams of the highest order are collected and the models are
+broadcast. Beyond that nothing is left out: the counts stay tables, the probabilities of the texts' n-grams are found by
+joins, order by order, and joined to the texts.
 
 Rows of one doc_id are texts of their own; a null id is in no held-out fold. An empty table gives an empty result.
 """
@@ -21,7 +22,7 @@ Rows of one doc_id are texts of their own; a null id is in no held-out fold. An
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from hindcast.llm.common import in_fold, shared_dir, small_batches, texts, with_
 ORDER, REJECTED, MOST_GRAMS = 4, 0.001, 8_000_000
 #: Texts of each language that calibrate the temperature and the rejection, in the mean.
 CALIBRATION = 500
+#: Of the texts' n-grams, so many that are in most texts are joined by broadcast, as each has a row for every text.
+HOT = 10_000
 #: Characters that are taken in at once; only a single longer text exceeds it.
 CHUNK = 1 << 20
 BREAK = re.compile(r"[\W\d_]+")
@@ -241,19 +244,80 @@ def shares(entropy: np.ndarray, chars: np.ndarray, temperature: float) -> np.nda
     return x / x.sum(1, keepdims=True)
 
 
-def bounded(rows: DataFrame) -> DataFrame:
-    """The rows of the MOST_GRAMS n-grams that occur most at least, with all that occur as often as the last of them."""
-    often = rows.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect()
-    held, least = 0, 1
-    for r in often:
-        held += r["count"]
-        if held > MOST_GRAMS:
-            least = r["n"] + 1
-            break
-    return rows.where(F.col("n") >= least)
+def grams_of(df: DataFrame, text_col: str) -> DataFrame:
+    """(__row, gram, times): the n-grams of the highest order in each text and how often they are there."""
+    small_batches(df.sparkSession)
 
+    def run(batches):
+        for batch in batches:
+            rows, whole = batch.column(0).to_pylist(), texts(batch)
+            for part in chunks(whole):
+                symbols, starts = symbols_of(whole[part])
+                for row, a, b in zip(rows[part], starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    if b - a >= ORDER:
+                        grams, n = np.unique(packed(symbols[a:b], ORDER), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), row)), pa.array(grams.view(np.int64)), pa.array(n)], names=["__row", "gram", "times"])
+
+    return df.select("__row", F.col(text_col).alias("text")).mapInArrow(run, "__row long, gram long, times long")
+
+
+@dataclass
+class JoinedModels:
+    """The same models as tables, for n-grams of any number: counts has (lang, gram, n) of the highest order."""
+
+    languages: list[str]
+    counts: DataFrame
+    root: str
+    temperature: float = 1.0
+    limits: np.ndarray | None = None
 
-def train(docs: DataFrame) -> Models | None:
+    def log_probabilities(self, grams: DataFrame) -> DataFrame:
+        """(gram, logp) of different n-grams of the highest order; logp is an array by language."""
+        levels, counts = {}, self.counts.select("lang", "gram", "n")
+        for n in range(ORDER, 0, -1):
+            levels[n] = counts
+            if n > 1:
+                counts = counts.groupBy("lang", F.col("gram").bitwiseAND(int(lowest(n - 1))).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+                counts = written(counts, self.root, f"level-{n - 1}") if n == ORDER else counts
+        even, found = 1.0 / (levels[1].select("gram").distinct().count() + 1), None
+        for n in range(1, ORDER + 1):
+            level, cast = levels[n], F.broadcast if n <= 2 else (lambda df: df)
+            discounts = [0.5] * len(self.languages)
+            for r in level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect():
+                if r["once"]:
+                    discounts[r["lang"]] = r["once"] / (r["once"] + 2 * r["twice"])
+            discount = F.array(*(F.lit(float(np.clip(x, 0.05, 0.95))) for x in discounts))[F.col("lang")]
+            contexts = level.groupBy("lang", F.shiftrightunsigned("gram", 16).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+            asked = grams if n == ORDER else grams.select(F.col("gram").bitwiseAND(int(lowest(n))).alias("gram")).distinct()
+            asked = asked.select("gram", F.shiftrightunsigned("gram", 16).alias("context"), F.explode(F.array(*map(F.lit, range(len(self.languages))))).alias("lang"))
+            asked = asked.join(cast(level), ["lang", "gram"], "left").join(cast(contexts), ["lang", "context"], "left")
+            if found is None:
+                below = F.lit(even)
+            else:
+                asked = asked.withColumn("lower", F.col("gram").bitwiseAND(int(lowest(n - 1)))).join(cast(found.toDF("lang", "lower", "below")), ["lang", "lower"])
+                below = F.col("below")
+            weight = F.coalesce(F.greatest(F.lit(1e-6), F.least(F.lit(1.0), discount * F.col("kinds") / F.col("total"))), F.lit(1.0))
+            own = F.coalesce(F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total"), F.lit(0.0))
+            found = asked.select("lang", "gram", (own + weight * below).alias("p"))
+        by_language = F.sort_array(F.collect_list(F.struct("lang", F.log("p").alias("logp"))))
+        return found.groupBy("gram").agg(by_language["logp"].alias("logp"))
+
+    def entropies(self, df: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+        """df with entropy, nats per character for each language, and chars of each text."""
+        numbered = written(df.withColumn("__row", F.monotonically_increasing_id()), self.root, f"{name}-texts")
+        rows = written(grams_of(numbered, text_col), self.root, f"{name}-grams")
+        asked = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"))
+        hot = written(asked.orderBy(F.desc("rows"), "gram").limit(HOT).select("gram"), self.root, f"{name}-hot")
+        logp = written(self.log_probabilities(asked.select("gram")), self.root, f"{name}-logp")
+        both = rows.join(F.broadcast(logp.join(F.broadcast(hot), "gram")), "gram").unionByName(rows.join(F.broadcast(hot), "gram", "left_anti").join(logp, "gram"))
+        chars = F.sum("times")
+        sums = both.groupBy("__row").agg(F.array(*(-F.sum(F.col("times") * F.col("logp")[k]) / chars for k in range(len(self.languages)))).alias("entropy"), chars.alias("chars"))
+        none = F.array(*[F.lit(0.0)] * len(self.languages))
+        joined = numbered.drop("entropy", "chars").join(sums, "__row", "left").drop("__row")
+        return joined.withColumns({"entropy": F.coalesce("entropy", none), "chars": F.coalesce("chars", F.lit(0))})
+
+
+def train(docs: DataFrame, most_grams: int = MOST_GRAMS) -> Models | JoinedModels | None:
     """Models of the documents outside the held-out fold that have a language; None if there is none."""
     usable = docs.where(F.col("lang").isNotNull() & ~in_fold("doc_id", 4, 2)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
@@ -262,31 +326,43 @@ def train(docs: DataFrame) -> Models | None:
         return None
     share = F.create_map(*(F.lit(y) for x in languages for y in (x, int(1e6 * min(0.1, CALIBRATION / sizes[x])))))
     usable = usable.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")))
-    counts = written(counted(usable, languages), shared_dir(docs.sparkSession), "counts")
+    root = shared_dir(docs.sparkSession)
+    counts = written(counted(usable, languages), root, "counts")
+    whole, rest = (x.groupBy("lang", "gram").agg(F.sum("n").alias("n")) for x in (counts, counts.where("not own")))
 
     def model_of(rows: DataFrame) -> Models:
-        found = bounded(rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))).toArrow()
+        found = rows.toArrow()
         return kneser_ney(found["gram"].to_numpy().view(np.uint64), found["lang"].to_numpy(), found["n"].to_numpy().astype(float), languages)
 
-    model = model_of(counts)
-    others = docs.sparkSession.sparkContext.broadcast(model_of(counts.where("not own")))
+    if whole.count() > most_grams:
+        model = JoinedModels(languages, written(whole, root, "whole"), f"{root}/whole-model")
+        sample = JoinedModels(languages, written(rest, root, "rest"), f"{root}/rest-model").entropies(usable.where("own"), "sample")
+    else:
+        model = model_of(whole)
+        others = docs.sparkSession.sparkContext.broadcast(model_of(rest))
 
-    def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        entropy, chars = others.value.entropies(texts(batch))
-        return [pa.array(entropy.tolist(), pa.list_(pa.float64())), pa.array(chars, pa.int64())]
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
+            entropy, chars = others.value.entropies(texts(batch))
+            return [pa.array(entropy.tolist(), pa.list_(pa.float64())), pa.array(chars, pa.int64())]
 
-    sample = with_arrow(usable.where("own"), run, [StructField("entropy", ArrayType(DoubleType())), StructField("chars", LongType())]).orderBy(F.xxhash64("doc_id"), "doc_id", "chars").select("entropy", "chars", "lang").collect()
+        sample = with_arrow(usable.where("own"), run, [StructField("entropy", ArrayType(DoubleType())), StructField("chars", LongType())])
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "chars").select("entropy", "chars", "lang").collect()
     own = np.array([languages.index(r["lang"]) for r in sample], int)
     calibrate(model, np.array([r["entropy"] for r in sample]).reshape(-1, len(languages)), np.array([r["chars"] for r in sample], int), own)
     return model
 
 
-def identify(df: DataFrame, model: Models | None, text_col: str = "text") -> DataFrame:
+def identify(df: DataFrame, model: Models | JoinedModels | None, text_col: str = "text") -> DataFrame:
     """df with lang_pred, score and rejected for each whole text; columns of these names are replaced.
 
     lang_pred is `und` with score 0 where the text is null or has no letter, or nothing was learned; ties go to the
     first language in order of name. rejected: the cross-entropy is above the language's calibrated limit.
     """
+    wide = isinstance(model, JoinedModels)
+    kept = [c for c in df.columns if c not in ("lang_pred", "score", "rejected")]
+    if wide:
+        found = model.entropies(df.select(F.struct(*kept).alias("__own"), F.col(text_col).alias("text")), "all")
+        model, df, text_col = replace(model, counts=None), found, "text"
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -294,7 +370,11 @@ def identify(df: DataFrame, model: Models | None, text_col: str = "text") -> Dat
         pred, score, rejected = ["und"] * len(whole), np.zeros(len(whole)), np.ones(len(whole), bool)
         have = [k for k, t in enumerate(whole) if any(map(str.isalpha, t))] if of else []
         if have:
-            entropy, chars = of.entropies([whole[k] for k in have])
+            if wide:
+                entropy, chars = (batch.column(batch.schema.get_field_index(c)).take(pa.array(have)) for c in ("entropy", "chars"))
+                entropy, chars = np.array(entropy.to_pylist()), chars.to_numpy()
+            else:
+                entropy, chars = of.entropies([whole[k] for k in have])
             best, share = entropy.argmin(1), shares(entropy, chars, of.temperature)
             for j, k in enumerate(have):
                 pred[k] = of.languages[best[j]]
@@ -302,9 +382,10 @@ def identify(df: DataFrame, model: Models | None, text_col: str = "text") -> Dat
             rejected[have] = entropy[np.arange(len(have)), best] > of.limits[best]
         return [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
 
-    return with_arrow(df, run, [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
+    out = with_arrow(df, run, [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
+    return out.select("__own.*", "lang_pred", "score", "rejected") if wide else out
 
 
-def predicted(docs: DataFrame) -> DataFrame:
+def predicted(docs: DataFrame, most_grams: int = MOST_GRAMS) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every document."""
-    return identify(docs.select("doc_id", "text"), train(docs)).select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return identify(docs.select("doc_id", "text"), train(docs, most_grams)).select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")

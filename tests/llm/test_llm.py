@@ -308,6 +308,15 @@ def test_language(spark, odd, empty):
     assert {r["lang_pred"] for r in language.predicted(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_beyond_the_broadcast_leaves_no_ngram_out(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    few, all_ = ({r["doc_id"]: r for r in language.predicted(table, most).collect()} for most in (50, language.MOST_GRAMS))
+    assert few.keys() == all_.keys()
+    for k, r in all_.items():
+        assert (few[k]["lang_pred"], few[k]["held_out"], few[k]["rejected"]) == (r["lang_pred"], r["held_out"], r["rejected"])
+        assert math.isclose(few[k]["score"], r["score"], abs_tol=1e-4)
+
+
 def test_language_on_held_out(spark):
     t = spark.read.parquet(f"{SF}/documents.parquet")
     rows = language.predicted(t).join(t.select("doc_id", "lang"), "doc_id").where("held_out").collect()

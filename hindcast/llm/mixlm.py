@@ -29,13 +29,13 @@ With nothing to learn from, every word is spelled by even bits. Words of any len
 from __future__ import annotations
 
 import heapq
-from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +44,10 @@ from pyspark.sql.types import DoubleType, LongType, StructField
 from hindcast.llm.common import in_fold, shared_dir, small_batches, texts, with_arrow, written
 
 WORDS = 1 << 17
-#: Words of a batch that are looked up at once, texts that are scored side by side.
+#: Words of a batch, by its bytes, that are looked up at once, texts that are scored side by side.
 CHUNK, ABREAST = 1 << 16, 512
+#: Decisions whose inputs are looked up at once, and words that are spelled at once in training.
+AT_ONCE, WORDS_AT_ONCE = 1 << 17, 10_000
 MOST_VOCABULARY = 4_000_000
 #: Different words, and successors of two words, that a task holds before it sends their counts.
 HELD_WORDS, HELD_PAIRS = 250_000, 1 << 21
@@ -57,7 +59,7 @@ TABLES = (14, 16, 19, 21, 22)
 ONE_BITS, TWO_BITS, SHARD = 19, (14, 23), 1 << 21
 #: A key of two words is a hash above the bits of the next word's leaf.
 LEAF_BITS = 18
-BLOB = 14
+BLOB, PART = 14, 1 << 17
 #: A stored prediction is in steps of 1/SCALE, at most LIMIT; DOUBT draws rarely seen contexts to even odds.
 SCALE, LIMIT = 2048.0, 15.0
 DOUBT, ONE_DOUBT = (0.0, 0.0, 1.0, 3.0, 0.3), 2.0
@@ -70,8 +72,6 @@ TREE_GATES = 17
 TREE_WEIGHTS = np.array([[1.0, 0.0, 0.0]] + [[1.0, 0.0, 1.0]] * (TREE_GATES - 1), np.float32)
 #: The mixing weights are fitted in so many Newton steps. Inputs in the tree, between -16 and 16, have so many bits of a cell's key.
 STEPS, PRIOR, CELL_BITS = 4, 20.0, 9
-#: Different cells that a task holds before it sends their counts.
-HELD_CELLS = 1 << 20
 #: The text's own predictor: bits of its table for the word tree's nodes and as many for spelled words, and how much must be seen before it counts.
 OWN_BITS, OWN_PRIOR = 11, 1.5
 #: The adaptive weights are those of the combined prediction, one for each of KINDS of gates (in the tree without and with a
@@ -86,6 +86,15 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
+def split(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts as words_of() has them, one after another, and how many each text has; null is the empty text."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    words, ends = found.flatten(), found.offsets.to_numpy().astype(np.int64)
+    some = pc.greater(pc.binary_length(words), 0)
+    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return words.filter(some).cast(pa.binary()), np.diff(before[ends - ends[0]])
+
+
 def signs(bit: np.ndarray) -> np.ndarray:
     return bit.astype(np.float32) * 2 - 1
 
@@ -104,6 +113,9 @@ def gate_of(code: np.ndarray) -> np.ndarray:
     return np.where(n < 2, 0, 1 + 4 * often + sure).astype(np.uint8)
 
 
+GATE_OF = gate_of(np.arange(256))
+
+
 def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lengths, nodes, bits) of a Huffman code of 256 bytes, each seen once more than counted; nodes[byte, k] is the inner
     node at the k-th decision."""
@@ -131,20 +143,12 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lengths, nodes, bits
 
 
-def bit_rows(words: list[bytes], code: tuple) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Of the decisions of all words with a space after them: where each word's begin, the bits, the slots in each table,
-    and the slot in a segment's own table."""
-    lengths, nodes, bits = code
+def characters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of the bytes of all words with a space after them: where each word's begin, the bytes, and their contexts in each table."""
     flat = np.frombuffer(b"".join(w + b" " for w in words), np.uint8)
     sizes = np.array([len(w) + 1 for w in words], int)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     place = np.arange(len(flat)) - np.repeat(starts[:-1], sizes)
-    n = lengths[flat]
-    row_starts = np.concatenate([[0], np.cumsum(n)])
-    of = np.repeat(np.arange(len(flat)), n)
-    step = np.arange(len(of)) - np.repeat(row_starts[:-1], n)
-    byte = flat[of]
-    node, bit = nodes[byte, step] + np.uint64(1), bits[byte, step]
     before, contexts = flat.astype(np.uint64) + np.uint64(1), []
     context = np.zeros(len(flat), np.uint64)
     for k in range(1, 5):
@@ -152,19 +156,55 @@ def bit_rows(words: list[bytes], code: tuple) -> tuple[np.ndarray, np.ndarray, l
         last[k:] = before[:-k]
         last[place < k] = 0
         context = context * np.uint64(257) + last
-        contexts.append(context.copy())
+        contexts.append(context)
     powers = np.ones(int(sizes.max()) if len(sizes) else 1, np.uint64)
     powers[1:] = _M1
     powers = np.cumprod(powers)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(before * powers[place])])
     contexts.append(sums[:-1] - np.repeat(sums[starts[:-1]], sizes))
-    slots, node = [], node * _M3
-    for k, (x, size) in enumerate(zip([*contexts, contexts[1]], [*TABLES, OWN_BITS], strict=True)):
+    return starts, flat, contexts
+
+
+def byte_rows(flat: np.ndarray, contexts: list[np.ndarray], sizes: list[int], code: tuple) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of the decisions of bytes: how many each has, the bits, and for each of the contexts the slots in its table of so many bits."""
+    lengths, nodes, bits = code
+    n = lengths[flat]
+    ends = np.cumsum(n)
+    row = np.arange(ends[-1] if len(ends) else 0) + np.repeat(flat * np.int64(nodes.shape[1]) - (ends - n), n)
+    node, bit, slots = ((nodes + np.uint64(1)) * _M3).ravel().take(row), bits.ravel().take(row), []
+    for k, (x, size) in enumerate(zip(contexts, sizes, strict=True)):
         h = (x + np.uint64(k + 1)) * _M2
         h ^= h >> np.uint64(29)
-        slots.append(((h[of] * _M1 + node) * _M2 >> np.uint64(64 - size)).astype(np.int32))
+        h = np.repeat(h * _M1, n)
+        h += node
+        h *= _M2
+        h >>= np.uint64(64 - size)
+        slots.append(h.view(np.int64))
+    return n, bit, slots
+
+
+def bit_rows(words: list[bytes], code: tuple) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of the decisions of all words with a space after them: where each word's begin, the bits, the slots in each table,
+    and the slot in a segment's own table."""
+    starts, flat, contexts = characters(words)
+    n, bit, slots = byte_rows(flat, [*contexts, contexts[1]], [*TABLES, OWN_BITS], code)
     own = slots.pop() + (1 << OWN_BITS)
-    return row_starts[starts], bit, slots, own
+    return np.concatenate([[0], np.cumsum(n)])[starts], bit, slots, own
+
+
+def beginnings(words: list[bytes], times: np.ndarray, code: tuple) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(bits, slots, times) of the decisions of words that come so many times; a beginning that neighbours share is there once,
+    with the times of all of them."""
+    starts, flat, contexts = characters(words)
+    sizes, key = np.diff(starts), ((contexts[-1] + np.uint64(1)) * _M2 + flat) * _M1
+    # a byte whose word goes on as the one before does stands for that one's, and so on
+    above = np.arange(len(flat)) - np.repeat(np.concatenate([[0], sizes])[: len(sizes)], sizes)
+    of = np.where((above < np.repeat(starts[:-1], sizes)) & (above >= 0) & (key[above] == key), above, np.arange(len(flat)))
+    while (of != (further := of[of])).any():
+        of = further
+    first, weight = np.flatnonzero(of == np.arange(len(flat))), np.bincount(of, np.repeat(times, sizes), len(flat))
+    n, bit, slots = byte_rows(flat[first], [x[first] for x in contexts], TABLES, code)
+    return bit, slots, np.repeat(weight[first], n)
 
 
 def word_tree(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -185,13 +225,18 @@ def word_tree(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         cut = np.searchsorted(total, half)
         cut = np.clip(np.where(half - total[cut - 1] < total[cut] - half, cut - 1, cut), low + 1, high - 1)
         right = leaf >= cut
-        rows.append((leaf, right, np.log((total[high] - total[cut]) / (total[cut] - total[low])), node))
+        rows.append((leaf.astype(np.int32), right, np.log((total[high] - total[cut]) / (total[cut] - total[low])).astype(np.float32), node.astype(np.int32)))
         low, high = np.where(right, cut, low), np.where(right, high, cut)
     if not rows:
-        return np.array([0] * (len(weights) + 1)), np.zeros(0, bool), np.zeros(0), np.zeros(0, int)
-    leaf, bit, p, node = (np.concatenate(x) for x in zip(*rows, strict=True))
-    order = np.argsort(leaf, kind="stable")
-    return np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=len(weights)))]), bit[order], p[order], node[order]
+        return np.array([0] * (len(weights) + 1)), np.zeros(0, bool), np.zeros(0, np.float32), np.zeros(0, np.int32)
+    columns = [list(x) for x in zip(*rows, strict=True)]
+    rows.clear()
+    leaf = np.concatenate(columns[0])
+    starts, order = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=len(weights)))]), np.argsort(leaf, kind="stable").astype(np.int32)
+    columns[0], leaf, out = None, None, []
+    while len(columns) > 1:
+        out.append(np.concatenate(columns.pop(1))[order])
+    return starts, *out
 
 
 def vocabulary(training: DataFrame, group_col: str) -> DataFrame:
@@ -199,21 +244,26 @@ def vocabulary(training: DataFrame, group_col: str) -> DataFrame:
     as the word of one newline. Partial sums are taken in each task."""
 
     def run(batches):
-        groups: dict = {}
+        held, size = [], 0
 
-        def counted():
-            for group, found in groups.items():
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([group] * len(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "group", "n"])
-            groups.clear()
+        def summed():
+            found = pa.concat_tables(held).group_by(["word", "group"], use_threads=False).aggregate([("n", "sum")])
+            return found.select(["word", "group", "n_sum"]).rename_columns(["word", "group", "n"])
 
         for batch in batches:
-            for text, group in zip(texts(batch), batch.column(1).to_pylist(), strict=True):
-                found = groups.setdefault(group, Counter())
-                found[END] += 1
-                found.update(words_of(text))
-            if sum(map(len, groups.values())) > HELD_WORDS:
-                yield from counted()
-        yield from counted()
+            words, n = split(batch.column(0))
+            groups = batch.column(1)
+            for word, group in ((words, groups.take(pa.array(np.repeat(np.arange(len(n)), n)))), (pa.array([END] * len(n), pa.binary()), groups)):
+                held.append(pa.table({"word": word, "group": group, "n": np.ones(len(word), np.int64)}))
+                size += len(word)
+            if size >= 4 * HELD_WORDS:
+                held = [summed()]
+                size = len(held[0])
+                if size > HELD_WORDS:
+                    yield from held[0].combine_chunks().to_batches()
+                    held, size = [], 0
+        if held:
+            yield from summed().combine_chunks().to_batches()
 
     apart = training.select("text", F.col(group_col).cast("string")).mapInArrow(run, "word binary, group string, n long")
     return apart.groupBy("word", "group").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.max_by("group", F.struct("n", "group")).alias("mainly"))
@@ -255,20 +305,18 @@ def blobs(k: int, seen: np.ndarray, size: int):
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([blob >> BLOB]), pa.array([held.tobytes() + z[held].astype(np.float32).tobytes() + o[held].astype(np.float32).tobytes()])], names=["k", "blob", "data"])
 
 
-def tables(vocab: DataFrame, kinds: int, code: tuple) -> list[np.ndarray]:
+def tables(vocab: DataFrame, code: tuple) -> list[np.ndarray]:
     """(zeros, ones) in each table of the spelled words' predictors, each different word counting once: what is to be spelled
-    is rare or new. Words are dealt out in their order, so that a task's words share their beginnings; a task adds up
-    its words in tables of fixed size and sends what isn't zero, in blobs."""
+    is rare or new. Words lie in their order, so that a task's words share their beginnings; a task adds up its words in
+    tables of fixed size and sends what isn't zero, in blobs."""
     shared = vocab.sparkSession.sparkContext.broadcast(code)
 
     def add(batches):
         seen = [np.zeros(2 << b, np.float32) for b in TABLES]
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            for at in range(0, len(words), 20_000):
-                _, bit, slots, _ = bit_rows(words[at : at + 20_000], shared.value)
-                for k, slot in enumerate(slots):
-                    np.add.at(seen[k], slot << 1 | bit, np.float32(1))
+        for batch in longer(batches, WORDS_AT_ONCE):
+            bit, slots, times = beginnings(batch.column(0).to_numpy(zero_copy_only=False).tolist(), np.ones(len(batch)), shared.value)
+            for k, slot in enumerate(slots):
+                np.add.at(seen[k], slot << 1 | bit, times.astype(np.float32))
         for k in range(len(TABLES)):
             yield from blobs(k, seen[k], TABLES[k])
 
@@ -276,7 +324,7 @@ def tables(vocab: DataFrame, kinds: int, code: tuple) -> list[np.ndarray]:
         z, o = (np.minimum(x, 60_000).astype(np.float16) for x in merged(pdf["data"]))
         return pd.DataFrame({"k": [key[0]], "blob": [key[1]], "data": [z.tobytes() + o.tobytes()]})
 
-    dealt = vocab.select("word").repartitionByRange(1 + kinds // 500_000, "word").mapInArrow(add, "k long, blob long, data binary")
+    dealt = vocab.select("word").mapInArrow(add, "k long, blob long, data binary")
     out = [np.zeros((2, 1 << b), np.float16) for b in TABLES]
     for r in dealt.groupBy("k", "blob").applyInPandas(merge, "k long, blob long, data binary").toLocalIterator():
         put(out[r["k"]], r["blob"], np.frombuffer(r["data"], np.float16).reshape(2, -1))
@@ -284,6 +332,11 @@ def tables(vocab: DataFrame, kinds: int, code: tuple) -> list[np.ndarray]:
     return out
 
 
+def in_parts(fn, table: np.ndarray) -> np.ndarray:
+    """What fn makes of a table's zeros and ones, PART slots at a time to save memory."""
+    return np.concatenate([fn(table[:, at : at + PART].astype(np.float32)) for at in range(0, table.shape[1], PART)])
+
+
 def put(table: np.ndarray, blob: int, data: np.ndarray) -> None:
     """Sets a blob of a table of any size; the rows are the zeros and the ones."""
     part = table[:, blob << BLOB : (blob + 1) << BLOB]
@@ -312,33 +365,61 @@ class Model:
         weights = np.maximum(self.counts - DISCOUNT, 1 - DISCOUNT)
         weights[0] = self.counts[0] + DISCOUNT * len(self.counts)
         self.starts, bit, p, node = word_tree(weights)
-        self.lengths = np.diff(self.starts).astype(np.int32)
-        self.starts = self.starts.astype(np.int32)
-        self.node, self.bit, self.sign, self.p = node.astype(np.int32), bit, signs(bit), p.astype(np.float32)
-        self.node_hash = node.astype(np.uint64) * _M3
-        self.own = np.where(node < 1 << OWN_BITS - 1, node, (1 << OWN_BITS - 1) + (node * 2654435761 >> 7) % (1 << OWN_BITS - 1)).astype(np.int32)
+        self.lengths = np.diff(self.starts)
+        self.node, self.bit, self.codes = node, bit, path_codes(self.starts, bit)
+        # the predictions of the nodes as they speak for the bit
+        p *= signs(bit)
+        self.signed = p
+        own = np.arange(node.max(initial=0) + 1)
+        self.own = np.where(own < 1 << OWN_BITS - 1, own, (1 << OWN_BITS - 1) + (own * 2654435761 >> 7) % (1 << OWN_BITS - 1)).astype(np.int16)[node]
         self.hashes = (np.arange(len(self.words), dtype=np.uint64) + np.uint64(1)) * _M2
         self.ids = WordIds(self.words)
 
+    @property
+    def p(self) -> np.ndarray:
+        """The predictions of the tree's rows."""
+        return self.signed * signs(self.bit)
+
     def prepare(self) -> None:
-        """What a worker derives once from the tables."""
+        """What a worker derives once from the words and the tables."""
         self.grow()
         if not hasattr(self, "first"):
-            self.first = stretched(*self.one.astype(np.float32), ONE_DOUBT).astype(np.float32)
-            self.tables = [(stretched(*t.astype(np.float32), d) * SCALE).astype(np.int16) for t, d in zip(self.spelled, DOUBT, strict=True)]
-            self.seen = np.searchsorted(GATES, self.spelled[-1].astype(np.float32).sum(0), "right").astype(np.uint8)
+            self.predict()
+
+    def predict(self) -> None:
+        """The predictions that follow from the counts in the tables."""
+        self.first = stretched(*self.one.astype(np.float32), ONE_DOUBT).astype(np.float32)
+        self.tables = [in_parts(lambda x, d=d: (stretched(*x, d) * SCALE).astype(np.int16), t) for t, d in zip(self.spelled, DOUBT, strict=True)]
+        self.seen = in_parts(lambda x: np.searchsorted(GATES, x.sum(0), "right").astype(np.uint8), self.spelled[-1])
+
+    def without_counts(self) -> Model:
+        """The same for scoring only: predictions in place of the counts that they follow from."""
+        out = replace(self)
+        out.predict()
+        out.spelled = out.one = None
+        return out
 
     @cached_property
     def cells_of(self) -> tuple[np.ndarray, np.ndarray]:
-        """For the fit: the rounded predictions of the tree's rows, and after one word by slot and bit."""
-        return rounded(self.p), rounded(less_one(self.one, ONE_DOUBT))
+        """For the fit: the rounded predictions of the tree's rows, and after one word by slot and bit, as they speak for the bit."""
+        after = less_one(self.one, ONE_DOUBT)
+        after[::2] *= -1
+        return rounded(self.signed), rounded(after)
 
     @cached_property
     def spelled_less(self) -> tuple[list[np.ndarray], np.ndarray]:
-        """For the fit: the predictions in spelled words by table, slot and bit, and the gates."""
-        z, o = self.spelled[-1].astype(np.float32)
-        gate = np.searchsorted(GATES, np.stack([np.maximum(z - 1, 0) + o, z + np.maximum(o - 1, 0)], 1).ravel(), "right").astype(np.uint8)
-        return [(less_one(t, d) * SCALE).astype(np.int16) for t, d in zip(self.spelled, DOUBT, strict=True)], gate
+        """For the fit: the predictions in spelled words by table, slot and bit, as they speak for the bit, and the gates."""
+
+        def gates(x: np.ndarray) -> np.ndarray:
+            z, o = x
+            return np.searchsorted(GATES, np.stack([np.maximum(z - 1, 0) + o, z + np.maximum(o - 1, 0)], 1).ravel(), "right").astype(np.uint8)
+
+        def less(x: np.ndarray, doubt: float) -> np.ndarray:
+            out = (less_one(x, doubt) * SCALE).astype(np.int16)
+            out[::2] *= -1
+            return out
+
+        return [in_parts(lambda x, d=d: less(x, d), t) for t, d in zip(self.spelled, DOUBT, strict=True)], in_parts(gates, self.spelled[-1])
 
     def contexts(self, ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the word before each token and of the two before; begins are the texts' first tokens."""
@@ -356,15 +437,18 @@ class Model:
     def leaves(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids < len(self.words), ids, 0)
 
-    def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(of, row, heads): the token and the tree's row of each decision, and where each token's decisions begin."""
-        n = self.lengths[leaf]
-        heads = (np.cumsum(n) - n).astype(np.int32)
-        of = np.repeat(np.arange(len(leaf), dtype=np.int32), n)
-        return of, np.arange(len(of), dtype=np.int32) + (self.starts[leaf] - heads)[of], heads
+    def rows(self, begins: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The tree's rows of n decisions each from begins on, one after another."""
+        ends = np.cumsum(n)
+        return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - n), n)
 
-    def one_slots(self, one: np.ndarray, of: np.ndarray, row: np.ndarray) -> np.ndarray:
-        return ((one[of] + self.node_hash[row]) * _M1 >> np.uint64(64 - ONE_BITS)).astype(np.int32)
+    def one_slots(self, one: np.ndarray, n: np.ndarray, row: np.ndarray) -> np.ndarray:
+        h = self.node.take(row).astype(np.uint64)
+        h *= _M3
+        h += np.repeat(one, n)
+        h *= _M1
+        h >>= np.uint64(64 - ONE_BITS)
+        return h.view(np.int64)
 
     def predicted(self, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(leaf, code) that the hashes of two words predict; code 0 is no prediction."""
@@ -373,132 +457,193 @@ class Model:
         at = (two >> np.uint64(64 - bits)).astype(np.int64)
         return leaf[at], np.where(check[at] == (two >> np.uint64(64 - bits - 8)).astype(np.uint8), code[at], 0)
 
-    def guesses(self, leaf: np.ndarray, code: np.ndarray, of: np.ndarray, row: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each decision the bit that the predicted leaf's path has there (-1.0 or 1.0; 0.0 off the path), and the gate."""
-        gates = gate_of(code)
-        guess, gate = np.zeros(len(of), np.float32), np.zeros(len(of), np.uint8)
-        r = np.flatnonzero((gates > 0)[of])
-        if len(r):
-            of, step = of[r], r.astype(np.int32) - heads[of[r]]
-            path = leaf[of]
-            other = self.starts[path] + np.minimum(step, self.lengths[path] - 1)
-            on = (step < self.lengths[path]) & (self.node[other] == self.node[row[r]])
-            guess[r[on]], gate[r[on]] = self.sign[other[on]], gates[of[on]]
-        return guess, gate
-
-    def in_tree(self, leaf: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For the decisions of all tokens in the tree: where each token's begin, the bits as -1.0 and 1.0, the combined
-        predictions, the own slots and the kinds of gates."""
-        of, row, heads = self.paths(leaf)
-        guess, gate = self.guesses(*self.predicted(two), of, row, heads)
-        w = self.tree_weights
-        combined = self.p[row] * w[:, 0][gate] + self.first[self.one_slots(one, of, row)] * w[:, 1][gate] + guess * w[:, 2][gate]
-        return heads, self.sign[row], combined, self.own[row], (gate > 0).astype(np.uint8)
+    def agreed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many decisions from the root on two leaves have in common, all where they are equal."""
+        out, still = np.zeros(len(a), np.int64), np.ones(len(a), bool)
+        for code in self.codes:
+            x = code[a] ^ code[b]
+            for k in (1, 2, 4, 8, 16, 32):
+                x |= x >> np.uint64(k)
+            out += (64 - np.bitwise_count(x).astype(np.int64)) * still
+            still &= x == 0
+        return np.where(still, self.lengths[a], out)
+
+    def stretches(self, leaf: np.ndarray, guessed: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(gate, n, right) of tokens: the first n decisions are on the predicted leaf's path and have the gate, the others have
+        gate 0; right tells whether the predicted bit is right in the last of the n too, as it is before."""
+        gate, n, right = GATE_OF[code], np.zeros(len(leaf), np.int64), guessed == leaf
+        on = np.flatnonzero(gate)
+        n[on] = self.agreed(leaf[on], guessed[on]) + ~right[on]
+        return gate, n, right
+
+    def in_tree(self, token: np.ndarray, step: np.ndarray | int, n: np.ndarray, leaf: np.ndarray, one: np.ndarray, gate: np.ndarray | None = None, right: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """For n decisions each of tokens in the tree, from a step on: the combined predictions as they speak for the bit, the
+        bits as -1.0 and 1.0 and the own slots. Without a gate no leaf is predicted there."""
+        row = self.rows(self.starts[leaf[token]] + step, n)
+        sign, first, w = signs(self.bit.take(row)), self.first.take(self.one_slots(one[token], n, row)), self.tree_weights
+        first *= sign
+        if gate is None:
+            return self.signed.take(row) * w[0, 0] + first * w[0, 1], sign, self.own.take(row)
+        gate = gate[token]
+        combined = self.signed.take(row) * np.repeat(w[gate, 0], n) + first * np.repeat(w[gate, 1], n) + np.repeat(w[gate, 2], n)
+        wrong = ~right[token]
+        combined[np.cumsum(n)[wrong] - 1] -= 2 * w[gate[wrong], 2]
+        return combined, sign, self.own.take(row)
 
     def in_bytes(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
-        """The same for the decisions of spelled words."""
+        """For the decisions of spelled words: where each word's begin, the same, and whether the word so far is known."""
         starts, bit, slots, own = bit_rows(words, self.code)
-        gate, z = self.seen[slots[-1]], np.zeros(len(bit), np.float32)
+        gate, z = self.seen.take(slots[-1]), np.zeros(len(bit), np.float32)
         for k, slot in enumerate(slots):
-            z += self.tables[k][slot] * self.byte_weights[:, k][gate]
-        return starts, signs(bit), z * np.float32(1 / SCALE), own, 2 + (gate > 2).astype(np.uint8)
+            z += self.tables[k].take(slot) * np.ascontiguousarray(self.byte_weights[:, k]).take(gate)
+        sign = signs(bit)
+        z *= sign
+        z *= np.float32(1 / SCALE)
+        return starts, z, sign, own, gate > 2
 
     def score(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Natural log probabilities of texts that lie one after another in ids, up to ends, a 0 before all."""
-        tree = len(self.words)
-        rows, lengths = self.in_tree(leaf := self.leaves(ids), *self.contexts(ids, ends[:-1])), self.lengths
-        starts, counts = rows[0], lengths[leaf]
-        rows = rows[1:]
-        spelled = np.flatnonzero(ids >= tree)
-        if len(spelled):
-            more = self.in_bytes(self.ids.others)
-            # the escape goes before every word that isn't in the tree
-            word = ids[spelled] - tree
-            starts = np.insert(starts, spelled + 1, more[0][word] + len(rows[0]))
-            counts = np.insert(counts, spelled + 1, np.diff(more[0])[word])
-            rows = [np.concatenate([a, b]) for a, b in zip(rows, more[1:], strict=True)]
-            ends = ends + np.searchsorted(spelled, ends)
-        return self.mixed(starts, counts, ends[:-1], np.diff(ends), rows)
-
-    def mixed(self, starts: np.ndarray, counts: np.ndarray, begins: np.ndarray, sizes: np.ndarray, rows: tuple) -> np.ndarray:
-        """Natural log probabilities of texts by their first token and size; tokens have their decisions from starts on.
-
-        Texts go side by side, block by block; a block is predicted by what was learned before it.
-        """
-        bits, combined, own, kind = rows
-        e = np.exp(-np.abs(combined))
-        one = np.where(combined >= 0, 1, e) / (1 + e)
-        missed, doubt = (bits > 0) - one, one * (1 - one)
-        out = np.zeros(len(sizes))
-        order = np.argsort(-sizes, kind="stable")
-        for at in range(0, len(order), ABREAST):
-            mine = order[at : at + ABREAST]
-            slots = len(mine) << OWN_BITS + 1
-            off, sure = np.zeros(slots, np.float32), np.full(slots, OWN_PRIOR, np.float32)
-            w, v = np.ones(len(mine) * KINDS, np.float32), np.ones(len(mine), np.float32)
-            w_sure, v_sure = np.full(len(mine) * KINDS, WEIGHT_PRIOR, np.float32), np.full(len(mine), WEIGHT_PRIOR, np.float32)
-            lengths, begin, total, done = sizes[mine], begins[mine], np.zeros(len(mine)), 0
-            while done < lengths[0]:
-                live, size = int(np.searchsorted(-lengths, -done, "left")), 1 + done // BLOCK
-                n = np.minimum(lengths[:live] - done, size)
-                word = np.repeat(begin[:live] + done - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                first, m = np.cumsum(n) - n, counts[word]
-                heads = np.cumsum(m) - m
-                row = np.arange(int(m.sum())) + np.repeat(starts[word] - heads, m)
-                of, heads = np.repeat(np.repeat(np.arange(live), n), m), heads[first]
-                slot, gate = own[row] + (of << OWN_BITS + 1), kind[row] + of * KINDS
-                x, y, s = combined[row], bits[row], off[slot] / sure[slot]
-                z = (x * w[gate] + s * v[of]) * y
+        out, (one, two) = np.zeros(len(ends) - 1), self.contexts(ids, ends[:-1])
+        for at in range(0, len(out), ABREAST):
+            some = ends[at : at + ABREAST + 1]
+            part = slice(some[0], some[-1])
+            out[at : at + ABREAST] = self.mixed(ids[part], one[part], two[part], some - some[0])
+        return out
+
+    def blocks(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, ends: np.ndarray):
+        """The decisions of texts that go side by side, by blocks of their tokens, as laid_out() has them."""
+        tree, count, leaf = len(self.words), len(ends) - 1, self.leaves(ids)
+        guessed, code = self.predicted(two)
+        gate, on, right = self.stretches(leaf, guessed, code)
+        rest, spelled = self.lengths[leaf] - on, ids >= tree
+        text = np.repeat(np.arange(count), np.diff(ends))
+        # a word that isn't in the tree is two tokens, the escape and its spelling
+        place = np.arange(len(ids)) + np.cumsum(spelled) - spelled
+        place -= place[ends[:-1]][text]
+        edges = [0]
+        while edges[-1] < place.max() + 2:
+            edges.append(edges[-1] + 1 + edges[-1] // BLOCK)
+        block = [np.searchsorted(edges, x, "right").astype(np.uint16) - 1 for x in (place, place[spelled] + 1)]
+        order, later = (np.argsort(x, kind="stable") for x in block)
+        found = [(order[rest[order] > 0], rest), (order[on[order] > 0], on), (np.flatnonzero(spelled)[later], np.full(len(ids), 40))]
+        at = [block[0][found[0][0]], block[0][found[1][0]], block[1][later]]
+        cuts = [np.searchsorted(x, np.arange(len(edges))) for x in at]
+        work = sum(np.concatenate([[0], np.cumsum(n[token])])[cut] for (token, n), cut in zip(found, cuts, strict=True))
+        begin = 0
+        while begin < len(edges) - 1:
+            end = max(begin + 1, int(np.searchsorted(work, work[begin] + AT_ONCE, "right")) - 1)
+            (no, yes, other), when = (list(x) for x in zip(*((token[cut[begin] : cut[end]], x[cut[begin] : cut[end]]) for (token, _), x, cut in zip(found, at, cuts, strict=True)), strict=True))
+            parts = [(when[0], text[no], rest[no], *self.in_tree(no, on[no], rest[no], leaf, one)), (when[1], text[yes], on[yes], *self.in_tree(yes, 0, on[yes], leaf, one, gate, right))]
+            starts, *rows, known = self.in_bytes([self.ids.others[k] for k in (ids[other] - tree).tolist()])
+            known_before = np.concatenate([[0], np.cumsum(known)])[starts]
+            for some, before in ((~known, starts - known_before), (known, known_before)):
+                parts.append((when[2], text[other], np.diff(before), *(x[some] for x in rows)))
+            yield laid_out(parts, begin, end)
+            begin = end
+
+    def mixed(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The same for texts that go side by side, block by block; a block is predicted by what was learned before it."""
+        count = len(ends) - 1
+        # what a slot of the own predictor has learned, and in the imaginary part how much it has seen
+        table = np.full(count << OWN_BITS + 1, OWN_PRIOR * 1j, np.complex64)
+        w, v, total = np.ones(count * KINDS, np.float32), np.ones(count, np.float32), np.zeros(count)
+        w_sure, v_sure = np.full(count * KINDS, WEIGHT_PRIOR, np.float32), np.full(count, WEIGHT_PRIOR, np.float32)
+        for ranges, gates, sizes, combined, bits, slots in self.blocks(ids, one, two, ends):
+            missed, learned = 1 / (1 + np.exp(np.minimum(combined, 80))), np.empty(len(combined), np.complex64)
+            learned.real, learned.imag = missed * bits, missed * (1 - missed)
+            for here, there in ranges:
+                gate, n, x, slot = gates[here], sizes[here], combined[there], slots[there]
+                of, heads, seen = gate // KINDS, np.cumsum(n) - n, table.take(slot)
+                s = seen.real / seen.imag
+                s *= bits[there]
+                z = x * np.repeat(w[gate], n) + s * np.repeat(v[of], n)
                 e = np.exp(-np.clip(z, -30, 30, out=z))
-                total[:live] -= np.add.reduceat(np.log(e + np.float32(1)), heads)
+                total -= np.bincount(of, np.add.reduceat(np.log(e + np.float32(1)), heads), count)
                 p = e / (1 + e)
-                wrong, curve = y * p, p * (1 - p)
-                w_sure[: live * KINDS] += np.bincount(gate, x * x * curve, live * KINDS).astype(np.float32)
-                w[: live * KINDS] += np.bincount(gate, x * wrong, live * KINDS).astype(np.float32) / w_sure[: live * KINDS]
-                v_sure[:live] += np.add.reduceat(s * s * curve, heads)
-                v[:live] += np.add.reduceat(s * wrong, heads) / v_sure[:live]
-                np.add.at(off, slot, missed[row])
-                np.add.at(sure, slot, doubt[row])
-                done += size
-            out[mine] = total
-        return out
+                curve, by_x, by_s = p * (1 - p), x * p, s * p
+                w_sure[gate] += np.add.reduceat(x * x * curve, heads)
+                w[gate] += np.add.reduceat(by_x, heads) / w_sure[gate]
+                v_sure += np.bincount(of, np.add.reduceat(s * s * curve, heads), count).astype(np.float32)
+                v += np.bincount(of, np.add.reduceat(by_s, heads), count).astype(np.float32) / v_sure
+                np.add.at(table, slot, learned[there])
+        return total
+
+
+def path_codes(starts: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """The bits of the paths to the leaves, the first one highest, in as many rows of 64 as the longest path needs."""
+    n = np.diff(starts)
+    out = np.zeros((1 + max(n.max() - 1, 0) // 64, len(n)), np.uint64)
+    for k in range(n.max()):
+        leaf = np.flatnonzero(n > k)
+        out[k // 64, leaf] |= bit[starts[leaf] + k].astype(np.uint64) << np.uint64(63 - k % 64)
+    return out
 
 
-class WordIds(dict):
-    """Ids of the tree's words; other words of a batch get the next ones until clear_others()."""
+def laid_out(parts: list[tuple], begin: int, end: int) -> tuple:
+    """(ranges, gates, sizes, combined, bits, slots) of blocks from begin to end.
 
-    def __init__(self, words: list[bytes]) -> None:
-        super().__init__((w, k) for k, w in enumerate(words))
-        self.others: list[bytes] = []
+    parts has for each kind of gate the block, text and number of decisions of each token, ordered by block and text, then
+    the decisions. A block's decisions lie by kind, then by text, in stretches that have their weights in common; sizes
+    are theirs, and ranges has the slices of each block's stretches and decisions. Slots are those of all texts.
+    """
+    found = []
+    for kind, (block, text, n, combined, bits, own) in enumerate(parts):
+        own = own + np.repeat(text << OWN_BITS + 1, n)
+        some = np.flatnonzero(n)
+        block, text, n = block[some], text[some], n[some]
+        heads = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (text[1:] != text[:-1])])[: len(n)])
+        size = np.add.reduceat(n, heads) if len(n) else n
+        cut = np.searchsorted(block[heads], np.arange(begin, end + 1))
+        found.append((cut, np.concatenate([[0], np.cumsum(size)])[cut], (text[heads] * KINDS + kind, size), (combined, bits, own)))
+    stretches, rows = ([np.concatenate([x[k][i][x[at][b] : x[at][b + 1]] for b in range(end - begin) for x in found]) for i in range(len(found[0][k]))] for at, k in ((0, 2), (1, 3)))
+    here, there = (sum(x[at] for x in found).tolist() for at in (0, 1))
+    ranges = [(slice(a, b), slice(c, d)) for a, b, c, d in zip(here, here[1:], there, there[1:], strict=False) if b > a]
+    return ranges, *stretches, *rows
+
+
+class WordIds:
+    """Ids of the tree's words; other words of a chunk get the next ones."""
 
-    def __missing__(self, word: bytes) -> int:
-        out = self[word] = len(self)
-        self.others.append(word)
+    def __init__(self, words: list[bytes]) -> None:
+        # no word holds a space, so none is taken for the escape
+        self.words, self.others = pa.array([b" ", *words[1:]], pa.binary()), []
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        found = pc.index_in(words, self.words)
+        other = words.filter(found.is_null()).dictionary_encode()
+        out = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        out[found.is_null().to_numpy(zero_copy_only=False)] = len(self.words) + other.indices.to_numpy()
+        self.others = other.dictionary.to_numpy(zero_copy_only=False).tolist()
         return out
 
-    def clear_others(self) -> None:
-        for word in self.others:
-            del self[word]
-        self.others = []
 
-
-def chunked(whole: list[str], ids: WordIds):
+def chunked(column: pa.Array, ids: WordIds):
     """(slice, ids, ends, bytes): the tokens of about CHUNK words of texts at once, the end after each text."""
-    at = 0
-    while at < len(whole):
-        ids.clear_others()
-        found, ends, sizes, end = [], [0], [], at
-        while end < len(whole) and len(found) < CHUNK:
-            words = words_of(whole[end])
-            found += map(ids.__getitem__, words)
-            found.append(1)
-            ends.append(len(found))
-            sizes.append(sum(map(len, words)) + len(words) + 1)
-            end += 1
-        yield slice(at, end), np.array(found), np.array(ends), np.array(sizes)
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64)
+    before, at = np.concatenate([[0], np.cumsum(size)]), 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(before, before[at] + 6 * CHUNK, "right")) - 1)
+        words, n = split(column[at:end])
+        ends = np.concatenate([[0], np.cumsum(n + 1)])
+        out = np.ones(ends[-1], np.int64)
+        out[np.arange(len(words)) + np.repeat(np.arange(end - at), n)] = ids.of(words)
+        total = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy(), dtype=np.int64)])
+        yield slice(at, end), out, ends, np.diff(total[ends - np.arange(len(ends))]) + n + 1
         at = end
 
 
+def longer(batches, rows: int):
+    """The same rows in batches of so many at least, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def two_bits(tokens: int) -> int:
     return int(min(max(tokens.bit_length() - 2, TWO_BITS[0]), TWO_BITS[1]))
 
@@ -529,10 +674,10 @@ def context_tables(training: DataFrame, model: Model, tokens: int) -> tuple[np.n
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), 1)), pa.array(some), pa.array(data, pa.binary())], names=["k", "blob", "data"])
 
         for batch in batches:
-            for _, ids, ends, _ in chunked(texts(batch), of.ids):
+            for _, ids, ends, _ in chunked(batch.column(0), of.ids):
                 leaf, (one, two) = of.leaves(ids), of.contexts(ids, ends[:-1])
-                rows, row, _ = of.paths(leaf)
-                seen += np.bincount(of.one_slots(one, rows, row) << 1 | of.bit[row], minlength=len(seen))
+                row = of.rows(of.starts[leaf], of.lengths[leaf])
+                np.add.at(seen, of.one_slots(one, of.lengths[leaf], row) << 1 | of.bit.take(row), 1.0)
                 held.append(two & ~low | leaf.astype(np.uint64))
                 size += len(ids)
                 if size >= HELD_PAIRS:
@@ -601,30 +746,34 @@ def less_one(table: np.ndarray, doubt: float) -> np.ndarray:
     return np.stack([stretched(np.maximum(z - 1, 0), o, doubt), stretched(z, np.maximum(o - 1, 0), doubt)], 1).ravel()
 
 
-def cells_in_tree(model: Model, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cells, counts) of the decisions of training texts in the tree, without what they were counted for.
+def cells_in_tree(model: Model, ids: np.ndarray, ends: np.ndarray):
+    """Cells, some at a time, of the decisions of training texts in the tree, without what they were counted for.
 
-    A cell is the gate, the rounded predictions of the node and after one word, the guess and the bit.
+    A cell is a stretch (0 for the gate 0, else an odd number where the predicted leaf is wrong, an even one where it is
+    right) and the rounded predictions of the node and after one word, as they speak for the bit.
     """
     leaf, (one, two) = model.leaves(ids), model.contexts(ids, ends[:-1])
-    of, row, heads = model.paths(leaf)
-    bit, (guessed, code) = model.bit[row], model.predicted(two)
+    guessed, code = model.predicted(two)
     n, m, right = code & 15, code >> 4, guessed == leaf
     # a count of 15 stands for more, of which one is no loss
     less = np.where(right, n - ((n > 0) & (n < 15)), n) | np.where(right, m, m - ((m > 0) & (m < 15))) << 4
-    guess, gate = model.guesses(guessed, np.where(code == 0, 0, less).astype(np.uint8), of, row, heads)
+    gate, on, right = model.stretches(leaf, guessed, np.where(code == 0, 0, less))
     p, after = model.cells_of
-    cell = gate.astype(np.int64)
-    for x, bits in ((p[row], CELL_BITS), (after[model.one_slots(one, of, row) << 1 | bit], CELL_BITS), (guess.astype(np.int8) + 1, 2), (bit, 1)):
-        cell <<= bits
-        cell |= x
-    return np.unique(cell, return_counts=True)
+    for begins, n in ((model.starts[leaf] + on, model.lengths[leaf] - on), (model.starts[leaf], on)):
+        row = model.rows(begins, n)
+        cell = p.take(row).astype(np.int64) << CELL_BITS
+        cell |= after.take(model.one_slots(one, n, row) << 1 | model.bit.take(row))
+        if n is on:
+            cell += np.repeat(gate.astype(np.int64) << 1 + 2 * CELL_BITS, n)
+            cell[np.cumsum(n)[(n > 0) & ~right] - 1] -= 1 << 2 * CELL_BITS
+        yield cell
 
 
-def inputs_of(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, sign, gate) of cells."""
-    p, after = ((cell >> 3 + k * CELL_BITS & (1 << CELL_BITS) - 1) / (1 << CELL_BITS - 5) - 16 for k in (1, 0))
-    return np.stack([p, after, (cell >> 1 & 3) - 1], 1), signs(cell & 1), cell >> 3 + 2 * CELL_BITS
+def inputs_of(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, gate) of cells; the inputs speak for the bit."""
+    p, after = ((cell >> k * CELL_BITS & (1 << CELL_BITS) - 1) / (1 << CELL_BITS - 5) - 16 for k in (1, 0))
+    stretch = cell >> 2 * CELL_BITS
+    return np.stack([p, after, np.where(stretch == 0, 0, 1 - 2 * (stretch & 1))]), stretch + 1 >> 1
 
 
 def decisions(training: DataFrame, model: Model, root: str) -> DataFrame:
@@ -632,29 +781,22 @@ def decisions(training: DataFrame, model: Model, root: str) -> DataFrame:
     shared = training.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        of, held, size = shared.value, [], 0
+        of, seen, size = shared.value, np.zeros(2 * TREE_GATES - 1 << 2 * CELL_BITS, np.int32), 0
         of.grow()
 
-        def summed():
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
-
         def sent():
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["cell", "n"])
+            cell = np.flatnonzero(seen)
+            return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(seen[cell].astype(np.int64))], names=["cell", "n"])
 
         for batch in batches:
-            for _, ids, ends, _ in chunked(texts(batch), of.ids):
-                held.append(cells_in_tree(of, ids, ends))
-                size += len(held[-1][0])
-                if size >= HELD_CELLS:
-                    held = [summed()]
-                    size = len(held[0][0])
-                    if size >= HELD_CELLS // 2:
+            for _, ids, ends, _ in chunked(batch.column(0), of.ids):
+                for cell in cells_in_tree(of, ids, ends):
+                    if size + len(cell) >= 1 << 31:
                         yield sent()
-                        held, size = [], 0
-        if held:
-            held = [summed()]
-            yield sent()
+                        seen[:], size = 0, 0
+                    np.add.at(seen, cell, np.int32(1))
+                    size += len(cell)
+        yield sent()
 
     found = training.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     found = written(found, root, "cells")
@@ -662,15 +804,17 @@ def decisions(training: DataFrame, model: Model, root: str) -> DataFrame:
     return found
 
 
-def slopes(x: np.ndarray, sign: np.ndarray, gate: np.ndarray, times: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """For each gate the slope of the log probability of so many decisions each by its weights w, and the curvature."""
+def slopes(x: np.ndarray, gate: np.ndarray, times: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """For each gate the slope of the log probability of so many decisions each by its weights w, and the curvature; x has a
+    row for each input, as it speaks for the bit."""
     sums = np.zeros((*w.shape, w.shape[1] + 1))
-    for g in np.unique(gate):
+    for g in range(len(w)):
         own = np.flatnonzero(gate == g)
-        u, s, t = x[own].astype(float), sign[own], times[own]
-        p = 1 / (1 + np.exp(np.clip(u @ w[g] * s, -30, 30)))
-        sums[g, :, 0] = (t * s * p) @ u
-        sums[g, :, 1:] = (u * (t * p * (1 - p))[:, None]).T @ u
+        if len(own):
+            u, t = x[:, own], times[own].astype(x.dtype)
+            p = 1 / (1 + np.exp(np.clip(w[g].astype(x.dtype) @ u, -30, 30)))
+            sums[g, :, 0] = u @ (t * p)
+            sums[g, :, 1:] = u * (t * p * (1 - p)) @ u.T
     return sums
 
 
@@ -695,14 +839,12 @@ def fitted(cells: DataFrame, rare: DataFrame, model: Model) -> None:
 
         def in_words(batches, w=weights[1]):
             sums = np.zeros((*w.shape, w.shape[1] + 1))
-            for batch in batches:
-                of, words, times = shared.value, batch.column(0).to_pylist(), batch.column(1).to_numpy()
-                spelled, gate = of.spelled_less
-                for at in range(0, len(words), 5_000):
-                    begins, bit, slots, _ = bit_rows(words[at : at + 5_000], of.code)
-                    slots = [slot << 1 | bit for slot in slots]
-                    x = np.stack([t[slot] for t, slot in zip(spelled, slots, strict=True)], 1) * np.float32(1 / SCALE)
-                    sums += slopes(x, signs(bit), gate[slots[-1]], np.repeat(times[at : at + 5_000], np.diff(begins)), w)
+            for batch in longer(batches, WORDS_AT_ONCE):
+                (spelled, gate), words = shared.value.spelled_less, batch.column(0).to_numpy(zero_copy_only=False).tolist()
+                bit, slots, n = beginnings(words, batch.column(1).to_numpy(), shared.value.code)
+                slots = [slot << 1 | bit for slot in slots]
+                x = np.stack([t.take(slot) for t, slot in zip(spelled, slots, strict=True)]) * np.float32(1 / SCALE)
+                sums += slopes(x, gate.take(slots[-1]), n, w)
             yield row(1, sums)
 
         kind, total = "part long, sums binary", [np.zeros((*w.shape, w.shape[1] + 1)) for w in weights]
@@ -732,11 +874,13 @@ def train(docs: DataFrame, root: str, group_col: str = "lang") -> tuple[Model, D
         least = min(n for *_, n in leaves)
         last = max(w for _, w, n in leaves if n == least)
         rare = rare.where((F.col("n") == 1) | (F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > F.lit(bytearray(last)))))
+    # in their order, so that neighbours share their beginnings
+    rare = written(rare.select("word", "n").repartitionByRange(1 + kinds // 250_000, "word").sortWithinPartitions("word"), root, "rare")
     model = Model(words, counts, huffman(byte_counts(rare)))
     one, two = context_tables(training, model, tokens)
     model.one, model.two = one, two
     cells = decisions(training, model, root)
-    model.spelled = tables(rare, kinds, model.code)
+    model.spelled = tables(rare, model.code)
     fitted(cells, rare, model)
     return model, vocab, tokens, kinds
 
@@ -758,12 +902,12 @@ def scored(df: DataFrame, model: Model, counts: tuple[np.ndarray, np.ndarray] |
 
     counts are the vocabulary's hashes and counts; without them n_known and base_score are null, for joined() to fill.
     """
-    shared = df.sparkSession.sparkContext.broadcast((model, counts))
+    shared = df.sparkSession.sparkContext.broadcast((model.without_counts(), counts))
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         of, known = shared.value
         of.prepare()
-        whole, tree = texts(batch, text_col), len(of.words)
+        whole, tree = batch.column(batch.schema.get_field_index(text_col)), len(of.words)
         tokens_, known_, base, score, bits = (np.zeros(len(whole)) for _ in range(5))
         for part, ids, ends, sizes in chunked(whole, of.ids):
             others = of.ids.others

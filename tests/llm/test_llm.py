@@ -10,6 +10,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -508,6 +509,53 @@ def test_mixlm_successors_of_two_words():
             assert (leaf[slot], check[slot], code[slot]) == (key & 0x3FFFF, key >> 64 - bits - 8 & 255, min(-n, 15) | min(others, 15) << 4)
 
 
+def test_mixlm_splits_texts_in_arrow():
+    rng = np.random.default_rng(7)
+    texts = [None, "", " ", "  a", "a  ", "\x0b\x0c\r\n\ta B\u00c4\x1c\x85 \u00a0x ", "\x00escape a\x00b", *("".join(rng.choice(list(" \t\nabAB\u00c9\u3000\x1f"), 30)) for _ in range(200))]
+    for column in (pa.array(texts, pa.string()), pa.array(["x", *texts], pa.string())[1:], pa.array([], pa.string())):
+        words, n = mixlm.split(column)
+        want = [mixlm.words_of(t or "") for t in column.to_pylist()]
+        assert words.to_pylist() == sum(want, []) and n.tolist() == [len(w) for w in want]
+        ids, seen = mixlm.WordIds([mixlm.ESCAPE, mixlm.END, b"ab"]), 0
+        for part, found, ends, sizes in mixlm.chunked(column, ids):
+            names = [mixlm.ESCAPE, mixlm.END, b"ab", *ids.others]
+            for k, words in enumerate(want[part]):
+                assert [names[x] for x in found[ends[k] : ends[k + 1]]] == [*words, mixlm.END]
+                assert (found[ends[k] : ends[k + 1] - 1] != 0).all() and sizes[k] == len(b" ".join([*words, b""])) + 1
+                seen += 1
+        assert seen == len(want)
+
+
+def test_mixlm_shared_beginnings_are_looked_up_once():
+    """Neighbours' shared bytes are one row with all their times; the sums by slot are those of all words."""
+    rng = np.random.default_rng(3)
+    for words in (sorted({"".join(rng.choice(list("ab\u00e9"), int(rng.integers(1, 9)))).encode() for _ in range(400)}), [b"b", b"ab", b"b", b"abc"], [b"x" * 3000], []):
+        times, code = rng.integers(1, 9, len(words)), mixlm.huffman(np.ones(256))
+        bit, slots, n = mixlm.beginnings(words, times, code)
+        starts, all_bit, all_slots, _ = mixlm.bit_rows(words, code)
+        for size, slot, every in zip(mixlm.TABLES, slots, all_slots, strict=True):
+            want = np.bincount(every << 1 | all_bit, np.repeat(times, np.diff(starts)), 2 << size)
+            assert (np.bincount(slot << 1 | bit, n, 2 << size) == want).all()
+        assert len(bit) == len(all_bit) if len(words) < 10 else len(bit) < 0.6 * len(all_bit)
+
+
+def test_mixlm_stretches_follow_the_predicted_path():
+    """Weights that double make a tree of over 64 decisions; the last of a stretch is the one that parts the paths."""
+    counts = np.array([1.0, 1, *(2.0 ** np.arange(90))])
+    model = mixlm.Model([mixlm.ESCAPE, mixlm.END, *(b"w%d" % k for k in range(90))], counts, mixlm.huffman(np.ones(256)))
+    model.grow()
+    assert model.lengths.max() > 64
+    path = lambda leaf: [(int(model.node[r]), bool(model.bit[r])) for r in range(model.starts[leaf], model.starts[leaf + 1])]
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(92), np.arange(92)))
+    code = np.where((a + b) % 5 == 0, 0, 3 | 1 << 4)
+    gate, n, right = model.stretches(a, b, code)
+    for leaf, other, c, g, k, same in zip(a.tolist(), b.tolist(), code.tolist(), gate.tolist(), n.tolist(), right.tolist(), strict=True):
+        assert same == (leaf == other) and g == int(mixlm.gate_of(np.array([c]))[0])
+        pairs = list(zip(path(leaf), path(other), strict=False)) if c else []
+        on = [x[1] == y[1] for x, y in pairs if x[0] == y[0]]
+        assert k == len(on) and all(on[:-1]) and (not on or on[-1] == same)
+
+
 def test_mixlm_tells_repeated_texts_apart(spark):
     rng = np.random.default_rng(9)
     words = [f"w{k}" for k in range(300)]

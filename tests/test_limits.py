@@ -4,6 +4,7 @@ import pytest
 from oracle import compare
 from pyspark.sql import functions as F
 
+from hindcast.operators import statistics
 from hindcast.plans import registry
 
 SF = "/root/testdata/sf0.01"
@@ -28,3 +29,10 @@ def calm(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["calm", "moved"])
 def test_warnings_without_large_moves(spark, calm, name):
     assert compare(spark, QUERIES["early_warning_folds"], SQL["early_warning_folds"], calm[name]) == 15
+
+
+def test_youden_without_large_moves(spark, calm):
+    assert compare(spark, QUERIES["youden"], SQL["youden"], calm["calm"]) == 1
+    alike = spark.createDataFrame([(1.0, 1), (2.0, 1)], "x double, y int")
+    assert statistics.youden(alike).first()["threshold"] == 2.0
+    assert statistics.youden(alike.where("1 = 0")).count() == 0

@@ -1,10 +1,15 @@
 """What the queries do at their limits: outcomes of one kind, equal vectors, more rows than fit at once."""
 
+import datetime
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import compare
 from pyspark.sql import functions as F
 
-from hindcast.operators import statistics
+from hindcast.operators import retrieval, statistics
 from hindcast.plans import registry
 
 SF = "/root/testdata/sf0.01"
@@ -36,3 +41,66 @@ def test_youden_without_large_moves(spark, calm):
     alike = spark.createDataFrame([(1.0, 1), (2.0, 1)], "x double, y int")
     assert statistics.youden(alike).first()["threshold"] == 2.0
     assert statistics.youden(alike.where("1 = 0")).count() == 0
+
+
+@pytest.fixture
+def peaks(monkeypatch):
+    """MB at most that each function mapped over Arrow batches held, run in this process over batches of 10,000 rows."""
+    held = []
+
+    def here(self, f, schema, *_, **__):
+        batches = self.toArrow().combine_chunks().to_batches(10_000)
+        tracemalloc.start()
+        found = list(f(iter(batches)))
+        held.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+        names = [x.split()[0] for x in schema.split(", ")]
+        return self.sparkSession.createDataFrame(pa.Table.from_batches(found).select(names)) if found else self.sparkSession.createDataFrame([], schema)
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", here)
+    return held
+
+
+def vectors(spark, n, seed, name):
+    r = np.random.default_rng(seed)
+    m = r.standard_normal((n, 8)).astype(np.float32)
+    m[n // 2 :] = m[: n - n // 2]  # all occur twice
+    day = lambda k: datetime.date(2000, 1, 1) + datetime.timedelta(days=k % 7 + (20 if name == "base_id" else 0))
+    rows = [(k, day(k), m[k].tolist(), k % 3, [f"w{k % 5}"]) for k in range(n)]
+    return m.astype(float), spark.createDataFrame(rows, f"{name} long, d date, emb array<float>, kind long, bag array<string>")
+
+
+@pytest.mark.parametrize("words", [0.25, 0.0])
+def test_blends_in_bounded_memory(spark, peaks, words):
+    (q, base), (e, corpus) = vectors(spark, 3000, 1, "base_id"), vectors(spark, 4000, 2, "event_id")
+    got = retrieval.blended(base, corpus, 3, 0.1, (0.6, words, 0.15)).where("base_id < 40").orderBy("base_id", "rank").collect()
+    assert max(peaks) < 100
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    sim = unit(q[:40]) @ unit(e).T
+    at, to = np.arange(40)[:, None], np.arange(4000)[None]
+    score = np.where(sim >= 0.1, 0.6 * sim + words * (at % 5 == to % 5) + 0.15 * (at % 3 == to % 3), -9).round(9)
+    for k in range(40):
+        assert [r["event_id"] for r in got if r["base_id"] == k] == np.lexsort((to[0], -score[k]))[:3].tolist()
+
+
+def test_nearest_in_bounded_memory(spark, peaks):
+    (q, base), (e, corpus) = vectors(spark, 3000, 1, "base_id"), vectors(spark, 4000, 2, "event_id")
+    got = retrieval.nearest(base, corpus, 5, (0.9, 0.5), 4).where("base_id < 40").orderBy("base_id", "rank").collect()
+    assert max(peaks) < 100
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    sim = (unit(q[:40]) @ unit(e).T).round(9)
+    for k in range(40):
+        tau = 0.9 if (sim[k] >= 0.9).sum() >= 4 else 0.5
+        best = [j for j in np.lexsort((np.arange(4000), -sim[k]))[:5].tolist() if sim[k, j] >= tau]
+        assert [(r["event_id"], r["tau"]) for r in got if r["base_id"] == k] == [(j, tau) for j in best]
+
+
+def test_events_without_a_type_come_last(spark):
+    """h is null where either type is: SQL ranks these rows after all others."""
+    day = datetime.date(2000, 1, 1)
+    base = spark.createDataFrame([(1, datetime.date(2001, 1, 1), [1.0, 0.0], 1, []), (2, datetime.date(2001, 1, 1), [1.0, 0.0], None, [])], "base_id long, d date, emb array<double>, kind long, bag array<string>")
+    corpus = spark.createDataFrame([(5, day, [1.0, 0.0], None, []), (6, day, [1.0, 1.0], 2, []), (7, day, [1.0, 1.0], 1, [])], "event_id long, d date, emb array<double>, kind long, bag array<string>")
+    got = [(r["base_id"], r["event_id"], r["score"] is None) for r in retrieval.blended(base, corpus, 3, 0.1, (0.6, 0.0, 0.4), untyped=True).orderBy("base_id", "rank").collect()]
+    assert got == [(1, 7, False), (1, 6, False), (1, 5, True), (2, 5, True), (2, 6, True), (2, 7, True)]

@@ -104,3 +104,29 @@ def test_events_without_a_type_come_last(spark):
     corpus = spark.createDataFrame([(5, day, [1.0, 0.0], None, []), (6, day, [1.0, 1.0], 2, []), (7, day, [1.0, 1.0], 1, [])], "event_id long, d date, emb array<double>, kind long, bag array<string>")
     got = [(r["base_id"], r["event_id"], r["score"] is None) for r in retrieval.blended(base, corpus, 3, 0.1, (0.6, 0.0, 0.4), untyped=True).orderBy("base_id", "rank").collect()]
     assert got == [(1, 7, False), (1, 6, False), (1, 5, True), (2, 5, True), (2, 6, True), (2, 7, True)]
+
+
+def test_firth_reads_its_rows_once(spark):
+    """The steps read written rows, not the plan behind them, and come to what plain steps come to."""
+    r = np.random.default_rng(3)
+    x = np.column_stack([r.standard_normal((60, 2)), np.ones(60)])
+    y = (x[:, 0] + r.standard_normal(60) > 0.8).astype(int)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b, _), c in zip(x, y, strict=True)], "a double, b double, y int").mapInArrow(counted, "a double, b double, y int")
+    got = {r["term"]: (r["coef"], r["se"]) for r in statistics.firth(df, ["a", "b"], "y").collect()}
+    assert seen.value == 60
+    beta = np.zeros(3)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-x @ beta))
+        w = p * (1 - p)
+        inverse = np.linalg.inv(x.T @ (x * w[:, None]))
+        hat = w * np.einsum("ij,jk,ik->i", x, inverse, x)
+        beta = beta + inverse @ (x.T @ (y - p + hat * (0.5 - p)))
+    want = dict(zip(("a", "b", "intercept"), zip(beta, np.sqrt(np.diag(inverse)), strict=True), strict=True))
+    assert all(np.allclose(got[t], want[t], atol=1e-5) for t in want)

@@ -9,7 +9,7 @@ import pytest
 from oracle import compare
 from pyspark.sql import functions as F
 
-from hindcast.operators import retrieval, statistics
+from hindcast.operators import forecast, retrieval, statistics
 from hindcast.plans import registry
 
 SF = "/root/testdata/sf0.01"
@@ -130,3 +130,18 @@ def test_firth_reads_its_rows_once(spark):
         beta = beta + inverse @ (x.T @ (y - p + hat * (0.5 - p)))
     want = dict(zip(("a", "b", "intercept"), zip(beta, np.sqrt(np.diag(inverse)), strict=True), strict=True))
     assert all(np.allclose(got[t], want[t], atol=1e-5) for t in want)
+
+
+def test_peaks_are_those_of_modes(spark):
+    r = np.random.default_rng(6)
+    grids = [np.round(r.random(30), 1) for _ in range(200)] + [np.zeros(9), np.ones(9), np.arange(9.0), np.array([0, 1, 1, 0, 0.95, 0, 1.0]), np.array([0.0, 1, 0.95, 1, 0])]
+    df = spark.createDataFrame([(k, [float(i) for i in range(len(d))], d.astype(float).tolist()) for k, d in enumerate(grids)], "k int, xs array<double>, ds array<double>")
+    want = {r["k"]: r["n_peaks"] for r in forecast.modes(df).select("k", "n_peaks").collect()}
+    assert {k: forecast.prominent(d) for k, d in enumerate(grids)} == want
+
+
+def test_grids_stay_in_the_task(spark):
+    """A cone has a mixture for every query, leg and day: no grid of theirs leaves the batch that sums it."""
+    parts = spark.createDataFrame([(1, 0.0, 1.0, 1.0)], "key long, mu double, sigma double, w double")
+    plan = forecast.quantiles_of_parts(parts, "key")._jdf.queryExecution().analyzed().toString()
+    assert "ds#" not in plan and "xs#" not in plan

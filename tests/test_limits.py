@@ -9,7 +9,7 @@ import pytest
 from oracle import compare
 from pyspark.sql import functions as F
 
-from hindcast.operators import forecast, retrieval, statistics
+from hindcast.operators import forecast, nearby, retrieval, statistics
 from hindcast.plans import registry
 
 SF = "/root/testdata/sf0.01"
@@ -145,3 +145,55 @@ def test_grids_stay_in_the_task(spark):
     parts = spark.createDataFrame([(1, 0.0, 1.0, 1.0)], "key long, mu double, sigma double, w double")
     plan = forecast.quantiles_of_parts(parts, "key")._jdf.queryExecution().analyzed().toString()
     assert "ds#" not in plan and "xs#" not in plan
+
+
+def odd_events(spark):
+    r = np.random.default_rng(9)
+    rows = [(int(k), datetime.date(1969, 11, 1) + datetime.timedelta(days=int(r.integers(0, 90))), r.standard_normal(4).tolist(), "FOP"[int(r.integers(0, 3))], int(r.integers(0, 2)), sorted(set(r.choice(list("abcdefg"), int(r.integers(0, 4))).tolist()))) for k in range(120)]
+    rows[3] = (3, rows[3][1], None, "F", 1, ["a"])
+    rows[4] = (4, rows[4][1], rows[5][2], None, 1, [])
+    rows[6] = (6, None, rows[5][2], "F", 1, [])
+    return rows, spark.createDataFrame(rows, "event_id long, d date, emb array<double>, polarity string, event_type int, bag array<string>").repartition(3)
+
+
+def plain_distance(a, b, words):
+    if a[2] is None or b[2] is None or a[3] is None or b[3] is None:
+        return None
+    x, y, s, t = np.array(a[2]), np.array(b[2]), set(a[5]), set(b[5])
+    jaccard = len(s & t) / len(s | t) if s | t else 1.0
+    return 0.5 * (1 - x @ y / np.linalg.norm(x) / np.linalg.norm(y)) / 2 + words * (1 - jaccard) + 0.1 * (a[3] != b[3]) + 0.2 * (a[4] != b[4])
+
+
+@pytest.mark.parametrize(("held", "cells"), [(2000, 1 << 21), (3, 7)])
+def test_near_pairs(spark, monkeypatch, held, cells):
+    monkeypatch.setattr(nearby, "HELD", held)
+    monkeypatch.setattr(nearby, "CELLS", cells)
+    rows, events = odd_events(spark)
+    got = {(r["a"], r["b"]): r["dist"] for r in nearby.pairs(events, 7, 0.5, 0.2, {"polarity": 0.1, "event_type": 0.2}).collect()}
+    want = {(a[0], b[0]): plain_distance(a, b, 0.2) for a in rows for b in rows if a[0] < b[0] and a[1] and b[1] and abs((a[1] - b[1]).days) <= 7}
+    assert got.keys() == want.keys()
+    assert all((got[k] is None) == (w is None) and (w is None or abs(got[k] - w) < 1e-12) for k, w in want.items())
+
+
+def test_local_clusters(spark):
+    rows, events = odd_events(spark)
+    events = events.where("emb is not null and polarity is not null")
+    rows = [r for r in rows if r[2] is not None and r[3] is not None]
+    got = {r["event_id"]: (r["size"], round(r["cohesion"], 9), r["role"]) for r in nearby.local_clusters(events, 7, 0.5, {"polarity": 0.1, "event_type": 0.2}).collect()}
+    assert got[6] == (1, 1.0, "NOVEL") and len(got) == len(rows)
+    for e in rows:
+        if e[1] is None:
+            continue
+        w = [x for x in rows if x[1] and abs((x[1] - e[1]).days) <= 7]
+        d = np.array([[0 if a is b else plain_distance(a, b, 0) if abs((a[1] - b[1]).days) <= 7 else 1 for b in w] for a in w], float)
+        labels, me = statistics.density_clusters(d, 3), w.index(e)
+        mine = np.flatnonzero(labels == labels[me]) if labels[me] >= 0 else np.array([me])
+        upper = d[np.ix_(mine, mine)][np.triu_indices(len(mine), 1)]
+        assert got[e[0]][:2] == (len(mine), round(float(1 - upper.mean()), 9) if len(upper) else 1.0)
+
+
+def test_no_joins_of_pairs(spark):
+    """Neither the clusters nor the distances join pairs, whose number is the square of the events of a week."""
+    for name in ("hdbscan_local", "full_fused_distance"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().analyzed().toString()
+        assert "gap" not in plan and "__bucket" not in plan and "zip_with" not in plan

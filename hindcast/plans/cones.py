@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hindcast.functions import vectors as V
-from hindcast.operators import asof, forecast, retrieval
+from hindcast.operators import asof, forecast, nearby, retrieval
 from hindcast.plans import inference, posterior
 from hindcast.plans.analogues import PAIRS, bases
 from hindcast.plans.market import BAND_CASE, BANDS_SQL, forward, r6, year_quantile_bands
@@ -124,12 +123,7 @@ FUSED = (0.5, 0.2, 0.1, 0.2)
 def full_fused_distance(spark, sf):
     """The fused distance of events within a week: vectors, shared words, polarity and price band; two empty bags are alike."""
     m = shared.checkpointed(featured(spark, sf))
-    one, two = (m.select(*(F.col(c).alias(x + c) for c in ("event_id", "d", "emb", "polarity", "band", "bag"))) for x in "ab")
-    pairs = asof.band_join(one, two, "ad", "bd", 7, 7).where("aevent_id < bevent_id")
-    words = 1 - V.jaccard(F.col("abag"), F.col("bbag"), 1.0)
-    unlike = lambda c: (F.col("a" + c) != F.col("b" + c)).cast("int")
-    dist = FUSED[0] * (1 - V.cosine(F.col("aemb"), F.col("bemb"))) / 2 + FUSED[1] * words + FUSED[2] * unlike("polarity") + FUSED[3] * unlike("band")
-    return pairs.select(F.col("aevent_id").alias("a"), F.col("bevent_id").alias("b"), r6(dist, "dist"))
+    return nearby.pairs(m, 7, FUSED[0], FUSED[1], {"polarity": FUSED[2], "band": FUSED[3]}).select("a", "b", r6("dist", "dist"))
 
 
 @query(

@@ -10,7 +10,7 @@ from oracle import compare
 from pyspark.sql import functions as F
 
 from hindcast.operators import forecast, nearby, retrieval, statistics
-from hindcast.plans import registry
+from hindcast.plans import measures, registry
 
 SF = "/root/testdata/sf0.01"
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -197,3 +197,16 @@ def test_no_joins_of_pairs(spark):
     for name in ("hdbscan_local", "full_fused_distance"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().analyzed().toString()
         assert "gap" not in plan and "__bucket" not in plan and "zip_with" not in plan
+
+
+@pytest.mark.parametrize(("block", "at_once"), [(2000, 1 << 18), (2, 3)])
+def test_word_distances_are_counted_in_tasks(spark, tmp_path, monkeypatch, block, at_once):
+    monkeypatch.setattr(measures, "BLOCK", block)
+    monkeypatch.setattr(measures, "AT_ONCE", at_once)
+    texts = {0: "alpha bravo charlie alpha", 50: None, 100: "", 150: "alpha zulus", 7: "bravo charlie delta", 8: "xx yy", 9: "Alpha"}
+    spark.createDataFrame([*texts.items(), (None, "alpha")], "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    df = measures.jaccard_distances(spark, str(tmp_path))
+    bags = {k: {w for w in (t or "").lower().split() if len(w) >= 5} for k, t in texts.items()}
+    want = {(a, b): round(1 - len(bags[a] & bags[b]) / len(bags[a] | bags[b]), 6) if bags[a] | bags[b] else 1.0 for a in texts if a % 50 == 0 for b in texts if a != b}
+    assert {(r["a"], r["b"]): r["dist"] for r in df.collect()} == want
+    assert "array_union" not in df._jdf.queryExecution().analyzed().toString()
